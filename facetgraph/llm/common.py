@@ -80,3 +80,17 @@ def running_totals(df: DataFrame, group: str, key: str, value: str, order: list[
         .withColumn(before, F.col("__offset") + F.col("__inside"))
         .drop("__bucket", "__offset", "__inside")
     )
+
+
+def join_by_key(rows: DataFrame, few: DataFrame, keys: list[str], cells: Column, salt: Column, most_cells: int = 1_000_000, spread: int = 64) -> DataFrame:
+    """rows left join few (one row a key) for keys that may hold a large part of rows.
+
+    few is written and the sum of `cells` over it, its size in values, is looked at: up
+    to most_cells it is broadcast; beyond, it is repeated `spread` times and joined on
+    the keys and rows' `salt` modulo spread, so that a hot key's rows are dealt out.
+    """
+    few = materialize(few, "keyed")
+    if (few.agg(F.sum(cells)).first()[0] or 0) <= most_cells:
+        return rows.join(F.broadcast(few), keys, "left")
+    few = few.withColumn("__salt", F.explode(F.array(*[F.lit(i) for i in range(spread)])))
+    return rows.withColumn("__salt", F.pmod(F.xxhash64(salt), F.lit(spread)).cast("int")).join(few, [*keys, "__salt"], "left").drop("__salt")

@@ -10,10 +10,10 @@ Those few travel to the documents; texts are never taken apart across rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetgraph.llm.common import WORD, group_key, materialize, table, whole_text
+from facetgraph.llm.common import WORD, group_key, join_by_key, materialize, table, whole_text
 
 RATIO, LEAST_PAGES = 0.1, 5
 
@@ -37,7 +37,7 @@ def boilerplate_lines(docs: DataFrame, text_col: str = "text", host_col: str = "
 def _split_lines(docs: DataFrame, text_col: str, host_col: str, ratio: float, least_pages: int) -> DataFrame:
     """Adds __all and __rest, a text's lines and those that stay."""
     bad = boilerplate_lines(docs, text_col, host_col, ratio, least_pages)
-    rows = docs.withColumn("__host", group_key(host_col)).join(bad, "__host", "left")
+    rows = join_by_key(docs.withColumn("__host", group_key(host_col)), bad, ["__host"], F.size("__lines") + 1, F.xxhash64(text_col))
     rows = rows.withColumn("__all", F.split(whole_text(text_col), "\n", -1))
     rest = F.filter("__all", lambda x: ~F.array_contains("__lines", F.xxhash64(x)))
     return rows.withColumn("__rest", F.when(F.col("__lines").isNull(), F.col("__all")).otherwise(rest))
