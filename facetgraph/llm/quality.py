@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetgraph.llm.common import WORD, group_key, materialize, table, whole_text
+from facetgraph.llm.common import WORD, group_key, join_by_key, materialize, table, whole_text
 
 
 @dataclass(frozen=True)
@@ -134,11 +134,12 @@ def verdict(counts: DataFrame, rules: tuple[Rule, ...] = RULES, least_group: int
     """Adds `kept` to counts (see base_counts), which is read twice and so should be written already.
 
     A document fails a rule only beyond a fence; a measure that a short document lacks
-    fails nothing. Spark broadcasts the thresholds if they are small, else it splits a
-    hot source's rows in the join.
+    fails nothing. The thresholds are broadcast if they are few; else a hot source's rows
+    are salted.
     """
     limits = thresholds(sketches(counts, rules), rules, least_group)
-    rows = counts.withColumns({"__lang": group_key("lang"), "__source": group_key("source")}).join(limits, ["__lang", "__source"], "left")
+    rows = counts.withColumns({"__lang": group_key("lang"), "__source": group_key("source")})
+    rows = join_by_key(rows, limits, ["__lang", "__source"], F.lit(2 * len(rules)), F.struct("n_words", "word_chars"))
     out = F.lit(False)
     for r in rules:
         value = F.expr(r.measure)
