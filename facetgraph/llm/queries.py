@@ -3,11 +3,13 @@
 from facetgraph.llm.line_dedup import OP7_SQL, op7_line_dedup
 from facetgraph.llm.mixing import OP1_SQL, op1_mix_sources
 from facetgraph.llm.quality import OP2_SQL, op2_quality_rules
+from facetgraph.llm.secrets import OP6_SQL, op6_secret_scans
 from facetgraph.llm.sharding import OP8_SQL, op8_shard_records
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
+    "op6_secret_scans": op6_secret_scans,
     "op7_line_dedup": op7_line_dedup,
     "op8_shard_records": op8_shard_records,
 }
@@ -15,6 +17,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mix_sources": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
+    "op6_secret_scans": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_shard_records": OP8_SQL,
 }
