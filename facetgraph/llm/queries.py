@@ -2,6 +2,7 @@
 
 from facetgraph.llm.line_dedup import OP7_SQL, op7_line_dedup
 from facetgraph.llm.mixing import OP1_SQL, op1_mix_sources
+from facetgraph.llm.near_dup import OP9_SQL, op9_near_duplicates
 from facetgraph.llm.quality import OP2_SQL, op2_quality_rules
 from facetgraph.llm.secrets import OP6_SQL, op6_secret_scans
 from facetgraph.llm.sharding import OP8_SQL, op8_shard_records
@@ -12,6 +13,7 @@ QUERIES = {
     "op6_secret_scans": op6_secret_scans,
     "op7_line_dedup": op7_line_dedup,
     "op8_shard_records": op8_shard_records,
+    "op9_near_duplicates": op9_near_duplicates,
 }
 
 ORACLE_SQL = {
@@ -20,4 +22,5 @@ ORACLE_SQL = {
     "op6_secret_scans": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_shard_records": OP8_SQL,
+    "op9_near_duplicates": OP9_SQL,
 }
