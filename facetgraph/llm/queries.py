@@ -3,13 +3,17 @@
 from facetgraph.llm.line_dedup import OP7_SQL, op7_line_dedup
 from facetgraph.llm.mixing import OP1_SQL, op1_mix_sources
 from facetgraph.llm.near_dup import OP9_SQL, op9_near_duplicates
+from facetgraph.llm.packing import op5_pack_documents
 from facetgraph.llm.quality import OP2_SQL, op2_quality_rules
 from facetgraph.llm.secrets import OP6_SQL, op6_secret_scans
 from facetgraph.llm.sharding import OP8_SQL, op8_shard_records
+from facetgraph.llm.top_k import OP3_SQL, op3_top_k_search
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
+    "op3_top_k_search": op3_top_k_search,
+    "op5_pack_documents": op5_pack_documents,
     "op6_secret_scans": op6_secret_scans,
     "op7_line_dedup": op7_line_dedup,
     "op8_shard_records": op8_shard_records,
@@ -19,6 +23,7 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_mix_sources": OP1_SQL,
     "op2_quality_rules": OP2_SQL,
+    "op3_top_k_search": OP3_SQL,
     "op6_secret_scans": OP6_SQL,
     "op7_line_dedup": OP7_SQL,
     "op8_shard_records": OP8_SQL,
