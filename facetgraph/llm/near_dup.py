@@ -7,11 +7,15 @@
 2. Texts of one set are one class. Bands of four coordinates put classes into buckets;
    the number of bands is such that a pair at the threshold shares none with a chance
    below one in a million.
-3. In each bucket every class is held against a pivot on full sets, and links join
-   components. A bucket whose other classes are in one component is done. Any other
-   loses its pivots and gets new ones, from its smaller components, until none is left.
-   So every pair that shares a bucket is either verified or already connected, a group
-   of near copies costs pairs in proportion to its size, and nothing is capped.
+3. In each bucket every class is held against one pivot on full sets, and links join
+   components. A bucket whose other classes are then in one component is done: pairs
+   within a component need no further link.
+4. The classes of all other buckets go through an exact join. Their shingles are ordered
+   by rarity; sets at the threshold share a shingle within a short prefix, at positions
+   that leave room for the overlap they need. Pairs of different components that do are
+   verified on full sets. So every pair that shares a bucket is verified, connected
+   already, or ruled out by its sets; a group of near copies costs pairs in proportion
+   to its size, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,8 +33,8 @@ from facetgraph.llm.common import materialize, table
 
 #: Coordinates in a band.
 ROWS = 4
-#: Pivots that a bucket gets in a round after the first.
-PIVOTS = 16
+#: Pairs up to this number (16 bytes each) are broadcast to their sets, more are shuffled.
+MOST_BROADCAST = 1_000_000
 
 
 def bands_for(percent: int, miss: float = 1e-6) -> int:
@@ -66,18 +70,17 @@ def sketch(members: np.ndarray, size: int) -> np.ndarray:
     filled = 0
     for turn in range(2 * size):
         thrown = mix64(members + np.uint64((turn + 1) * 0x9E3779B97F4A7C15 % 2**64))
-        value = (mix64(thrown) >> np.uint64(16)) | np.uint64(turn << 48)
+        value = mix64(thrown) >> np.uint64(16)
         if turn < size:
             bins = ((thrown >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
-            order = np.lexsort((value, bins))
-            bins, value = bins[order].astype(np.int64), value[order]
+            placed = np.sort((bins << np.uint64(48)) | value)
+            bins = (placed >> np.uint64(48)).astype(np.int64)
             first = np.concatenate(([True], bins[1:] != bins[:-1]))
-            bins, value = bins[first], value[first]
-            fresh = out[bins] == np.iinfo(np.uint64).max
-            out[bins[fresh]] = value[fresh]
-            filled += int(fresh.sum())
+            first[first] = out[bins[first]] == np.iinfo(np.uint64).max
+            out[bins[first]] = (placed[first] & np.uint64(2**48 - 1)) | np.uint64(turn << 48)
+            filled += int(first.sum())
         elif out[turn - size] == np.iinfo(np.uint64).max:
-            out[turn - size] = value.min()
+            out[turn - size] = value.min() | np.uint64(turn << 48)
             filled += 1
         if filled == size:
             break
@@ -145,10 +148,38 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have the similarity."""
-    one, two = (sets.select(F.col("id").alias(c), F.col("list").alias(f"{c}_set")) for c in "ab")
-    both = pairs.join(one, "a").join(two, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
-    return both.where(100 * F.col("common") >= percent * (F.size("a_set") + F.size("b_set") - F.col("common"))).select("a", "b")
+    """The pairs (a, b) whose full sets have the similarity. Few pairs go to the sets, so that only sets in question move."""
+    pairs = materialize(pairs, "pairs")
+    few = pairs.count() <= MOST_BROADCAST
+    sent = F.broadcast if few else (lambda df: df)
+    one = sets.select(F.col("id").alias("a"), F.col("list").alias("a_set")).join(sent(pairs), "a")
+    two = sets.select(F.col("id").alias("b"), F.col("list").alias("b_set")).join(sent(pairs.select("b").distinct()), "b", "left_semi")
+    both = one.join(two, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
+    return materialize(both.where(100 * F.col("common") >= percent * (F.size("a_set") + F.size("b_set") - F.col("common"))).select("a", "b"), "links")
+
+
+def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components among placed(id, comp) that can have the similarity.
+
+    With shingles in order of rarity, sets of the similarity share one within their
+    first n - ceil(percent n / 100) + 1, and the first that they share leaves room for
+    the overlap percent (n + m) / (100 + percent). A shingle's rows outside its largest
+    component meet all its rows; those inside do not meet one another.
+    """
+    tokens = sets.join(placed, "id").select("id", "comp", F.size("list").alias("n"), F.explode("list").alias("token"))
+    tokens = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token")))
+    ordered = tokens.groupBy("id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    prefix = ordered.select("id", "comp", "n", F.posexplode(F.slice("t", 1, reach)).alias("pos", "t")).where("t.df > 1")
+    prefix = materialize(prefix.select("id", "comp", "n", "pos", F.col("t.token").alias("token")), "prefixes")
+    by_part = prefix.groupBy("token", "comp").agg(F.count("*").alias("k"))
+    mixed = by_part.groupBy("token").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
+    mixed = prefix.join(mixed, "token")
+    left, right = (mixed.select("token", "main", *[F.col(c).alias(f"{c}{s}") for c in ("id", "comp", "n", "pos")]) for s in "12")
+    meet = left.where("comp1 <> main").join(right.drop("main"), "token").where("comp1 <> comp2 AND (comp2 = main OR id1 < id2)")
+    room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
+    meet = meet.where(room & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")))
+    return meet.select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).distinct()
 
 
 def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -164,26 +195,13 @@ def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     sets = _sketched(texts, words, percent, True).join(wanted.select("id", "cls"), ["id", "cls"], "left_semi")
     sets = materialize(sets.dropDuplicates(["id"]).select("id", "list"), "sets")
 
-    near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
     rest = members.where("id <> pivot.rep")
-    asked = rest.where(near(F.col("n"), F.col("pivot.n"))).select(F.col("id").alias("a"), F.col("pivot.rep").alias("b")).distinct()
-    rest = rest.select("key", "id", "n")
-    done, links = asked, materialize(verified(asked, sets, percent), "links")
-    while True:
-        labels = components(links)
-        placed = rest.join(labels, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        parts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"), F.min(F.struct("id", "n")).alias("pivot"))
-        parts = parts.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("k", "comp"))).withColumn("parts", F.count("*").over(Window.partitionBy("key")))
-        pivots = materialize(parts.where(F.col("nth") <= F.least(F.lit(PIVOTS), F.col("parts") - 1)).select("key", F.col("comp").alias("own"), "pivot"), "pivots")
-        if pivots.isEmpty():
-            break
-        rest = materialize(placed.join(pivots.select("key").distinct(), "key", "left_semi"), "rest")
-        pairs = rest.join(pivots, "key").where(F.col("comp") != F.col("own")).where(near(F.col("n"), F.col("pivot.n")))
-        pairs = pairs.select(F.greatest("id", "pivot.id").alias("a"), F.least("id", "pivot.id").alias("b")).distinct()
-        pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"), "pairs")
-        done = done.union(pairs)
-        links = links.union(materialize(verified(pairs, sets, percent), "links"))
-        rest = rest.join(pivots.select("key", F.col("pivot.id").alias("id")), ["key", "id"], "left_anti").select("key", "id", "n")
+    near = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
+    links = verified(rest.where(near).select(F.col("id").alias("a"), F.col("pivot.rep").alias("b")).distinct(), sets, percent)
+    placed = rest.join(components(links), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
+    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
+    placed = materialize(placed.join(mixed, "key", "left_semi").select("id", "comp").distinct(), "placed")
+    labels = components(links.union(verified(prefix_pairs(sets, placed, percent), sets, percent)))
     named = classes.select("cls", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
     out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
     return out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("comp"))
