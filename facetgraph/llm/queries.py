@@ -8,6 +8,7 @@ from facetgraph.llm.quality import OP2_SQL, op2_quality_rules
 from facetgraph.llm.secrets import OP6_SQL, op6_secret_scans
 from facetgraph.llm.sharding import OP8_SQL, op8_shard_records
 from facetgraph.llm.top_k import OP3_SQL, op3_top_k_search
+from facetgraph.llm.toxicity import op10_toxicity
 
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
@@ -18,6 +19,7 @@ QUERIES = {
     "op7_line_dedup": op7_line_dedup,
     "op8_shard_records": op8_shard_records,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL = {
