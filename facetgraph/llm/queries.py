@@ -1,5 +1,6 @@
 """The queries of the training-data operators and their SQL."""
 
+from facetgraph.llm.html_text import op4_html_text
 from facetgraph.llm.line_dedup import OP7_SQL, op7_line_dedup
 from facetgraph.llm.mixing import OP1_SQL, op1_mix_sources
 from facetgraph.llm.near_dup import OP9_SQL, op9_near_duplicates
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_quality_rules": op2_quality_rules,
     "op3_top_k_search": op3_top_k_search,
+    "op4_html_text": op4_html_text,
     "op5_pack_documents": op5_pack_documents,
     "op6_secret_scans": op6_secret_scans,
     "op7_line_dedup": op7_line_dedup,
