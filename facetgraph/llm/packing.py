@@ -26,8 +26,10 @@ from facetgraph.llm.common import materialize, table
 CAPACITY, END_ID = 2048, 1
 #: Pieces are this long at most, and about so many meet in a group.
 PIECE, GROUP = 512, 1024
-#: Words whose ids a task remembers.
-MEMORY = 200_000
+#: Words whose ids a task remembers before it starts anew.
+MEMORY = 400_000
+#: A special token of the default tokenizer; a tokenizer without it gets its words one by one.
+SEPARATOR = "<|startoftext|>"
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -86,23 +88,46 @@ def _cutter(tokenizer_file: str | None, capacity: int, piece: int):
             path = tokenizer_file
         tokenizer = Tokenizer.from_file(path)
 
-        class Known(dict):
-            """Ids, as bytes, by word. The tokenizer drops white space and looks at nothing across it."""
-
-            def __missing__(self, word: bytes) -> bytes:
-                if len(self) >= MEMORY:
-                    self.clear()
-                ids = np.array(tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-                if len(word) < 64:
-                    self[word] = ids
-                return ids
-
-        known, end = Known(), np.array([END_ID], "<u4").tobytes()
+        separator = tokenizer.token_to_id(SEPARATOR)
+        known: dict[bytes, bytes] = {}  # ids, as bytes, by word
+
+        def ids_of(text: str) -> np.ndarray:
+            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+        def learn(words: list[bytes]) -> None:
+            """Words go to the tokenizer many at a time, kept apart by a special token."""
+            # the tokenizer ignores case and sets a comma or full stop after a letter apart
+            parts = {}
+            for word in words:
+                stem = word.lower()
+                apart = len(stem) > 1 and stem[-1] in b".," and 97 <= stem[-2] <= 122
+                parts[word] = (stem[:-1], stem[-1:]) if apart else (stem, b"")
+            known[b""] = b""
+            stems = [s for s in dict.fromkeys(x for pair in parts.values() for x in pair) if s not in known]
+            alone = [s for s in stems if separator is None or b"<|" in s]
+            known.update((s, ids_of(s.decode()).tobytes()) for s in alone)
+            stems = [s for s in stems if s not in known]
+            for i in range(0, len(stems), 1000):
+                some = stems[i : i + 1000]
+                ids = ids_of(SEPARATOR.join(s.decode() for s in some))
+                cuts = np.flatnonzero(ids == separator)
+                raw, starts, stops = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
+                known.update(zip(some, (raw[x:y] for x, y in zip(starts, stops, strict=True)), strict=True))
+            known.update((word, known[stem] + known[tail]) for word, (stem, tail) in parts.items())
+
+        end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows, starts, lengths, sums, totals = [], [], [], [], []
             for row, text in enumerate(batch.column(1)):
-                # bytes.split knows the six ASCII spaces only, which are spaces to the tokenizer too
-                ids = b"".join(map(known.__getitem__, (text.as_py() or "").encode().split())) + end
+                # The tokenizer drops white space and looks at nothing across it; bytes.split knows the six ASCII spaces only.
+                words = (text.as_py() or "").encode().split()
+                try:
+                    ids = b"".join(map(known.__getitem__, words)) + end
+                except KeyError:
+                    if len(known) > MEMORY:
+                        known.clear()
+                    learn([w for w in dict.fromkeys(words) if w not in known])
+                    ids = b"".join(map(known.__getitem__, words)) + end
                 total = len(ids) // 4
                 start = 0
                 while start < total:
