@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import heapq
 import math
+import struct
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +30,13 @@ CAPACITY, END_ID = 2048, 1
 PIECE, GROUP = 512, 1024
 #: Words whose ids a task remembers before it starts anew.
 MEMORY = 400_000
-#: A special token of the default tokenizer; a tokenizer without it gets its words one by one.
-SEPARATOR = "<|startoftext|>"
+#: Small letters that lower-casing and composing leave alone. The default tokenizer never cuts a word of them
+#: before its merges, and sets a comma or full stop behind one apart; PROBES tell whether a tokenizer is of that kind.
+LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c and unicodedata.is_normalized("NFC", c))
+PROBES = ("the", "Straße", "Étoile", "naïveté", "a" * 300)
+#: The sign that stands for each byte in a byte-level vocabulary: itself where it can be seen, else the next from U+0100.
+SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+BYTE_SIGNS = {byte: 0x100 + i for i, byte in enumerate(b for b in range(256) if b not in SEEN)}
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -76,6 +83,40 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
         windows += 1
 
 
+class _WordIds(dict):
+    """Token ids, as bytes, by word; learns a word when it is first asked for and starts anew beyond MEMORY words."""
+
+    def __init__(self, tokenizer) -> None:
+        super().__init__()
+        self.tokenizer = tokenizer
+        self.letters_whole = all(self._letters(w.lower()) == self._any(w) for w in PROBES)
+
+    def _any(self, word: str) -> bytes:
+        ids = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _letters(self, word: str) -> bytes:
+        ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) > MEMORY:
+            self.clear()
+        text = word.decode().lower()
+        stem, tail = (text[:-1], text[-1]) if len(text) > 1 and text[-1] in ".," else (text, "")
+        if self.letters_whole and LETTERS.issuperset(stem):
+            key = stem.encode()
+            ids = self.get(key)
+            if ids is None:
+                ids = self[key] = self._letters(stem)
+            if tail:
+                ids += self[tail.encode()]
+        else:
+            ids = self._any(word.decode())
+        self[word] = ids
+        return ids
+
+
 def _cutter(tokenizer_file: str | None, capacity: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from tokenizers import Tokenizer
@@ -86,34 +127,7 @@ def _cutter(tokenizer_file: str | None, capacity: int, piece: int):
             path = public_tokenizers.path("word_bpe_49k.json")
         else:
             path = tokenizer_file
-        tokenizer = Tokenizer.from_file(path)
-
-        separator = tokenizer.token_to_id(SEPARATOR)
-        known: dict[bytes, bytes] = {}  # ids, as bytes, by word
-
-        def ids_of(text: str) -> np.ndarray:
-            return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-        def learn(words: list[bytes]) -> None:
-            """Words go to the tokenizer many at a time, kept apart by a special token."""
-            # the tokenizer ignores case and sets a comma or full stop after a letter apart
-            parts = {}
-            for word in words:
-                stem = word.lower()
-                apart = len(stem) > 1 and stem[-1] in b".," and 97 <= stem[-2] <= 122
-                parts[word] = (stem[:-1], stem[-1:]) if apart else (stem, b"")
-            known[b""] = b""
-            stems = [s for s in dict.fromkeys(x for pair in parts.values() for x in pair) if s not in known]
-            alone = [s for s in stems if separator is None or b"<|" in s]
-            known.update((s, ids_of(s.decode()).tobytes()) for s in alone)
-            stems = [s for s in stems if s not in known]
-            for i in range(0, len(stems), 1000):
-                some = stems[i : i + 1000]
-                ids = ids_of(SEPARATOR.join(s.decode() for s in some))
-                cuts = np.flatnonzero(ids == separator)
-                raw, starts, stops = ids.tobytes(), [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), 4 * len(ids)]
-                known.update(zip(some, (raw[x:y] for x, y in zip(starts, stops, strict=True)), strict=True))
-            known.update((word, known[stem] + known[tail]) for word, (stem, tail) in parts.items())
+        known = _WordIds(Tokenizer.from_file(path))
 
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
@@ -121,13 +135,7 @@ def _cutter(tokenizer_file: str | None, capacity: int, piece: int):
             for row, text in enumerate(batch.column(1)):
                 # The tokenizer drops white space and looks at nothing across it; bytes.split knows the six ASCII spaces only.
                 words = (text.as_py() or "").encode().split()
-                try:
-                    ids = b"".join(map(known.__getitem__, words)) + end
-                except KeyError:
-                    if len(known) > MEMORY:
-                        known.clear()
-                    learn([w for w in dict.fromkeys(words) if w not in known])
-                    ids = b"".join(map(known.__getitem__, words)) + end
+                ids = b"".join(map(known.__getitem__, words)) + end
                 total = len(ids) // 4
                 start = 0
                 while start < total:
