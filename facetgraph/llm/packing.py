@@ -96,7 +96,8 @@ class _WordIds(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def _letters(self, word: str) -> bytes:
-        ids = [t.id for t in self.tokenizer.model.tokenize(word.encode().decode("latin-1").translate(BYTE_SIGNS))]
+        signs = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
+        ids = [t.id for t in self.tokenizer.model.tokenize(signs)]
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, word: bytes) -> bytes:
