@@ -225,9 +225,9 @@ def one_of_each_group(docs: DataFrame, text_col: str = "text", words: int = 5, p
 
     Rows are numbered here, so that neither nulls nor repeats among their ids matter.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"), F.monotonically_increasing_id().alias("id"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("id"))
     rows = materialize(rows, "numbered")
-    kept = linked(rows.select("id", "text"), words, percent).where("id = comp").select("id")
+    kept = linked(rows.select("id", F.col("row").getField(text_col).alias("text")), words, percent).where("id = comp").select("id")
     return rows.join(kept, "id", "left_semi").select("row.*")
 
 
