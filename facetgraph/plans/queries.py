@@ -115,7 +115,7 @@ def ag4_series_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def wn2_message_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _day_graphs(spark, sf_dir)
-    return traverse.expand_sequence(nodes.where("node = 'login'"), _day_calls(edges), 3)
+    return traverse.expand_sequence(nodes.where("node = 'click'"), _day_calls(edges), 3)
 
 
 def rn1_flowcharts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -261,7 +261,7 @@ ORACLE_SQL |= {
     "gr12_series": f"{_SERIES} SELECT graph, node, shared, series FROM se",
     "gr14_boundary_edges": f"{_SERIES} SELECT e.graph, e.src, e.dst, a.series AS src_series, b.series AS dst_series FROM e JOIN se a ON a.graph = e.graph AND a.node = e.src JOIN se b ON b.graph = e.graph AND b.node = e.dst WHERE a.series IS NULL OR b.series IS NULL OR a.series != b.series",
     "ag4_series_statistics": f"{_SERIES}, z AS (SELECT graph, series, count(*) AS n FROM se GROUP BY graph, series) SELECT graph, count(series) AS series_count, coalesce(max(n) FILTER (WHERE series IS NOT NULL), 0) AS max_nodes, coalesce(sum(n) FILTER (WHERE series IS NULL), 0)::BIGINT AS shared_count, coalesce(sum(n) FILTER (WHERE series IS NULL), 0)::DOUBLE / sum(n)::DOUBLE AS shared_ratio FROM z GROUP BY graph",
-    "wn2_message_sequence": f"{_DAYS}, c AS (SELECT graph, src, dst, row_number() OVER (PARTITION BY graph, src ORDER BY min(pos), dst) AS k FROM e0 GROUP BY graph, src, dst), m AS (SELECT graph, [node] AS path, '' AS number, 0 AS depth, '' AS caller, node AS callee, 'call' AS kind FROM n WHERE node = 'login' UNION ALL SELECT m.graph, list_append(m.path, c.dst), CASE WHEN m.number = '' THEN '' ELSE m.number || '.' END || c.k::VARCHAR, m.depth + 1, c.src, c.dst, CASE WHEN list_contains(m.path, c.dst) THEN 'recursive_call' WHEN m.depth = 2 AND c.dst IN (SELECT q.src FROM c q WHERE q.graph = m.graph) THEN 'depth_truncated' ELSE 'call' END FROM m JOIN c ON c.graph = m.graph AND c.src = m.callee WHERE m.kind = 'call' AND m.depth < 3) SELECT graph, number, depth, caller, callee, kind FROM m WHERE depth > 0",
+    "wn2_message_sequence": f"{_DAYS}, c AS (SELECT graph, src, dst, row_number() OVER (PARTITION BY graph, src ORDER BY min(pos), dst) AS k FROM e0 GROUP BY graph, src, dst), m AS (SELECT graph, [node] AS path, '' AS number, 0 AS depth, '' AS caller, node AS callee, 'call' AS kind FROM n WHERE node = 'click' UNION ALL SELECT m.graph, list_append(m.path, c.dst), CASE WHEN m.number = '' THEN '' ELSE m.number || '.' END || c.k::VARCHAR, m.depth + 1, c.src, c.dst, CASE WHEN list_contains(m.path, c.dst) THEN 'recursive_call' WHEN m.depth = 2 AND c.dst IN (SELECT q.src FROM c q WHERE q.graph = m.graph) THEN 'depth_truncated' ELSE 'call' END FROM m JOIN c ON c.graph = m.graph AND c.src = m.callee WHERE m.kind = 'call' AND m.depth < 3) SELECT graph, number, depth, caller, callee, kind FROM m WHERE depth > 0",
     "rn1_flowcharts": f"{_DAYS}, l AS (SELECT graph, 0 AS part, node AS x, '' AS y, '    n_' || substr(sha1(node), 1, 10) || '[\"' || node || '\"]' AS line FROM n UNION ALL SELECT graph, 1, src, dst, '    n_' || substr(sha1(src), 1, 10) || ' --> n_' || substr(sha1(dst), 1, 10) FROM e) SELECT graph, 'flowchart LR' || chr(10) || string_agg(line, chr(10) ORDER BY part, x, y) || chr(10) AS text FROM l GROUP BY graph",
     "j2_resolved_calls": f"{_REFS} SELECT p_partkey, raw, target FROM t",
     "j1_resolved_classes": f"{_REFS}, kd AS (SELECT DISTINCT name FROM k), ud AS (SELECT regexp_replace(name, '^.*\\.', '') AS simple, min(name) AS name FROM kd GROUP BY 1 HAVING count(*) = 1), c AS (SELECT DISTINCT raw, string_split(raw, '.') AS p FROM refs), x AS (SELECT raw, p, unnest(range(1, len(p) + 1)) AS i FROM c), y AS (SELECT raw, i, coalesce(kd.name, ud.name) AS target FROM x LEFT JOIN kd ON kd.name = array_to_string(p[1:i], '.') LEFT JOIN ud ON ud.simple = p[i]), b AS (SELECT raw, max_by(target, i) AS target FROM y WHERE target IS NOT NULL GROUP BY raw) SELECT p_partkey, refs.raw AS ref, b.target FROM refs LEFT JOIN b ON b.raw = refs.raw",
