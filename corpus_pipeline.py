@@ -23,8 +23,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, their texts without their source's boilerplate lines."""
-    return without_boilerplate(docs)
+    """All documents, their texts without their source's boilerplate lines, counted over the source and over its pages in their language."""
+    return without_boilerplate(docs, lang_col="lang")
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

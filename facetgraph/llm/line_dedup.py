@@ -3,6 +3,9 @@
 A line of a host is boilerplate if it stands on more than `ratio` of the host's pages
 and on `least_pages` of them at least. A page is a distinct text of the host: copies of
 one text count once, so that a page which was crawled often keeps its lines.
+With a language column, a line that passes both bounds among the host's pages in a
+document's language goes from that document too: a menu in a language of few pages
+never reaches the share of the whole host.
 
 As a page counts a line once, a host has at most (lines a page / ratio) such lines.
 Those few travel to the documents; texts are never taken apart across rows.
@@ -10,7 +13,7 @@ Those few travel to the documents; texts are never taken apart across rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetgraph.llm.common import WORD, group_key, join_by_key, materialize, table, whole_text
@@ -18,26 +21,45 @@ from facetgraph.llm.common import WORD, group_key, join_by_key, materialize, tab
 RATIO, LEAST_PAGES = 0.1, 5
 
 
-def boilerplate_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
-    """(__host, __lines): the hashes of each host's boilerplate lines, for hosts that have any.
+def _in_language(host: Column, lang: Column) -> Column:
+    """The key of a host's pages in a language, from two group keys; unlike every host's own key."""
+    return F.concat(F.lit("@"), F.length(lang).cast("string"), lang, host)
+
+
+def boilerplate_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, lang_col: str | None = None) -> DataFrame:
+    """(__host, __lines): the hashes of each host's boilerplate lines, for hosts that have any; with lang_col, of each host and language too.
 
     Lines are compared by a 64-bit hash; lines without a word never count. Counts are
     added up by (host, line) on the map side first, so a hot host is spread by its lines.
     """
     text = whole_text(text_col)
     lines = F.array_distinct(F.transform(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(WORD)), lambda x: F.xxhash64(x)))
-    pages = docs.select(group_key(host_col).alias("__host"), F.xxhash64(text, F.length(text)).alias("__page"), lines.alias("__own"))
-    pages = materialize(pages.groupBy("__host", "__page").agg(F.any_value("__own").alias("__own")), "line-pages")
+    lang = [group_key(lang_col).alias("__lang")] if lang_col else []
+    pages = docs.select(group_key(host_col).alias("__host"), F.xxhash64(text, F.length(text)).alias("__page"), lines.alias("__own"), *lang)
+    langs = [F.collect_set("__lang").alias("__langs")] if lang_col else []
+    pages = materialize(pages.groupBy("__host", "__page").agg(F.any_value("__own").alias("__own"), *langs), "line-pages")
+    if lang_col:
+        sites = F.concat(F.array("__host"), F.transform("__langs", lambda x: _in_language(F.col("__host"), x)))
+        pages = pages.select(F.explode(sites).alias("__host"), "__own")
     totals = pages.groupBy("__host").agg(F.count("*").alias("__pages"))
     counts = pages.select("__host", F.explode("__own").alias("__line")).groupBy("__host", "__line").agg(F.count("*").alias("__on"))
     common = counts.where(F.col("__on") >= least_pages).join(totals, "__host").where(F.col("__on") > F.lit(float(ratio)) * F.col("__pages"))
     return common.groupBy("__host").agg(F.collect_set("__line").alias("__lines"))
 
 
-def _split_lines(docs: DataFrame, text_col: str, host_col: str, ratio: float, least_pages: int) -> DataFrame:
+def _split_lines(docs: DataFrame, text_col: str, host_col: str, ratio: float, least_pages: int, lang_col: str | None = None) -> DataFrame:
     """Adds __all and __rest, a text's lines and those that stay."""
-    bad = boilerplate_lines(docs, text_col, host_col, ratio, least_pages)
-    rows = join_by_key(docs.withColumn("__host", group_key(host_col)), bad, ["__host"], F.size("__lines") + 1, F.xxhash64(text_col))
+    bad = boilerplate_lines(docs, text_col, host_col, ratio, least_pages, lang_col)
+    rows = docs.withColumn("__host", group_key(host_col))
+    if lang_col:
+        bad = materialize(bad, "line-sites")
+        rows = rows.withColumn("__lang", _in_language(F.col("__host"), group_key(lang_col)))
+    rows = join_by_key(rows, bad, ["__host"], F.size("__lines") + 1, F.xxhash64(text_col))
+    if lang_col:
+        of_lang = bad.select(F.col("__host").alias("__lang"), F.col("__lines").alias("__more"))
+        rows = join_by_key(rows, of_lang, ["__lang"], F.size("__more") + 1, F.xxhash64(text_col))
+        both = F.concat(F.coalesce("__lines", F.array().cast("array<bigint>")), F.coalesce("__more", F.array().cast("array<bigint>")))
+        rows = rows.withColumn("__lines", both)
     rows = rows.withColumn("__all", F.split(whole_text(text_col), "\n", -1))
     rest = F.filter("__all", lambda x: ~F.array_contains("__lines", F.xxhash64(x)))
     return rows.withColumn("__rest", F.when(F.col("__lines").isNull(), F.col("__all")).otherwise(rest))
@@ -54,10 +76,10 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.select(F.col("__id").alias(id_col), F.size("__all").cast("long").alias("n_lines"), (F.size("__all") - F.size("__rest")).cast("long").alias("n_dropped"), F.array_join("__rest", "\n").alias("text"))
 
 
-def without_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def without_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, lang_col: str | None = None) -> DataFrame:
     """docs with boilerplate lines cut from their texts, and n_chars (if there) following. Null texts stay null."""
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("__text"), F.col(host_col).alias("__site"))
-    rows = _split_lines(own, "__text", "__site", ratio, least_pages)
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(text_col).alias("__text"), F.col(host_col).alias("__site"), *([F.col(lang_col).alias("__tongue")] if lang_col else []))
+    rows = _split_lines(own, "__text", "__site", ratio, least_pages, lang_col and "__tongue")
     changed = F.size("__rest") < F.size("__all")
     rows = rows.select("__row", changed.alias("__changed"), F.when(changed, F.array_join("__rest", "\n")).otherwise(F.col("__text")).alias("__shown"))
     shown = {text_col: F.col("__shown")}
