@@ -2,7 +2,9 @@
 
 Fitting takes a bounded sample of labelled rows. A word or word beginning that stands in
 many times more toxic than clean rows marks tokens of toxic rows; on those token labels
-the field is trained by gradient ascent on its conditional likelihood. Scoring runs
+the field is trained by gradient ascent on its conditional likelihood. The sample's whole
+texts are cut into tiles for that, the last one shorter; equal tiles are trained on once,
+with their number as weight, so that none is left out. Scoring runs
 forward and backward over every whole text: tokens that no feature knows share one
 transfer matrix, whose powers bridge the gaps between the others. The marginals of the
 others give offending spans and, through a noisy-or that is calibrated on the sample,
@@ -25,11 +27,13 @@ from pyspark.sql import types as T
 
 from facetgraph.llm.common import id_key, table, whole_text
 
-#: Bounds of the sample: labelled rows of each class, and windows cut from their whole texts.
-ROWS_OF_CLASS, WINDOWS = 3000, 8000
+#: Bound of the sample: labelled rows of each class.
+ROWS_OF_CLASS = 3000
+#: Tokens in a tile, and tiles in one array.
+TILE, BLOCK = 13, 8192
 #: A feature stands in this many toxic rows at least, this share of them, and this many times more often there; a label needs the second ratio.
 LEAST_ROWS, LEAST_SHARE, LEAST_RATIO, LABEL_RATIO = 4, 0.01, 4.0, 10.0
-REACH, STEPS = 6, 60
+STEPS = 60
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -52,8 +56,8 @@ def _log_sum(a: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(a - top).sum(axis=axis))
 
 
-def _posteriors(unary: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Marginals (n, l, 2) and summed pair marginals (2, 2) of n chains of one length."""
+def _posteriors(unary: np.ndarray, moves: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marginals (n, l, 2) and summed pair marginals (2, 2) of n chains of one length, each counted so many times."""
     n, length = unary.shape
     emit = np.stack([np.zeros_like(unary), unary], -1)
     ahead, behind = np.zeros((n, length, 2)), np.zeros((n, length, 2))
@@ -64,7 +68,7 @@ def _posteriors(unary: np.ndarray, moves: np.ndarray) -> tuple[np.ndarray, np.nd
         behind[:, i] = _log_sum(moves[None] + (emit[:, i + 1] + behind[:, i + 1])[:, None, :], 2)
     total = _log_sum(ahead[:, -1], 1)
     pair = np.exp(ahead[:, :-1, :, None] + moves + (emit + behind)[:, 1:, None, :] - total[:, None, None, None])
-    return np.exp(ahead + behind - total[:, None, None]), pair.sum((0, 1))
+    return np.exp(ahead + behind - total[:, None, None]), np.tensordot(times, pair.sum(1), 1)
 
 
 def fit(rows: list[tuple[str, int]], prior: float) -> ToxicityModel:
@@ -77,43 +81,51 @@ def fit(rows: list[tuple[str, int]], prior: float) -> ToxicityModel:
     ratio = {f: (n / of[1]) / ((seen[0][f] + 0.5) / of[0]) for f, n in seen[1].items() if n >= max(LEAST_ROWS, LEAST_SHARE * of[1])}
     names = {f: i for i, f in enumerate(sorted(f for f, r in ratio.items() if r >= LEAST_RATIO))}
     marked = {f for f in names if ratio[f] >= LABEL_RATIO}
-    known: dict[str, list[int]] = {}
+    known: dict[str, tuple[tuple[int, ...], int]] = {}
 
-    def coded(token: str) -> list[int]:
+    def coded(token: str) -> tuple[tuple[int, ...], int]:
+        """A token's known features, and whether one of them marks it."""
         if token not in known:
-            known[token] = [names[f] for f in features(token) if f in names]
+            own = features(token)
+            known[token] = tuple(names[f] for f in own if f in names), int(any(f in marked for f in own))
         return known[token]
 
-    windows, labels = [], []
-    width = 2 * REACH + 1
-    for nth, (tokens, toxic) in enumerate(rows):
-        hits = [i for i, t in enumerate(tokens) if coded(t)]
-        tags = [int(toxic and any(f in marked for f in features(t))) for t in tokens]
-        if toxic and not any(tags):
+    tiles: Counter = Counter()
+    for tokens, toxic in rows:
+        codes = [coded(t) for t in tokens]
+        if toxic and not any(mark for _, mark in codes):
             continue  # its toxic tokens are unknown
-        for at in [*hits[:3], (nth * 7919) % max(1, len(tokens))]:
-            lo = max(0, min(at - REACH, len(tokens) - width))
-            if len(tokens) >= width and len(windows) < WINDOWS:
-                windows.append([coded(t) for t in tokens[lo : lo + width]])
-                labels.append(tags[lo : lo + width])
+        if not toxic:
+            codes = [(c, 0) for c, _ in codes]
+        for lo in range(0, len(codes), TILE):
+            tiles[tuple(codes[lo : lo + TILE])] += 1
     weights, moves, bias = np.zeros(len(names) + 1), np.zeros((2, 2)), -3.0
-    if windows and names:
-        most = max(1, max(len(c) for w in windows for c in w))
-        grid = np.array([[c + [len(names)] * (most - len(c)) for c in w] for w in windows])
-        gold = np.array(labels)
-        pairs = np.zeros((2, 2))
-        np.add.at(pairs, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), 1)
+    if tiles and names:
+        most = max(1, max(len(c) for tile in tiles for c, _ in tile))
+        pairs, blocks = np.zeros((2, 2)), []
+        for length in sorted({len(tile) for tile in tiles}):
+            same = sorted(tile for tile in tiles if len(tile) == length)
+            for lo in range(0, len(same), BLOCK):
+                block = same[lo : lo + BLOCK]
+                grid = np.array([[[*c, *[len(names)] * (most - len(c))] for c, _ in tile] for tile in block])
+                gold, times = np.array([[mark for _, mark in tile] for tile in block]), np.array([tiles[tile] for tile in block], float)
+                np.add.at(pairs, (gold[:, :-1].ravel(), gold[:, 1:].ravel()), np.repeat(times, length - 1))
+                blocks.append((grid, gold, times))
         sums = [np.full_like(weights, 1e-6), np.full((2, 2), 1e-6), 1e-6]
         for _ in range(STEPS):
-            marginals, expected = _posteriors(weights[grid].sum(-1) + bias, moves)
-            wrong = gold - marginals[:, :, 1]
-            step = np.bincount(grid.ravel(), np.repeat(wrong.ravel(), most), len(weights)) - 0.05 * weights
+            step, turn, shift = -0.05 * weights, pairs - 0.05 * moves, 0.0
+            for grid, gold, times in blocks:
+                marginals, expected = _posteriors(weights[grid].sum(-1) + bias, moves, times)
+                wrong = (gold - marginals[:, :, 1]) * times[:, None]
+                step += np.bincount(grid.ravel(), np.repeat(wrong.ravel(), most), len(weights))
+                turn -= expected
+                shift += float(wrong.sum())
             step[-1] = 0.0
-            for k, g in enumerate((step, pairs - expected - 0.05 * moves, float(wrong.sum()))):
+            for k, g in enumerate((step, turn, shift)):
                 sums[k] = sums[k] + g * g
             weights += 0.5 * step / np.sqrt(sums[0])
-            moves += 0.5 * (pairs - expected - 0.05 * moves) / np.sqrt(sums[1])
-            bias += 0.5 * float(wrong.sum()) / math.sqrt(sums[2])
+            moves += 0.5 * turn / np.sqrt(sums[1])
+            bias += 0.5 * shift / math.sqrt(sums[2])
     model = ToxicityModel({f: float(weights[i]) for f, i in names.items() if abs(weights[i]) > 1e-3}, float(bias), moves.tolist(), 1.0, 0.0)
     evidence = Scorer(model).evidence
     x = np.array([evidence(tokens)[0] for tokens, _ in rows])

@@ -134,3 +134,20 @@ def test_toxicity_of_held_out_rows(spark):
     hit = next(r for r in held if r.spans)
     assert texts[hit.doc_id][hit.spans[0].start : hit.spans[0].end] in ("grobian", "lout", "oaf")
     assert all(0 <= r.score <= 1 for r in toxicity.score_documents(docs, model).collect())
+
+
+def test_toxicity_learns_from_every_token_of_the_sample():
+    rng = random.Random(9)
+    words = [f"{a}{b}" for a in "bcdfgklmn" for b in ("ora", "ette", "ingal", "uster")]
+    some = lambda n: [rng.choice(words) for _ in range(n)]
+    short = [(" ".join([*some(4), "oaf"]), 1) for _ in range(60)]
+    # three words that are only suspect come first, and the toxic one late
+    late = [(" ".join(["hmpf", "hmpf", "hmpf", *some(60), "grobian", *some(20)]), 1) for _ in range(60)]
+    clean = [(" ".join([*(["hmpf"] if i % 10 == 0 else []), *some(6 if i % 2 else 80)]), 0) for i in range(600)]
+    model = toxicity.fit([*short, *late, *clean], 0.1)
+    assert model.weights["=oaf"] > 1 and model.weights["=grobian"] > 1
+    again = toxicity.fit([*clean, *late[::-1], *short], 0.1)
+    assert again.weights == pytest.approx(model.weights)
+    scorer = toxicity.Scorer(model)
+    assert all(scorer.score(t)[1] for t, _ in [*short, *late])
+    assert not any(scorer.score(t)[1] for t, _ in clean)
