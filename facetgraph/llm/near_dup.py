@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,6 +35,8 @@ from facetgraph.llm.common import materialize, table
 ROWS = 4
 #: Pairs up to this number (16 bytes each) are broadcast to their sets, more are shuffled.
 MOST_BROADCAST = 1_000_000
+#: Tokens held by more rows than this are joined by salted keys; salts that their rows are dealt to.
+HOT_ROWS, SALTS = 1000, 64
 
 
 def bands_for(percent: int, miss: float = 1e-6) -> int:
@@ -158,6 +160,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(both.where(100 * F.col("common") >= percent * (F.size("a_set") + F.size("b_set") - F.col("common"))).select("a", "b"), "links")
 
 
+def join_by_token(rows: DataFrame, few: DataFrame, held: str) -> DataFrame:
+    """rows(id, token, ...) join few(token, held, ...), one row a token: those of tokens with held over HOT_ROWS are dealt to SALTS tasks.
+
+    A hot token has over HOT_ROWS rows, so that few grows by less than SALTS / HOT_ROWS of the rows.
+    """
+    hot = F.col(held) > HOT_ROWS
+    names = materialize(few.where(hot).select("token"), "hot-tokens")
+    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    few = few.withColumn("salt", F.explode(salts))
+    if names.isEmpty():
+        return rows.join(few.drop("salt"), "token")
+    if names.count() <= MOST_BROADCAST:
+        names = F.broadcast(names)
+    marked = rows.join(names.withColumn("is_hot", F.lit(True)), "token", "left")
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    return marked.withColumn("salt", salt).drop("is_hot").join(few, ["token", "salt"]).drop("salt")
+
+
 def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of different components among placed(id, comp) that can have the similarity.
 
@@ -167,16 +187,21 @@ def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     component meet all its rows; those inside do not meet one another.
     """
     tokens = sets.join(placed, "id").select("id", "comp", F.size("list").alias("n"), F.explode("list").alias("token"))
-    tokens = tokens.withColumn("df", F.count("*").over(Window.partitionBy("token")))
+    counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")), "token-counts")
+    tokens = join_by_token(tokens, counts, "df")
     ordered = tokens.groupBy("id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
     reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
     prefix = ordered.select("id", "comp", "n", F.posexplode(F.slice("t", 1, reach)).alias("pos", "t")).where("t.df > 1")
     prefix = materialize(prefix.select("id", "comp", "n", "pos", F.col("t.token").alias("token")), "prefixes")
     by_part = prefix.groupBy("token", "comp").agg(F.count("*").alias("k"))
-    mixed = by_part.groupBy("token").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("parts")).where("parts > 1").drop("parts")
-    mixed = prefix.join(mixed, "token")
-    left, right = (mixed.select("token", "main", *[F.col(c).alias(f"{c}{s}") for c in ("id", "comp", "n", "pos")]) for s in "12")
-    meet = left.where("comp1 <> main").join(right.drop("main"), "token").where("comp1 <> comp2 AND (comp2 = main OR id1 < id2)")
+    mixed = by_part.groupBy("token").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("parts"), F.sum("k").alias("held")).where("parts > 1").drop("parts")
+    mixed = join_by_token(prefix, materialize(mixed, "mixed-tokens"), "held")
+    left, right = (mixed.select("token", "main", "held", *[F.col(c).alias(f"{c}{s}") for c in ("id", "comp", "n", "pos")]) for s in "12")
+    # a hot token's rows are dealt out on the right; the left's go to every salt, fewer than the over HOT_ROWS rows that each meets
+    hot = F.col("held") > HOT_ROWS
+    left = left.where("comp1 <> main").withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    right = right.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id2"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    meet = left.join(right.drop("main", "held"), ["token", "salt"]).where("comp1 <> comp2 AND (comp2 = main OR id1 < id2)")
     room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
     meet = meet.where(room & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")))
     return meet.select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).distinct()

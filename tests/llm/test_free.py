@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from facetgraph.llm import html_text, near_dup, packing, top_k, toxicity
 from facetgraph.llm.labelled_pages import PAGES
@@ -93,6 +94,30 @@ def test_near_duplicates_equal_brute_force(spark, words, percent):
     assert kept.columns == docs.columns and kept.where("text <> ''").count() == len({r for r, t in zip(roots, texts) if t})
 
 
+def test_hot_shingles_are_dealt_out(spark, monkeypatch):
+    # prefixes hold the shared elements, in several components, the largest of 20
+    rng = random.Random(4)
+    sets = [(i, i % 5 if i < 40 else (99 if i < 60 else i), sorted({*rng.sample(range(30), 18), *([777] if i % 3 else [])})) for i in range(100)]
+    frame = spark.createDataFrame([(i, s) for i, _, s in sets], "id long, list array<long>")
+    placed = spark.createDataFrame([(i, c) for i, c, _ in sets], "id long, comp long")
+    near = {(j, i) for i, c, s in sets for j, d, t in sets if i < j and c != d and 100 * len({*s} & {*t}) >= 60 * len({*s} | {*t})}
+    plain = {tuple(r) for r in near_dup.prefix_pairs(frame, placed, 60).collect()}
+    monkeypatch.setattr(near_dup, "HOT_ROWS", 10)
+    assert near and near <= plain == {tuple(r) for r in near_dup.prefix_pairs(frame, placed, 60).collect()}
+    rows = spark.range(3000).select("id", F.explode(F.array(F.lit(-1).cast("long"), "id")).alias("token"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        joined = near_dup.join_by_token(rows, rows.groupBy("token").agg(F.count("*").alias("df")), "df").where("token = -1")
+        by_task = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(by_task) == 3000 == joined.select("id").distinct().count() and max(by_task) < 3000 / 2
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_main_text_of_pages():
     model = html_text.train(PAGES)
     page = '<html><body><nav><a href="/">Home</a></nav><script>var t="</p>";</script><article><h1>A &amp; B</h1><p>First<br> line, of  the text.<p>Second one.</article><div class="comments"><p>I was there, too. It is so.</p></div><footer>Terms.</footer></body></html>'
