@@ -32,3 +32,23 @@ def test_stable_output_name(spark):
 
     row = spark.createDataFrame([("Worker.state",)], "n string").select(names.stable_output_name("state_", F.col("n"), "state")).first()
     assert row[0] == "state_Worker_state_60f8674639"
+
+
+def test_event_steps_are_taken_by_day(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from facetgraph.sources.tables import event_steps
+
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(hours=i * i % 977), 1, f"t{i % 5}" if i % 11 else None) for i in range(300)]
+    rows += [(500 + i, start + timedelta(hours=23 * i), None, f"n{i}") for i in range(6)]
+    rows += [(600, None, 2, "first"), (601, start, 2, "a"), (602, start, 2, "b"), (603, start + timedelta(days=400), 2, "late"), (604, start, 3, "only")]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    want = []
+    for user in {r[2] for r in rows}:
+        own = sorted((r for r in rows if r[2] == user), key=lambda r: (r[1] or datetime.min, r[0]))
+        want += [(user, a[0], a[3], b[3]) for a, b in zip(own, own[1:]) if b[3] is not None]
+    steps = event_steps(spark, str(tmp_path))
+    assert sorted(map(str, map(tuple, steps.collect()))) == sorted(map(str, want))
+    windows = [x for x in steps._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Window [lead(src" in x]
+    assert windows and all("__day" in x for x in windows)
