@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from facetgraph.sources.scratch import written as materialize
+
+
 #: A word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -16,26 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh one on a local master."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    base = tempfile.mkdtemp(prefix="facetgraph-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as Parquet to the shared folder and reads it back: lineage ends there, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def whole_text(text: Column | str) -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
@@ -63,6 +45,7 @@ def running_totals(df: DataFrame, group: str, key: str, value: str, order: list[
     `digits` digits cut each group into 16**digits buckets: only the buckets' sums
     meet in a group's window, and rows meet in a bucket's window, so that a group
     holding most of the rows spreads over the cluster. `group` must not hold nulls.
+    Rows that share a key share a bucket: add them up before.
     """
     df = df.withColumn("__bucket", F.substring(F.col(key), 1, digits))
     sums = df.groupBy(group, "__bucket").agg(F.sum(value).alias("__sum"))
@@ -82,6 +65,11 @@ def running_totals(df: DataFrame, group: str, key: str, value: str, order: list[
     )
 
 
+def digits_for(rows: int, in_bucket: int = 4096) -> int:
+    """Hex digits that cut so many rows into buckets of about that size; one at least."""
+    return max(1, math.ceil(math.log(max(rows, 1) / in_bucket, 16)))
+
+
 def join_by_key(rows: DataFrame, few: DataFrame, keys: list[str], cells: Column, salt: Column, most_cells: int = 1_000_000, spread: int = 64) -> DataFrame:
     """rows left join few (one row a key) for keys that may hold a large part of rows.
 

@@ -16,7 +16,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetgraph.llm.common import materialize, shared_dir, table, whole_text
+from facetgraph.llm.common import materialize, table, whole_text
+from facetgraph.sources.scratch import shared_dir
 
 
 @dataclass(frozen=True)
@@ -95,7 +96,9 @@ def findings(ledger: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFr
     """(blob, kind, start, end, __nth) of what the rules' current versions found; code points, end exclusive."""
     names = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.key), F.struct(F.lit(r.kind).alias("kind"), F.lit(i).alias("nth")))])
     each = ledger.select("blob", F.explode("found").alias("f")).where(F.col("f.rule").isin([r.key for r in rules]))
-    each = each.select("blob", names[F.col("f.rule")].alias("r"), F.posexplode("f.hits").alias("pos", "h"))
+    # scans that ran at once, or again after a failure, may have listed a blob twice
+    each = each.groupBy("blob", F.col("f.rule").alias("rule")).agg(F.any_value("f.hits").alias("hits"))
+    each = each.select("blob", names[F.col("rule")].alias("r"), F.posexplode("hits").alias("pos", "h"))
     upto = F.sum(F.col("h.gap") + F.col("h.len")).over(Window.partitionBy("blob", "r.nth").orderBy("pos"))
     placed = each.select("blob", F.col("r.kind").alias("kind"), (upto - F.col("h.len")).alias("start"), upto.alias("end"), F.col("r.nth").alias("__nth"), F.col("h.ok").alias("ok"))
     return placed.where("ok").drop("ok")
