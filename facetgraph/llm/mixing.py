@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetgraph.llm.common import WORD, group_key, id_key, materialize, running_totals, table, whole_text, word_count
+from facetgraph.llm.common import WORD, digits_for, group_key, id_key, join_by_key, materialize, running_totals, table, whole_text, word_count
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max_epochs: float) -> DataFrame:
@@ -21,7 +21,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
     Sources by code point, null last, take the weights in turn. A target stops at
     max_epochs times its source's size and the excess is reshared by weight: with the
     sources ordered by cap / weight, the first whose level fits under its cap fixes the
-    level of all that follow. One row a source takes part in the windows here.
+    level of all that follow. One row a source takes part in the windows here, which are
+    not partitioned: a million sources are about 100 MB in one task.
     """
     sources = sizes.groupBy("__group", "__source").agg(F.sum("size").alias("source_size"))
     ordered = Window.orderBy(F.col("__source").asc_nulls_last())
@@ -39,15 +40,19 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, max
     return sources.select("__group", target.alias("target"))
 
 
-def mix_plan(sizes: DataFrame, order: list[str], weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2, digits: int = 3) -> DataFrame:
-    """Adds `source_size`, `target` and `taken` to sizes(`__group`, `__source`, `__key`, `size`, ...)."""
-    rows = running_totals(sizes, "__group", "__key", "size", order, "__before", "source_size", digits)
-    rows = rows.join(source_targets(sizes, weights, share, max_epochs), "__group")
+def mix_plan(sizes: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, max_epochs: float = 2) -> DataFrame:
+    """Adds `source_size`, `target`, `epochs` and `rest` to sizes(`__group`, `__source`, `__key`, `__tie`, `size`, `n`).
+
+    n rows alike are one row here. A row takes `epochs` times its words and its part of
+    `rest`, words that the first rows by `__key` and `__tie` share; `__before` says how
+    many words the rows before it hold.
+    """
+    sums = sizes.withColumn("__words", F.col("size") * F.col("n"))
+    rows = running_totals(sums, "__group", "__key", "__words", ["__tie"], "__before", "source_size", digits_for(sizes.count()))
+    rows = rows.join(source_targets(sums.select("__group", "__source", F.col("__words").alias("size")), weights, share, max_epochs), "__group")
     budget = F.floor(F.col("target") + 0.5)
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0))
-    rest = budget - epochs * F.col("source_size")
-    taken = epochs * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__before")))
-    return rows.withColumn("taken", taken.cast("long"))
+    return rows.withColumn("epochs", epochs.cast("long")).withColumn("rest", (budget - F.col("epochs") * F.col("source_size")).cast("long"))
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
@@ -55,44 +60,62 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Null text counts 0 words and takes 0; null sources form one source; rows that share
     an id are separate rows, ordered by size; no rows give no rows. Other columns of
-    docs play no part. how: weights, share, max_epochs, digits (see mix_plan).
+    docs play no part. how: weights, share, max_epochs (see source_targets).
     """
-    sizes = materialize(docs.select(F.col(id_col).alias("__id"), word_count(text_col).alias("size"), F.col(source_col).alias("__source")), "mix-sizes")
-    sizes = sizes.withColumn("__group", group_key("__source")).withColumn("__key", id_key("__id"))
-    return mix_plan(sizes, ["__id", "size"], **how).select(F.col("__id").alias(id_col), "size", "source_size", "target", "taken")
+    sizes = docs.select(F.col(id_col).alias("__id"), word_count(text_col).alias("size"), F.col(source_col).alias("__source"))
+    # rows of one id, source and size are alike: added up here, they are told apart again below
+    sizes = materialize(sizes.groupBy("__id", "__source", "size").agg(F.count("*").alias("n")), "mix-sizes")
+    sizes = sizes.withColumns({"__group": group_key("__source"), "__key": id_key("__id"), "__tie": F.struct("__id", "size")})
+    rows = mix_plan(sizes, **how)
+    rows = rows.withColumn("__k", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("__before") - F.col("__k") * F.col("size")))
+    return rows.select(F.col("__id").alias(id_col), "size", "source_size", "target", (F.col("epochs") * F.col("size") + extra).cast("long").alias("taken"))
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
     """docs as the mix takes them, with the columns of docs: a row for each epoch, the one at the cut shortened.
 
     A text at the cut ends after its last taken word. Rows without words are kept once,
-    as they cost nothing. Rows alike in everything are cut as one would be.
+    as they cost nothing. Rows of one id are ordered by size, then by a hash of all their
+    columns (128 bits); rows alike in everything are interchangeable, and those at a cut
+    are added up and dealt anew. Texts stay where they are: each source's epochs and the
+    row at its cut travel to the rows, which compare themselves with it.
     """
-    rows = materialize(
-        docs.select(
-            F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"),
-            F.col(text_col).alias("__text"),
-            F.col(id_col).alias("__id"),
-            F.col(source_col).alias("__source"),
-            word_count(text_col).alias("size"),
-            F.xxhash64(whole_text(text_col)).alias("__hash"),
-        ),
-        "mix-rows",
-    ).withColumns({"__group": group_key("__source"), "__key": id_key("__id")})
-    # The plan is made on narrow rows and joined back by keys that are never null, so that texts are not sorted.
-    keys = ["__key", "__hash", "__group"]
-    plan = mix_plan(rows.select("__id", "__source", "size", *keys), ["__id", "size", "__hash"], **how)
-    plan = plan.groupBy(*keys).agg(F.array_sort(F.collect_list("taken")).alias("__takes"))
-    joined = rows.join(plan, keys).withColumn("__taken", F.get("__takes", F.row_number().over(Window.partitionBy(*keys).orderBy("size")) - 1))
-    whole = F.when(F.col("size") > 0, F.floor(F.col("__taken") / F.col("size"))).otherwise(F.lit(1)).cast("int")
-    part = F.when(F.col("size") > 0, F.col("__taken") % F.col("size")).otherwise(F.lit(0))
-    copies = F.concat(F.array_repeat(F.col("size"), whole), F.when(part > 0, F.array(part)).otherwise(F.array().cast("array<long>")))
-    out = joined.select("__row", "__text", "size", F.explode(copies).alias("__words"))
-    cut = F.array_join(F.slice(F.regexp_extract_all("__text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), 1, F.col("__words").cast("int")), "")
-    text = F.when(F.col("__words") < F.col("size"), cut).otherwise(F.col("__text"))
-    # a count of characters that describes the text follows it
-    names = {text_col: F.col("__shown"), **({"n_chars": F.when(F.col("__words") < F.col("size"), F.length("__shown").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars"))} if "n_chars" in docs.columns else {})}
-    return out.withColumn("__shown", text).select(*[names.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    hashes = F.struct(F.xxhash64(*columns).alias("one"), F.xxhash64(F.lit("two"), *columns).alias("two"))
+    sizes = docs.select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), word_count(text_col).alias("size"), hashes.alias("__hash"))
+    sizes = materialize(sizes.groupBy("__id", "__source", "size", "__hash").agg(F.count("*").alias("n")), "mix-sizes")
+    sizes = sizes.withColumns({"__group": group_key("__source"), "__key": id_key("__id"), "__tie": F.struct("size", "__hash")})
+    plan = mix_plan(sizes.drop("__id"), **how)
+    # of each source the first row, by key and tie, that is not taken whole once more
+    at_cut = F.when(F.col("__before") + F.col("__words") > F.col("rest"), F.struct("__key", "__tie", "n", "size", (F.col("rest") - F.col("__before")).alias("left")))
+    cuts = plan.groupBy("__group").agg(F.max("epochs").alias("__epochs"), F.min(at_cut).alias("__cut"))
+    cuts = materialize(cuts, "mix-cuts")
+
+    words = F.regexp_count(whole_text("__text"), F.lit(WORD)).cast("long")
+    rows = docs.select(F.struct(*columns).alias("__row"), F.col(text_col).alias("__text"), id_key(id_col).alias("__key"), hashes.alias("__hash"), group_key(source_col).alias("__group"))
+    rows = join_by_key(rows, cuts, ["__group"], F.lit(12), F.xxhash64("__hash"))
+    # a text's words are counted only where the key alone does not decide
+    tie, cut = F.struct(words.alias("size"), F.col("__hash")), F.col("__cut")
+    side = F.when(F.col("__key") < cut["__key"], -1).when(F.col("__key") > cut["__key"], 1).when(tie < cut["__tie"], -1).when(tie == cut["__tie"], 0).otherwise(1)
+    rows = rows.withColumn("__side", F.coalesce(side, F.lit(1)))
+    whole = lambda n: F.array_repeat(F.lit(-1).cast("long"), n.cast("int"))
+    part = F.when(cut["left"] % cut["size"] > 0, F.array(cut["left"] % cut["size"])).otherwise(F.array().cast("array<long>"))
+    alone = F.when(~F.coalesce(F.col("__text").rlike(WORD), F.lit(False)), whole(F.lit(1))).when(F.col("__side") == 0, F.concat(whole(F.col("__epochs")), part)).otherwise(whole(F.col("__epochs") + (F.col("__side") < 0).cast("int")))
+    apart = (F.col("__side") == 0) & (cut["n"] > 1)
+    out = rows.where(~apart).select("__row", "__text", F.explode(alone).alias("__words"))
+    if not cuts.where("__cut.n > 1").isEmpty():
+        alike = rows.where(apart).groupBy("__group", "__hash").agg(*[F.any_value(c).alias(c) for c in ("__row", "__text", "__epochs", "__cut")])
+        again = F.concat(whole(F.col("__epochs") * cut["n"] + F.floor(cut["left"] / cut["size"])), part)
+        out = out.union(alike.select("__row", "__text", F.explode(again)))
+    shorter = F.col("__words") >= 0
+    shown = F.array_join(F.slice(F.regexp_extract_all("__text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("__words").cast("int")), "")
+    out = out.withColumn("__shown", F.when(shorter, shown).otherwise(F.col("__text")))
+    names = {text_col: F.col("__shown")}
+    if "n_chars" in docs.columns:
+        # a count of characters that describes the text follows it
+        names["n_chars"] = F.when(shorter, F.length("__shown").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("__row.n_chars"))
+    return out.select(*[names.get(c, F.col(f"__row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
