@@ -8,14 +8,18 @@
    the number of bands is such that a pair at the threshold shares none with a chance
    below one in a million.
 3. In each bucket every class is held against one pivot on full sets, and links join
-   components. A bucket whose other classes are then in one component is done: pairs
-   within a component need no further link.
+   components. In further rounds the classes outside a bucket's largest component are
+   held against some of its classes, as long as that finds enough links. A bucket whose
+   classes are then in one component is done: pairs within one need no further link.
 4. The classes of all other buckets go through an exact join. Their shingles are ordered
-   by rarity; sets at the threshold share a shingle within a short prefix, at positions
-   that leave room for the overlap they need. Pairs of different components that do are
-   verified on full sets. So every pair that shares a bucket is verified, connected
-   already, or ruled out by its sets; a group of near copies costs pairs in proportion
-   to its size, and nothing is capped.
+   by rarity; of two sets at the threshold the smaller shares a shingle within a very
+   short prefix with a short prefix of the larger, at positions that leave room for the
+   overlap they need, and lengths near enough meet only. Pairs of different components
+   that do are verified on full sets. So every pair that shares a bucket is verified,
+   connected already, or ruled out by its sets; a group of near copies costs pairs in
+   proportion to its size, and nothing is capped.
+
+Classes are numbered, and numbers take part in links: an id may hold several texts.
 """
 
 from __future__ import annotations
@@ -30,11 +34,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from facetgraph.llm.common import materialize, table
+from facetgraph.sources.scratch import Scratch
 
 #: Coordinates in a band.
 ROWS = 4
 #: Pairs up to this number (16 bytes each) are broadcast to their sets, more are shuffled.
 MOST_BROADCAST = 1_000_000
+#: Ids of texts up to this number (under 100 bytes each, unless ids are long) are broadcast to the texts, more are shuffled.
+MOST_IDS = 250_000
+#: Rounds of pairs within buckets at most, classes of the largest component to choose from, and the share of links that makes another round worth it.
+ROUNDS, CHOICE, WORTH = 4, 8, 0.01
 #: Tokens held by more rows than this are joined by salted keys; salts that their rows are dealt to.
 HOT_ROWS, SALTS = 1000, 64
 
@@ -129,11 +138,11 @@ def _sketched(docs: DataFrame, words: int, percent: int, with_sets: bool) -> Dat
     return docs.select("id", "text").mapInArrow(_sketcher(words, percent, with_sets), schema)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, comp) for the ids of links(a, b): comp is the least id reachable. Alternates large and small stars (Kiveris et al., 2014)."""
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(num, comp) for the ends of links(a, b): comp is the least number reachable. Alternates large and small stars (Kiveris et al., 2014)."""
     turned = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first()
-    edges = materialize(turned(links), "edges")
+    edges = scratch.write(turned(links), "edges")
     before = mark(edges)
     while True:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -141,32 +150,33 @@ def components(links: DataFrame) -> DataFrame:
         large = turned(both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least)
-        edges = materialize(turned(small), "edges")
+        last, edges = edges, scratch.write(turned(small), "edges")
+        scratch.drop(last)
         after = mark(edges)
         if after == before:
-            roots = edges.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("comp"))
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(roots)
+            roots = edges.select(F.col("b").alias("num")).distinct().select("num", F.col("num").alias("comp"))
+            return edges.select(F.col("a").alias("num"), F.col("b").alias("comp")).union(roots)
         before = after
 
 
-def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity. Few pairs go to the sets, so that only sets in question move."""
-    pairs = materialize(pairs, "pairs")
+    pairs = scratch.write(pairs, "pairs")
     few = pairs.count() <= MOST_BROADCAST
     sent = F.broadcast if few else (lambda df: df)
-    one = sets.select(F.col("id").alias("a"), F.col("list").alias("a_set")).join(sent(pairs), "a")
-    two = sets.select(F.col("id").alias("b"), F.col("list").alias("b_set")).join(sent(pairs.select("b").distinct()), "b", "left_semi")
+    one = sets.select(F.col("num").alias("a"), F.col("list").alias("a_set")).join(sent(pairs), "a")
+    two = sets.select(F.col("num").alias("b"), F.col("list").alias("b_set")).join(sent(pairs.select("b").distinct()), "b", "left_semi")
     both = one.join(two, "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
-    return materialize(both.where(100 * F.col("common") >= percent * (F.size("a_set") + F.size("b_set") - F.col("common"))).select("a", "b"), "links")
+    return scratch.write(both.where(100 * F.col("common") >= percent * (F.size("a_set") + F.size("b_set") - F.col("common"))).select("a", "b"), "links")
 
 
 def join_by_token(rows: DataFrame, few: DataFrame, held: str) -> DataFrame:
-    """rows(id, token, ...) join few(token, held, ...), one row a token: those of tokens with held over HOT_ROWS are dealt to SALTS tasks.
+    """rows(num, token, ...) join few(token, held, ...), one row a token: those of tokens with held over HOT_ROWS are dealt to SALTS tasks.
 
     A hot token has over HOT_ROWS rows, so that few grows by less than SALTS / HOT_ROWS of the rows.
     """
     hot = F.col(held) > HOT_ROWS
-    names = materialize(few.where(hot).select("token"), "hot-tokens")
+    names = few.where(hot).select("token")
     salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
     few = few.withColumn("salt", F.explode(salts))
     if names.isEmpty():
@@ -174,62 +184,112 @@ def join_by_token(rows: DataFrame, few: DataFrame, held: str) -> DataFrame:
     if names.count() <= MOST_BROADCAST:
         names = F.broadcast(names)
     marked = rows.join(names.withColumn("is_hot", F.lit(True)), "token", "left")
-    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("num"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
     return marked.withColumn("salt", salt).drop("is_hot").join(few, ["token", "salt"]).drop("salt")
 
 
-def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different components among placed(id, comp) that can have the similarity.
+def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Pairs (a, b) of different components among placed(num, comp) that can have the similarity.
 
-    With shingles in order of rarity, sets of the similarity share one within their
-    first n - ceil(percent n / 100) + 1, and the first that they share leaves room for
-    the overlap percent (n + m) / (100 + percent). A shingle's rows outside its largest
+    Let n <= m be two sizes. The similarity needs an overlap of percent (n + m) / (100 + percent),
+    which is percent m / 100 at least, and 2 percent n / (100 + percent) at least. So, with
+    shingles in order of rarity, the smaller set shares one of its first
+    n - ceil(2 percent n / (100 + percent)) + 1 with the larger one's first m - ceil(percent m / 100) + 1,
+    and the first one shared leaves room for the overlap. Sets that share a common template
+    and nothing else have their own shingles there, and never meet. Steps of length, each
+    the threshold's ratio wide, are a part of the key. A shingle's rows outside its largest
     component meet all its rows; those inside do not meet one another.
     """
-    tokens = sets.join(placed, "id").select("id", "comp", F.size("list").alias("n"), F.explode("list").alias("token"))
-    counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("df")), "token-counts")
+    tokens = sets.join(placed, "num").select("num", "comp", F.size("list").alias("n"), F.explode("list").alias("token"))
+    counts = scratch.write(tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "token-counts")
     tokens = join_by_token(tokens, counts, "df")
-    ordered = tokens.groupBy("id", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
-    reach = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
-    prefix = ordered.select("id", "comp", "n", F.posexplode(F.slice("t", 1, reach)).alias("pos", "t")).where("t.df > 1")
-    prefix = materialize(prefix.select("id", "comp", "n", "pos", F.col("t.token").alias("token")), "prefixes")
+    # shingles of one set only come first in the order; they are left out, and counted into the positions
+    ordered = tokens.groupBy("num", "comp", "n").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("t"))
+    own = F.col("n") - F.size("t")
+    long_reach = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    short_reach = F.col("n") - F.ceil(F.col("n") * 2 * percent / (100 + percent)) + 1
+    shared = F.slice("t", F.lit(1), F.greatest(F.lit(0), (long_reach - own).cast("int")))
+    prefix = ordered.select("num", "comp", "n", own.alias("own"), short_reach.alias("short"), F.posexplode(shared).alias("at", "t"))
+    step = F.log(F.col("n").cast("double")) / math.log(100 / percent)
+    prefix = prefix.select("num", "comp", "n", (F.col("own") + F.col("at")).alias("pos"), "short", F.col("t.token").alias("token"), step.alias("step"))
+    prefix = scratch.write(prefix, "prefixes")
     by_part = prefix.groupBy("token", "comp").agg(F.count("*").alias("k"))
     mixed = by_part.groupBy("token").agg(F.max(F.struct("k", "comp"))["comp"].alias("main"), F.count("*").alias("parts"), F.sum("k").alias("held")).where("parts > 1").drop("parts")
-    mixed = join_by_token(prefix, materialize(mixed, "mixed-tokens"), "held")
-    left, right = (mixed.select("token", "main", "held", *[F.col(c).alias(f"{c}{s}") for c in ("id", "comp", "n", "pos")]) for s in "12")
-    # a hot token's rows are dealt out on the right; the left's go to every salt, fewer than the over HOT_ROWS rows that each meets
+    mixed = scratch.write(join_by_token(prefix, scratch.write(mixed, "mixed-tokens"), "held"), "mixed-prefixes")
+
+    side = lambda s: mixed.select("token", "main", "held", "short", "step", *[F.col(c).alias(f"{c}{s}") for c in ("num", "comp", "n", "pos")])
+    slack = F.lit(1e-9)
+    short = side(1).where("pos1 < short").withColumn("level", F.explode(F.sequence(F.floor(F.col("step") - slack), F.floor(F.col("step") + 1 + slack)))).drop("step", "short")
+    long = side(2).withColumn("level", F.floor("step")).drop("step", "short")
+    # a hot token's rows are dealt out; those outside its largest component go to every salt
     hot = F.col("held") > HOT_ROWS
-    left = left.where("comp1 <> main").withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
-    right = right.withColumn("salt", F.when(hot, F.pmod(F.xxhash64("id2"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    meet = left.join(right.drop("main", "held"), ["token", "salt"]).where("comp1 <> comp2 AND (comp2 = main OR id1 < id2)")
+    dealt = lambda df, num: df.withColumn("salt", F.when(hot, F.pmod(F.xxhash64(num), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    sent = lambda df: df.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    others = ["main", "held"]
+    keys = ["token", "level", "salt"]
+    from_outside = sent(short.where("comp1 <> main")).join(dealt(long, "num2").drop(*others), keys)
+    from_main = dealt(short.where("comp1 = main"), "num1").join(sent(long.where("comp2 <> main")).drop(*others), keys)
+    meet = from_outside.unionByName(from_main).where("comp1 <> comp2 AND (n1 < n2 OR n1 = n2 AND num1 < num2)")
     room = F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) * (100 + percent) >= percent * (F.col("n1") + F.col("n2"))
-    meet = meet.where(room & (100 * F.least("n1", "n2") >= percent * F.greatest("n1", "n2")))
-    return meet.select(F.greatest("id1", "id2").alias("a"), F.least("id1", "id2").alias("b")).distinct()
+    meet = meet.where(room & (100 * F.col("n1") >= percent * F.col("n2")))
+    return meet.select(F.greatest("num1", "num2").alias("a"), F.least("num1", "num2").alias("b")).distinct()
+
+
+def _by_id(docs: DataFrame, few: DataFrame, how: str) -> DataFrame:
+    """docs joined to few on `id`, null ids being equal; few goes to docs where it is small, so that no text moves."""
+    few = few.withColumnRenamed("id", "__id")
+    if few.count() <= MOST_IDS:
+        few = F.broadcast(few)
+    return docs.join(few, F.col("id").eqNullSafe(F.col("__id")), how).drop("__id")
 
 
 def linked(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """(id, n, comp) for each row of docs(id, text); see near_duplicates."""
-    rows = materialize(_sketched(docs, words, percent, False), "sketches")
-    classes = rows.where("n > 0 AND id IS NOT NULL").groupBy("cls").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("list").alias("list"))
-    classes = materialize(classes, "classes")
-    banded = classes.select("rep", "n", F.explode("list").alias("key"))
-    shared = banded.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("pivot"), F.max("rep").alias("last")).where("pivot.rep <> last")
-    members = materialize(banded.join(shared, "key").select("key", F.col("rep").alias("id"), "n", "pivot"), "members")
-    wanted = members.select("id").distinct().join(classes.select(F.col("rep").alias("id"), "cls"), "id")
-    texts = docs.join(wanted.select("id"), "id", "left_semi")
-    sets = _sketched(texts, words, percent, True).join(wanted.select("id", "cls"), ["id", "cls"], "left_semi")
-    sets = materialize(sets.dropDuplicates(["id"]).select("id", "list"), "sets")
-
-    rest = members.where("id <> pivot.rep")
-    near = 100 * F.least("n", "pivot.n") >= percent * F.greatest("n", "pivot.n")
-    links = verified(rest.where(near).select(F.col("id").alias("a"), F.col("pivot.rep").alias("b")).distinct(), sets, percent)
-    placed = rest.join(components(links), "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    placed = materialize(placed.join(mixed, "key", "left_semi").select("id", "comp").distinct(), "placed")
-    labels = components(links.union(verified(prefix_pairs(sets, placed, percent), sets, percent)))
-    named = classes.select("cls", "rep").join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("cls", F.coalesce("comp", "rep").alias("comp"))
-    out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
-    return out.select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("comp", "id")).alias("comp"))
+    """(id, n, comp) for each row of docs(id, text): comp is the least id of the row's component; see near_duplicates."""
+    with Scratch(docs.sparkSession, "near-dup") as scratch:
+        rows = scratch.write(_sketched(docs, words, percent, False), "sketches")
+        classes = rows.where("n > 0").groupBy("cls").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("list").alias("list"))
+        classes = scratch.write(classes.withColumn("num", F.monotonically_increasing_id()), "classes")
+        banded = classes.select("num", "n", F.explode("list").alias("key"))
+        shared = banded.groupBy("key").agg(F.min(F.struct("num", "n")).alias("pivot"), F.max("num").alias("last")).where("pivot.num <> last")
+        members = scratch.write(banded.join(shared, "key").select("key", "num", "n", "pivot"), "members")
+        wanted = classes.join(members.select("num").distinct(), "num", "left_semi").select("num", "cls", F.col("rep").alias("id"))
+        wanted = scratch.write(wanted, "wanted")
+        texts = _by_id(docs, wanted.select("id").distinct(), "left_semi")
+        found = _sketched(texts, words, percent, True).select("cls", "list")
+        sets = scratch.write(found.join(F.broadcast(wanted) if wanted.count() <= MOST_IDS else wanted, "cls").select("num", "list"), "sets")
+        if sets.count() > wanted.count():
+            # some texts stand under their id more than once
+            sets = scratch.write(sets.groupBy("num").agg(F.any_value("list").alias("list")), "sets")
+
+        near = lambda a, b: 100 * F.least(a, b) >= percent * F.greatest(a, b)
+        pairs = members.where("num <> pivot.num").where(near("n", "pivot.n")).select(F.col("num").alias("a"), F.col("pivot.num").alias("b")).distinct()
+        links = verified(pairs, sets, percent, scratch)
+        worth = True
+        for turn in range(1, ROUNDS + 1):
+            labels = scratch.write(components(links, scratch), "labels")
+            placed = scratch.write(members.join(labels, "num", "left").select("key", "num", "n", F.coalesce("comp", "num").alias("comp")), "placed")
+            # of each bucket the largest component, and some of its classes by chance
+            some = [F.min_by(F.struct("num", "n"), F.xxhash64(F.lit(turn), F.lit(i), "num")) for i in range(CHOICE)]
+            parts = placed.groupBy("key", "comp").agg(F.count("*").alias("k"), F.array(*some).alias("some"))
+            mixed = parts.groupBy("key").agg(F.max_by(F.struct("comp", "some"), F.struct("k", "comp")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+            mixed = scratch.write(mixed.select("key", "main"), "mixed")
+            if turn == ROUNDS or not worth or mixed.isEmpty():
+                break
+            other = F.get("main.some", F.pmod(F.xxhash64("num", "key"), F.lit(CHOICE)).cast("int"))
+            pairs = placed.join(mixed, "key").where("comp <> main.comp").withColumn("other", other).where(near("n", "other.n"))
+            pairs = scratch.write(pairs.select(F.greatest("num", "other.num").alias("a"), F.least("num", "other.num").alias("b")).distinct(), "asked")
+            more = verified(pairs, sets, percent, scratch)
+            worth = more.count() >= WORTH * pairs.count()
+            links = scratch.write(links.union(more), "links")
+        if not mixed.isEmpty():
+            placed = scratch.write(placed.join(mixed, "key", "left_semi").select("num", "comp").distinct(), "placed")
+            more = verified(prefix_pairs(sets, placed, percent, scratch), sets, percent, scratch)
+            labels = components(labels.select(F.col("num").alias("a"), F.col("comp").alias("b")).union(more), scratch)
+        ends = scratch.write(labels.join(classes.select("num", "cls", "rep"), "num"), "ends")
+        least = ends.groupBy("comp").agg(F.min("rep").alias("least"))
+        named = classes.select("cls", "rep").join(ends.join(least, "comp").select("cls", "least"), "cls", "left").select("cls", F.coalesce("least", "rep").alias("comp"))
+        out = rows.select("id", "n", F.when(F.col("n") > 0, F.col("cls")).alias("cls")).join(named, "cls", "left")
+        return materialize(out.select("id", "n", F.when(F.col("n") > 0, F.col("comp")).otherwise(F.col("id")).alias("comp")), "near-dup")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -237,23 +297,33 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Two texts are linked if their sets of distinct word shingles have a Jaccard
     similarity of percent or more. Null and empty texts have no shingles and no links.
-    Rows that share an id and a text share a result. Rows with a null id are counted
-    but not linked: component_id null, kept false. Other columns are ignored; no rows
-    give no rows.
+    Rows are linked by their texts: an id that stands on several rows may be in several
+    components, and rows with a null id take part; they name a component (by null) only
+    if it has no other id, and are never kept. Other columns are ignored; no rows give
+    no rows.
     """
     out = linked(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words, percent)
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("comp").alias("component_id"), F.coalesce(F.col("id") == F.col("comp"), F.lit(False)).alias("kept"))
 
 
-def one_of_each_group(docs: DataFrame, text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, one for each group of near-duplicates, unchanged: the group's first by number.
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, one for each group of near-duplicates, unchanged: the group's first by id, a null first.
 
-    Rows are numbered here, so that neither nulls nor repeats among their ids matter.
+    Rows of one id are told apart by a hash of all their columns, 128 bits long; of rows
+    alike in everything one stays, all if they have no words. Only ids move: rows that go
+    are named to the rows, and rows alike in everything are added up where they stand.
     """
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("id"))
-    rows = materialize(rows, "numbered")
-    kept = linked(rows.select("id", F.col("row").getField(text_col).alias("text")), words, percent).where("id = comp").select("id")
-    return rows.join(kept, "id", "left_semi").select("row.*")
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(*columns).alias("one"), F.xxhash64(F.lit("two"), *columns).alias("two"))
+    out = linked(docs.select(key.alias("id"), F.col(text_col).alias("text")), words, percent).where("n > 0")
+    again = out.where("id = comp").groupBy("id").agg(F.count("*").alias("n")).where("n > 1")
+    marks = out.where("id <> comp").select("id", F.lit(False).alias("once")).distinct().union(again.select("id", F.lit(True)))
+    marks = materialize(marks, "near-dup-marks")
+    rows = _by_id(docs.select(F.struct(*columns).alias("row"), key.alias("id")), marks, "left")
+    kept = rows.where("once IS NULL").select("row.*")
+    if marks.where("once").isEmpty():
+        return kept
+    return kept.union(rows.where("once").groupBy("id").agg(F.any_value("row").alias("row")).select("row.*"))
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from facetgraph.llm import html_text, near_dup, packing, top_k, toxicity
 from facetgraph.llm.labelled_pages import PAGES
+from facetgraph.sources.scratch import Scratch
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -98,13 +99,14 @@ def test_hot_shingles_are_dealt_out(spark, monkeypatch):
     # prefixes hold the shared elements, in several components, the largest of 20
     rng = random.Random(4)
     sets = [(i, i % 5 if i < 40 else (99 if i < 60 else i), sorted({*rng.sample(range(30), 18), *([777] if i % 3 else [])})) for i in range(100)]
-    frame = spark.createDataFrame([(i, s) for i, _, s in sets], "id long, list array<long>")
-    placed = spark.createDataFrame([(i, c) for i, c, _ in sets], "id long, comp long")
+    frame = spark.createDataFrame([(i, s) for i, _, s in sets], "num long, list array<long>")
+    placed = spark.createDataFrame([(i, c) for i, c, _ in sets], "num long, comp long")
+    scratch = Scratch(spark, "hot-shingles")
     near = {(j, i) for i, c, s in sets for j, d, t in sets if i < j and c != d and 100 * len({*s} & {*t}) >= 60 * len({*s} | {*t})}
-    plain = {tuple(r) for r in near_dup.prefix_pairs(frame, placed, 60).collect()}
+    plain = {tuple(r) for r in near_dup.prefix_pairs(frame, placed, 60, scratch).collect()}
     monkeypatch.setattr(near_dup, "HOT_ROWS", 10)
-    assert near and near <= plain == {tuple(r) for r in near_dup.prefix_pairs(frame, placed, 60).collect()}
-    rows = spark.range(3000).select("id", F.explode(F.array(F.lit(-1).cast("long"), "id")).alias("token"))
+    assert near and near <= plain == {tuple(r) for r in near_dup.prefix_pairs(frame, placed, 60, scratch).collect()}
+    rows = spark.range(3000).select(F.col("id").alias("num"), F.explode(F.array(F.lit(-1).cast("long"), "id")).alias("token"))
     conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
     before = {k: spark.conf.get(k) for k in conf}
     try:
@@ -112,12 +114,41 @@ def test_hot_shingles_are_dealt_out(spark, monkeypatch):
             spark.conf.set(k, v)
         joined = near_dup.join_by_token(rows, rows.groupBy("token").agg(F.count("*").alias("df")), "df").where("token = -1")
         by_task = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
-        assert sum(by_task) == 3000 == joined.select("id").distinct().count() and max(by_task) < 3000 / 2
+        assert sum(by_task) == 3000 == joined.select("num").distinct().count() and max(by_task) < 3000 / 2
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
 
 
+def test_an_id_of_two_texts(spark):
+    rng = random.Random(5)
+    a, b = (" ".join(rng.choice("abcdefghijklmnop") + str(rng.randint(0, 99)) for _ in range(60)) for _ in range(2))
+    rows = [(3, a), (3, b), (1, a + " x"), (2, b + " y"), (None, b), (None, None), (4, "alone here, as it is")]
+    out = near_dup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=3, percent=85)
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id, r.kept) for r in out.collect())
+    assert got == [(0, 0, None, False), (0, 58, 2, False), (1, 59, 1, True), (2, 59, 2, True), (3, 58, 1, False), (3, 58, 2, False), (4, 3, 4, True)]
+
+
+def test_near_duplicates_of_no_documents(spark):
+    empty = spark.createDataFrame([], SCHEMA)
+    assert near_dup.near_duplicates(empty).collect() == near_dup.one_of_each_group(empty).collect() == []
+
+
+def test_texts_of_a_template_do_not_all_meet(spark):
+    # 3,000 texts of one template, each with own words: similar to 0.79 at most, nothing to link but the two planted pairs
+    rng = random.Random(6)
+    template = [f"t{i}" for i in range(48)]
+    texts = [" ".join([*template, *[f"u{rng.randrange(10**9)}" for _ in range(6)]]) for _ in range(3000)]
+    texts[17], texts[19] = texts[16] + " end", texts[18] + " end"
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = near_dup.near_duplicates(docs).where("doc_id <> component_id").select("doc_id", "component_id").collect()
+    assert sorted(tuple(r) for r in out) == [(17, 16), (19, 18)]
+    with Scratch(spark, "template") as scratch:
+        sets = near_dup._sketched(docs.withColumnRenamed("doc_id", "id"), 5, 80, True).select(F.col("id").alias("num"), "list")
+        placed = spark.range(3000).select(F.col("id").alias("num"), F.col("id").alias("comp"))
+        assert near_dup.prefix_pairs(sets, placed, 80, scratch).count() <= 10
+
+
 def test_main_text_of_pages():
     model = html_text.train(PAGES)
     page = '<html><body><nav><a href="/">Home</a></nav><script>var t="</p>";</script><article><h1>A &amp; B</h1><p>First<br> line, of  the text.<p>Second one.</article><div class="comments"><p>I was there, too. It is so.</p></div><footer>Terms.</footer></body></html>'
