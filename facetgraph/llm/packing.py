@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import heapq
 import math
-import struct
+import string
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -27,12 +27,13 @@ from facetgraph.llm.common import materialize, table
 
 CAPACITY, END_ID = 2048, 1
 #: Pieces are this long at most, and about so many meet in a group.
-PIECE, GROUP = 512, 1024
-#: Words whose ids a task remembers before it starts anew.
-MEMORY = 400_000
+PIECE, GROUP = 512, 512
+#: Words whose ids a task remembers before it starts anew, bytes of text looked at together, and words tokenized together.
+MEMORY, PORTION, TOGETHER = 400_000, 2_000_000, 20_000
 #: Small letters that lower-casing and composing leave alone. The default tokenizer never cuts a word of them
-#: before its merges, and sets a comma or full stop behind one apart; PROBES tell whether a tokenizer is of that kind.
+#: before its merges, and sets ASCII punctuation behind one apart; PROBES tell whether a tokenizer is of that kind.
 LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c and unicodedata.is_normalized("NFC", c))
+PUNCTUATION = string.punctuation.encode()
 PROBES = ("the", "Straße", "Étoile", "naïveté", "a" * 300)
 #: The sign that stands for each byte in a byte-level vocabulary: itself where it can be seen, else the next from U+0100.
 SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -84,38 +85,89 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 class _WordIds(dict):
-    """Token ids, as bytes, by word; learns a word when it is first asked for and starts anew beyond MEMORY words."""
+    """Token ids, as bytes, by word; starts anew beyond MEMORY words.
+
+    A small word of letters with punctuation behind is cut there by the default tokenizer,
+    and its letters are one word of the merges. Such letters go to the merges together, in
+    one text, and are told apart by the tokens that end a word. All other words go to the
+    whole tokenizer one by one.
+    """
 
     def __init__(self, tokenizer) -> None:
+        from tokenizers import Tokenizer, pre_tokenizers
+
         super().__init__()
-        self.tokenizer = tokenizer
-        self.letters_whole = all(self._letters(w.lower()) == self._any(w) for w in PROBES)
+        self.tokenizer, self.merges = tokenizer, Tokenizer(tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+        self.letters_whole = bool(suffix) and self._together([w.lower() for w in PROBES]) == [self._any(w) for w in PROBES]
 
     def _any(self, word: str) -> bytes:
-        ids = self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _letters(self, word: str) -> bytes:
-        signs = word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_SIGNS)
-        ids = [t.id for t in self.tokenizer.model.tokenize(signs)]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def __missing__(self, word: bytes) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _together(self, stems: list[str]) -> list[bytes]:
+        text = " ".join(stems)
+        if not text.isascii():
+            text = " ".join(stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTE_SIGNS) for stem in stems)
+        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+        if len(ends) != len(stems):
+            return [self._any(stem) for stem in stems]
+        data = ids.tobytes()
+        return [data[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, words: set[bytes]) -> None:
+        """From now on all of words are known."""
         if len(self) > MEMORY:
             self.clear()
-        text = word.decode().lower()
-        stem, tail = (text[:-1], text[-1]) if len(text) > 1 and text[-1] in ".," else (text, "")
-        if self.letters_whole and LETTERS.issuperset(stem):
-            key = stem.encode()
-            ids = self.get(key)
-            if ids is None:
-                ids = self[key] = self._letters(stem)
-            if tail:
-                ids += self[tail.encode()]
+        tailed, stems = [], []
+        for word in words.difference(self):
+            stem = word.rstrip(PUNCTUATION)
+            if self.letters_whole and stem and (stem.isalpha() and stem.islower() or not stem.isascii() and LETTERS.issuperset(stem.decode())):
+                if stem not in self:
+                    self[stem] = b""
+                    stems.append(stem)
+                if len(stem) < len(word):
+                    tailed.append((word, stem))
+            else:
+                self[word] = self._any(word.decode())
+        for lo in range(0, len(stems), TOGETHER):
+            some = stems[lo : lo + TOGETHER]
+            self.update(zip(some, self._together([stem.decode() for stem in some]), strict=True))
+        for word, stem in tailed:
+            tail = word[len(stem) :]
+            if tail not in self:
+                self[tail] = self._any(tail.decode())
+            self[word] = self[stem] + self[tail]
+
+
+def _portions(texts: Iterator[pa.StringScalar]) -> Iterator[list[list[bytes]]]:
+    """The words of each text, in lists of texts that hold PORTION bytes together or are one text.
+
+    Texts of the first 256 characters, which compose to themselves, are lower-cased here,
+    as the default tokenizer does; so fewer words are new.
+    """
+    some, held = [], 0
+    for scalar in texts:
+        text = scalar.as_py() or ""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            data = text.encode()
         else:
-            ids = self._any(word.decode())
-        self[word] = ids
-        return ids
+            data = text.lower().encode()
+        if some and held + len(data) > PORTION:
+            yield some
+            some, held = [], 0
+        # The tokenizer drops white space and looks at nothing across it; bytes.split knows the six ASCII spaces only.
+        some.append(data.split())
+        held += len(data)
+    if some:
+        yield some
 
 
 def _cutter(tokenizer_file: str | None, capacity: int, piece: int):
@@ -133,20 +185,22 @@ def _cutter(tokenizer_file: str | None, capacity: int, piece: int):
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             rows, starts, lengths, sums, totals = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
-                # The tokenizer drops white space and looks at nothing across it; bytes.split knows the six ASCII spaces only.
-                words = (text.as_py() or "").encode().split()
-                ids = b"".join(map(known.__getitem__, words)) + end
-                total = len(ids) // 4
-                start = 0
-                while start < total:
-                    length = capacity if total - start >= capacity else min(piece, total - start)
-                    rows.append(row)
-                    starts.append(start)
-                    lengths.append(length)
-                    sums.append(zlib.crc32(ids[4 * start : 4 * (start + length)]))
-                    totals.append(total)
-                    start += length
+            row = -1
+            for texts in _portions(batch.column(1)):
+                known.learn(set().union(*texts))
+                for words in texts:
+                    row += 1
+                    ids = b"".join(map(known.__getitem__, words)) + end
+                    total = len(ids) // 4
+                    start = 0
+                    while start < total:
+                        length = capacity if total - start >= capacity else min(piece, total - start)
+                        rows.append(row)
+                        starts.append(start)
+                        lengths.append(length)
+                        sums.append(zlib.crc32(ids[4 * start : 4 * (start + length)]))
+                        totals.append(total)
+                        start += length
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals)]], ["id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return run
