@@ -22,14 +22,18 @@ from pyspark.sql import types as T
 
 from facetgraph.llm.common import table
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+#: A quote opens a value only behind an equals sign. Nothing is given back on the way, so that a match takes linear time.
+TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+)>""")
+#: The same without quotes, for pages in which a tag never ends.
+LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"""([a-zA-Z][\w:-]*)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
 NAME_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 BLOCKS = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 #: Content of these is never text of the page.
-DROPPED = frozenset("script style noscript template head title textarea select button svg iframe object canvas math option datalist audio video".split())
+DROPPED = frozenset("script style noscript template head title textarea select button svg iframe option datalist".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SECTIONS = frozenset("#page html body nav header footer aside article main section div form menu".split())
 #: A start tag of the first closes an open element of the second, within the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
@@ -52,11 +56,59 @@ class Node:
         return int(not self.names and self.tag not in SECTIONS)
 
 
+def tags(page: str) -> Iterator[tuple[str, bool, str, str, int]]:
+    """(text before, is an end tag, name, attributes, place behind) of each tag; the last one has no name. Sent a place, goes on there.
+
+    Comments and declarations have no name either. A page is read once: only the first
+    tag that never ends is looked for up to the page's end.
+    """
+    pattern, at, start = TAG, 0, 0
+    while True:
+        begin = page.find("<", at)
+        if begin < 0:
+            break
+        sign = page[begin + 1 : begin + 2]
+        if page.startswith("<!--", begin):
+            end = page.find("-->", begin + 4)
+            end = len(page) if end < 0 else end + 3
+            found = (False, "", "")
+        elif sign in ("!", "?"):
+            end = page.find(">", begin)
+            if end < 0:
+                break
+            end, found = end + 1, (False, "", "")
+        elif sign == "/" or sign.isalpha():
+            match = pattern.match(page, begin)
+            if match is None and (sign.isascii() and sign.isalpha() or page[begin + 2 : begin + 3].isalpha()):
+                pattern = LOOSE_TAG
+                match = pattern.match(page, begin)
+                if match is None and page.find(">", begin) < 0:
+                    break
+            if match is None:
+                at = begin + 1
+                continue
+            end, found = match.end(), (bool(match[1]), match[2].lower(), match[3])
+        else:
+            at = begin + 1
+            continue
+        moved = yield (page[start:begin], *found, end)
+        start = at = end if moved is None else moved
+        if moved is not None:
+            yield ("", False, "", "", at)  # answers the send
+    yield (page[start:], False, "", "", len(page))
+
+
 def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
-    """The block elements, parents first, and the runs of text (node, text) in page order."""
+    """The block elements, parents first, and the runs of text (node, text) in page order; in time linear in the page."""
     nodes, runs = [Node(-1, "#page", [])], []
     stack, words, links = [0], [], 0
-    low = None
+    # where the open elements of each tag stand in the stack, and those that are neither paragraph nor heading
+    open_at: dict[str, list[int]] = {}
+    others: list[int] = [0]
+    low, unclosed = None, set()
+
+    def last(names) -> int:
+        return max((open_at[n][-1] for n in names if open_at.get(n)), default=-1)
 
     def flush() -> None:
         nonlocal words
@@ -69,30 +121,27 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
 
     def pop_to(depth: int) -> None:
         flush()
-        del stack[depth:]
+        while len(stack) > depth:
+            tag = nodes[stack.pop()].tag
+            open_at[tag].pop()
+            if others[-1] == len(stack):
+                others.pop()
 
-    at = 0
-    while at < len(page):
-        found = TOKEN.search(page, at)
-        text = page[at : found.start() if found else len(page)]
+    reader = tags(page)
+    for text, ends, tag, attributes, at in reader:
         if text:
             if "&" in text:
                 text = entities.unescape(text)
             words.append(text)
             if links:
                 nodes[stack[-1]].linked += len(text.strip())
-        if not found:
-            break
-        at = found.end()
-        tag = (found[2] or "").lower()
         if not tag:
             continue
-        if found[1]:
+        if ends:
             if tag in BLOCKS:
-                for depth in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[depth]].tag == tag:
-                        pop_to(depth)
-                        break
+                depth = last((tag,))
+                if depth > 0:
+                    pop_to(depth)
                 else:
                     flush()
                 links = 0
@@ -103,10 +152,12 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
             low = low if low is not None else page.lower()
             if len(low) != len(page):  # lower case of some letters is longer
                 low = page
-            end = low.find(f"</{tag}", at)
-            if end >= 0 and not found[3].endswith("/"):
+            end = -1 if tag in unclosed or attributes.endswith("/") else low.find(f"</{tag}", at)
+            if end >= 0:
                 close = page.find(">", end)
-                at = len(page) if close < 0 else close + 1
+                reader.send(len(page) if close < 0 else close + 1)
+            elif not attributes.endswith("/"):
+                unclosed.add(tag)
             words.append(" ")
             continue
         if tag == "br":
@@ -116,22 +167,16 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
         elif tag in BLOCKS:
             flush()
             links = 0
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == "p":
-                    pop_to(depth)
-                    break
-                if nodes[stack[depth]].tag not in ("p", "h1", "h2", "h3", "h4", "h5", "h6"):
-                    break
+            depth = last(("p",))
+            if depth > others[-1]:
+                pop_to(depth)
             if tag in CLOSES:
                 own, within = CLOSES[tag]
-                for depth in range(len(stack) - 1, 0, -1):
-                    if nodes[stack[depth]].tag in within:
-                        break
-                    if nodes[stack[depth]].tag in own:
-                        pop_to(depth)
-                        break
+                depth = last(own)
+                if depth > max(0, last(within)):
+                    pop_to(depth)
             names, label = [], None
-            for name, value in ATTRIBUTE.findall(found[3]):
+            for name, value in ATTRIBUTE.findall(attributes):
                 name, value = name.lower(), value.strip("\"'")
                 if name in ("class", "id", "role", "itemprop", "aria-label"):
                     names += [w.lower() for w in NAME_WORD.findall(value)]
@@ -141,6 +186,9 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str]]]:
                     label = int(value)
             if tag != "hr":
                 nodes.append(Node(stack[-1], tag, names, label))
+                open_at.setdefault(tag, []).append(len(stack))
+                if tag != "p" and tag not in HEADINGS:
+                    others.append(len(stack))
                 stack.append(len(nodes) - 1)
     flush()
     below, linked = [n.chars for n in nodes], [n.linked for n in nodes]
