@@ -37,6 +37,15 @@ STEPS = 60
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
+#: The least and most share of toxic rows that is believed; without labels, the least.
+PRIORS = (0.001, 0.5)
+
+
+def words(text: str) -> list[str]:
+    """A text's tokens, lower-cased one by one, so that their places are those of the text itself."""
+    return TOKEN.findall(text.lower()) if text.isascii() else [t.lower() for t in TOKEN.findall(text)]
+
+
 def features(token: str) -> list[str]:
     """A token's features: itself, and its first four to six letters."""
     return ["=" + token, *[token[:k] for k in (4, 5, 6) if len(token) > k]]
@@ -72,8 +81,8 @@ def _posteriors(unary: np.ndarray, moves: np.ndarray, times: np.ndarray) -> tupl
 
 
 def fit(rows: list[tuple[str, int]], prior: float) -> ToxicityModel:
-    """The field of labelled rows (text, toxic); prior: the share of toxic rows outside the sample."""
-    rows = [(TOKEN.findall(text.lower()), toxic) for text, toxic in dict.fromkeys(rows)]  # a copy is no new evidence
+    """The field of labelled rows (text, toxic); prior: the share of toxic rows outside the sample. Without rows nothing is toxic."""
+    rows = [(words(text), toxic) for text, toxic in dict.fromkeys(rows)]  # a copy is no new evidence
     seen = {0: Counter(), 1: Counter()}
     for tokens, toxic in rows:
         seen[toxic].update({f for t in set(tokens) for f in features(t)})
@@ -130,14 +139,16 @@ def fit(rows: list[tuple[str, int]], prior: float) -> ToxicityModel:
     evidence = Scorer(model).evidence
     x = np.array([evidence(tokens)[0] for tokens, _ in rows])
     y = np.array([toxic for _, toxic in rows])
-    # logistic calibration, with rows weighted to the prior
+    # logistic calibration, with rows weighted to the prior, which is also what holds without evidence
+    prior = min(max(prior, PRIORS[0]), PRIORS[1])
+    start = math.log(prior / (1 - prior))
     scale = np.where(y == 1, prior * len(y) / of[1], (1 - prior) * len(y) / of[0])
-    slope, offset = 0.5, 0.0
+    slope, offset = 0.5, start
     for _ in range(200):
         p = 1 / (1 + np.exp(-np.clip(slope * x + offset, -30, 30)))
         g, h = scale * (y - p), scale * p * (1 - p) + 1e-6
         a, b, c = (h * x * x).sum() + 0.1, (h * x).sum(), h.sum() + 0.1
-        u, v = (g * x).sum() - 0.1 * slope, g.sum() - 0.1 * offset
+        u, v = (g * x).sum() - 0.1 * slope, g.sum() - 0.1 * (offset - start)
         det = a * c - b * b
         slope, offset = slope + 0.5 * (c * u - b * v) / det, offset + 0.5 * (a * v - b * u) / det
     model.slope, model.offset = float(slope), float(offset)
@@ -200,11 +211,10 @@ class Scorer:
 
     def score(self, text: str) -> tuple[float, list[tuple[int, int]]]:
         """A text's score, and the offsets of its tokens with a marginal of a half or more."""
-        low = text.lower()
-        x, out = self.evidence(TOKEN.findall(low))
+        x, out = self.evidence(words(text))
         spans = []
         if any(p >= 0.5 for _, p in out):
-            places = [m.span() for m in TOKEN.finditer(low)]
+            places = [m.span() for m in TOKEN.finditer(text)]
             spans = [places[i] for i, p in out if p >= 0.5]
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, self.model.slope * x + self.model.offset)))), spans
 
@@ -241,4 +251,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = fit(*training_sample(docs, table(spark, sf_dir, "labels")))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
-    return score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return score_documents(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "spans")
