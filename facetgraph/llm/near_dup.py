@@ -29,7 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,8 +44,8 @@ MOST_BROADCAST = 1_000_000
 MOST_IDS = 250_000
 #: Rounds of pairs within buckets at most, classes of the largest component to choose from, and the share of links that makes another round worth it.
 ROUNDS, CHOICE, WORTH = 4, 8, 0.01
-#: Tokens held by more rows than this are joined by salted keys; salts that their rows are dealt to.
-HOT_ROWS, SALTS = 1000, 64
+#: Tokens held by more rows than this are joined by salted keys, a salt for each so many rows.
+HOT_ROWS = 1000
 
 
 def bands_for(percent: int, miss: float = 1e-6) -> int:
@@ -170,22 +170,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch)
     return scratch.write(both.where(100 * F.col("common") >= percent * (F.size("a_set") + F.size("b_set") - F.col("common"))).select("a", "b"), "links")
 
 
+def _salts(held: str) -> Column:
+    """How many tasks a token's rows are dealt to."""
+    return (F.floor(F.col(held) / HOT_ROWS) + 1).cast("int")
+
+
 def join_by_token(rows: DataFrame, few: DataFrame, held: str) -> DataFrame:
-    """rows(num, token, ...) join few(token, held, ...), one row a token: those of tokens with held over HOT_ROWS are dealt to SALTS tasks.
+    """rows(num, token, ...) join few(token, held, ...), one row a token: those of tokens with held over HOT_ROWS are dealt to _salts() tasks.
 
-    A hot token has over HOT_ROWS rows, so that few grows by less than SALTS / HOT_ROWS of the rows.
+    few grows by less than a row for HOT_ROWS of the rows.
     """
-    hot = F.col(held) > HOT_ROWS
-    names = few.where(hot).select("token")
-    salts = F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    few = few.withColumn("salt", F.explode(salts))
+    names = few.where(F.col(held) > HOT_ROWS).select("token", _salts(held).alias("salts"))
     if names.isEmpty():
-        return rows.join(few.drop("salt"), "token")
+        return rows.join(few, "token")
+    few = few.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts(held) - 1)))
     if names.count() <= MOST_BROADCAST:
         names = F.broadcast(names)
-    marked = rows.join(names.withColumn("is_hot", F.lit(True)), "token", "left")
-    salt = F.when(F.col("is_hot"), F.pmod(F.xxhash64("num"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
-    return marked.withColumn("salt", salt).drop("is_hot").join(few, ["token", "salt"]).drop("salt")
+    salt = F.coalesce(F.pmod(F.xxhash64("num"), F.col("salts")).cast("int"), F.lit(0))
+    return rows.join(names, "token", "left").withColumn("salt", salt).drop("salts").join(few, ["token", "salt"]).drop("salt")
 
 
 def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
@@ -222,9 +224,8 @@ def prefix_pairs(sets: DataFrame, placed: DataFrame, percent: int, scratch: Scra
     short = side(1).where("pos1 < short").withColumn("level", F.explode(F.sequence(F.floor(F.col("step") - slack), F.floor(F.col("step") + 1 + slack)))).drop("step", "short")
     long = side(2).withColumn("level", F.floor("step")).drop("step", "short")
     # a hot token's rows are dealt out; those outside its largest component go to every salt
-    hot = F.col("held") > HOT_ROWS
-    dealt = lambda df, num: df.withColumn("salt", F.when(hot, F.pmod(F.xxhash64(num), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
-    sent = lambda df: df.withColumn("salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    dealt = lambda df, num: df.withColumn("salt", F.pmod(F.xxhash64(num), _salts("held")).cast("int"))
+    sent = lambda df: df.withColumn("salt", F.explode(F.sequence(F.lit(0), _salts("held") - 1)))
     others = ["main", "held"]
     keys = ["token", "level", "salt"]
     from_outside = sent(short.where("comp1 <> main")).join(dealt(long, "num2").drop(*others), keys)
