@@ -5,15 +5,78 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Words, codes and orders of the rules below.
+HANDLER_PREFIXES = ("on_", "handle_", "handle", "do_")
+HANDLER_SUFFIXES = ("_clicked", "_click", "_pressed", "_press", "_triggered", "_changed")
+CONFIDENCE = {"confirmed": 2, "inferred": 1}
+SERVICE_KINDS = {
+    "database": ("postgres", "mysql", "mariadb", "mongo", "sqlite"),
+    "cache": ("redis", "memcached"),
+    "message-queue": ("rabbitmq", "kafka", "nats", "activemq"),
+}
+RESPONSIBILITIES = (
+    (("load", "read", "save", "write"), "Handles %s data input and output."),
+    (("update", "process", "run", "execute"), "Coordinates %s processing."),
+    (("validate", "check", "evaluate"), "Validates or evaluates %s state."),
+    ((), "Manages %s state and behavior."),
+)
+RESOURCE_KINDS = {
+    "actions/cache": "cache",
+    "actions/cache/restore": "cache-restore",
+    "actions/cache/save": "cache-save",
+    "actions/upload-artifact": "artifact-upload",
+    "actions/download-artifact": "artifact-download",
+}
 
-def diagram_id(name: Column) -> Column:
-    """n_ and ten hex digits of the name's SHA-1."""
-    return F.concat(F.lit("n_"), F.substring(F.sha1(name), 1, 10))
 
+def node_id(name: Column, prefix: str = "n_") -> Column:
+    """prefix and the name, every sign but ASCII letters, digits and underscores as an underscore."""
+    return F.concat(F.lit(prefix), F.regexp_replace(name, "[^0-9A-Za-z_]", "_"))
 
-def diagram_label(text: Column) -> Column:
-    """Quotes as entities, line ends as breaks."""
-    return F.regexp_replace(F.replace(text, F.lit('"'), F.lit("&quot;")), "\r\n|\r|\n", "<br/>")
+
+def hashed_id(name: Column, prefix: str) -> Column:
+    """prefix and ten hex digits of the name's SHA-1."""
+    return F.concat(F.lit(prefix), F.substring(F.sha1(name), 1, 10))
+
+
+def quoted(text: Column) -> Column:
+    """Backslashes and quotes escaped by a backslash."""
+    return F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+def one_line(text: Column) -> Column:
+    """quoted(), with line ends as blanks."""
+    return F.replace(quoted(text), F.lit("\n"), F.lit(" "))
+
+
+def table_cell(text: Column) -> Column:
+    """A cell of a Markdown table: line ends as blanks, bars escaped."""
+    return F.replace(F.translate(text, "\r\n", "  "), F.lit("|"), F.lit("\\|"))
+
+
+def message_label(text: Column) -> Column:
+    """A label of a sequence diagram: line ends as blanks, colons as dashes."""
+    return F.translate(text, "\n\r:", "  -")
+
+
+def object_label(text: Column) -> Column:
+    """A label of an object diagram: line ends as blanks, double quotes as single ones."""
+    return F.translate(text, '\n\r"', "  '")
+
+
+def communication_label(text: Column) -> Column:
+    """object_label() with backslashes escaped."""
+    return object_label(F.replace(text, F.lit("\\"), F.lit("\\\\")))
+
+
+def csv_cell(text: Column) -> Column:
+    """A cell of a CSV file, quoted only where it must be."""
+    return F.when(text.rlike('[",\r\n]|^ '), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
+
+
+def trimmed(text: Column) -> Column:
+    """The text without white space of any kind at its ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
 def safe_name(text: Column, fallback: str) -> Column:
@@ -23,14 +86,56 @@ def safe_name(text: Column, fallback: str) -> Column:
 
 
 def use_case_name(label: Column, handler: Column) -> Column:
-    """The trimmed label; else the handler's words without one leading and one trailing event word, the first letter large."""
-    core = F.regexp_replace(F.regexp_replace(handler, "^(on_|handle_|handle|do_)", ""), "(_clicked|_click|_pressed|_press|_triggered|_changed)$", "")
-    words = F.trim(F.replace(core, F.lit("_"), F.lit(" ")))
-    words = F.when(words != "", F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2))))
-    return F.coalesce(F.nullif(F.trim(label), F.lit("")), words, F.lit("User action"))
+    """The trimmed label; else the words of the handler's last segment without one leading and one trailing event word, the first letter large."""
+    core = F.regexp_replace(F.substring_index(handler, ".", -1), f"^({'|'.join(HANDLER_PREFIXES)})", "")
+    core = F.regexp_replace(core, f"({'|'.join(HANDLER_SUFFIXES)})$", "")
+    words = F.array_join(F.filter(F.split(core, "_"), lambda w: w != ""), " ")
+    shown = F.when(words != "", F.concat(F.upper(F.substring(words, 1, 1)), F.substr(words, F.lit(2))))
+    return F.coalesce(F.nullif(trimmed(label), F.lit("")), shown, F.lit("User action"))
+
+
+def responsibility(docstring: Column, words: Column, methods: Column) -> Column:
+    """The docstring's first line; else a sentence on words (an array) by the first rule that one of methods, in any case, meets."""
+    told = F.nullif(trimmed(F.substring_index(trimmed(docstring), "\n", 1)), F.lit(""))
+    lower = F.transform(methods, F.lower)
+    out = told
+    for names, sentence in RESPONSIBILITIES:
+        text = F.replace(F.lit(sentence), F.lit("%s"), F.array_join(words, " "))
+        met = F.arrays_overlap(lower, F.array(*[F.lit(n) for n in names])) if names else F.lit(True)
+        out = F.coalesce(out, F.when(met, text))
+    return out
+
+
+def service_kind(*texts: Column) -> Column:
+    """database, cache, message-queue or service, by what name and image contain."""
+    text = F.lower(F.concat_ws(" ", *texts))
+    out = F.lit(None).cast("string")
+    for kind, parts in SERVICE_KINDS.items():
+        out = F.coalesce(out, F.when(text.rlike("|".join(parts)), F.lit(kind)))
+    return F.coalesce(out, F.lit("service"))
+
+
+def confidence_rank(confidence: Column) -> Column:
+    out = F.lit(0)
+    for name, rank in CONFIDENCE.items():
+        out = F.when(confidence == name, F.lit(rank)).otherwise(out)
+    return out
+
+
+def context_references(text: Column, context: str) -> Column:
+    """The distinct names NAME of context.NAME and context['NAME'] in a text, sorted; context is secrets or env."""
+    dotted = F.regexp_extract_all(text, F.lit(rf"\b{context}\.([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
+    keyed = F.regexp_extract_all(text, F.lit(rf"\b{context}\[['\"]([^'\"]+)['\"]\]"), F.lit(1))
+    return F.array_sort(F.array_distinct(F.concat(dotted, keyed)))
+
+
+def resource_kind(action: Column) -> Column:
+    """What an action does with caches or artifacts, by its name before the @; else null."""
+    name = F.substring_index(F.lower(action), "@", 1)
+    return F.coalesce(*[F.when(name == action_name, F.lit(kind)) for action_name, kind in RESOURCE_KINDS.items()])
 
 
-def environment_references(text: Column) -> Column:
-    """The distinct NAME of ${{ secrets.NAME }}, ${{ env.NAME }} and ${NAME} in a text, sorted."""
-    found = F.regexp_extract_all(text, F.lit(r"\$\{(?:\{\s*(?:secrets|env)\.)?([A-Za-z_][A-Za-z0-9_]*)"), F.lit(1))
-    return F.array_sort(F.array_distinct(found))
+def base_images(dockerfile: Column) -> Column:
+    """The images of a Dockerfile's FROM lines, in order; flags before the image are skipped."""
+    lines = F.filter(F.split(dockerfile, "\r\n|\r|\n"), lambda x: x.rlike(r"(?i)^\s*from\s+\S"))
+    return F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"(?i)^\s*from\s+(?:--\S+\s+)*(\S+)", 1)), lambda x: ~x.startswith("--"))

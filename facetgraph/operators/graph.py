@@ -16,15 +16,6 @@ def fan_in_out(edges: DataFrame) -> DataFrame:
     return ends.groupBy("node").agg(F.countDistinct("in").alias("fan_in"), F.countDistinct("out").alias("fan_out"))
 
 
-def hub_findings(edges: DataFrame, high_fan_in: int = 3, high_fan_out: int = 5) -> DataFrame:
-    """(code, severity, subject, evidence) for nodes at or beyond a threshold; thresholds must be 1 or more."""
-    if high_fan_in < 1 or high_fan_out < 1:
-        raise ValueError("thresholds must be at least 1")
-    rule = lambda code, severity, value, least: F.when(F.col(value) >= least, F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.col("node").alias("subject"), F.col(value).alias("evidence")))
-    found = F.array_compact(F.array(rule("high-fan-in", "info", "fan_in", high_fan_in), rule("high-fan-out", "warning", "fan_out", high_fan_out)))
-    return fan_in_out(edges).select(F.explode(found).alias("f")).select("f.*")
-
-
 def isolated(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Nodes that are no edge's end."""
     return nodes.join(nodes_of(edges), "node", "left_anti")

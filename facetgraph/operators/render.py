@@ -1,17 +1,187 @@
-"""Text of relation graphs, a row for each graph."""
+"""Text of relation graphs, one row (graph, text) for each.
+
+A text is one value, so what is drawn should be cut into series first. Lines are put in
+order by an aggregate for each graph; no graph's lines meet another's.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetgraph.functions.text import diagram_id, diagram_label
+from facetgraph.functions import text as T
+from facetgraph.functions.names import communication_name
+
+# The sign of each visibility.
+VISIBILITY_SIGNS = {"public": "+", "protected": "#", "internal": "~", "private": "-", "unspecified": "~"}
+
+
+def _text(*parts: object) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+
+
+def _lines(df: DataFrame, part: int, line: Column, place: Column | None = None, name: Column | None = None) -> DataFrame:
+    """Lines that come by part, then place, then name."""
+    return df.select("graph", F.lit(part).alias("part"), (F.lit(0) if place is None else place).cast("long").alias("place"), (F.lit("") if name is None else name).alias("name"), line.alias("line"))
 
 
-def flowchart(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, text): a flowchart of each graph, nodes then distinct edges, by name. The text of a graph is one value, so graphs should be cut into series first."""
+def _assembled(first: str, parts: list[DataFrame], last: str = "") -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.union(part)
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "place", "name", "line"))), lambda x: x["line"]), "\n")
+    return out.groupBy("graph").agg(F.concat(F.lit(first + "\n"), body, F.lit("\n" + last)).alias("text"))
+
+
+def call_flowchart(nodes: DataFrame, edges: DataFrame, direction: str = "LR") -> DataFrame:
+    """Nodes by name, then all edges(graph, src, dst, pos) in their order, repeated ones too."""
     name = F.col("node")
-    node_lines = nodes.where("node IS NOT NULL").select("graph", F.lit(0).alias("part"), name.alias("x"), F.lit("").alias("y"), F.concat(F.lit("    "), diagram_id(name), F.lit('["'), diagram_label(name), F.lit('"]')).alias("line")).distinct()
-    edge_lines = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("graph", F.lit(1).alias("part"), F.col("src").alias("x"), F.col("dst").alias("y"), F.concat(F.lit("    "), diagram_id(F.col("src")), F.lit(" --> "), diagram_id(F.col("dst"))).alias("line")).distinct()
-    lines = F.transform(F.array_sort(F.collect_list(F.struct("part", "x", "y", "line"))), lambda r: r["line"])
-    return node_lines.union(edge_lines).groupBy("graph").agg(F.concat(F.lit("flowchart LR\n"), F.array_join(lines, "\n"), F.lit("\n")).alias("text"))
+    nodes = nodes.where("node IS NOT NULL").select("graph", "node").distinct()
+    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
+    drawn = _text("    ", T.node_id(F.col("src")), " --> ", T.node_id(F.col("dst")))
+    return _assembled(f"flowchart {direction}", [_lines(nodes, 0, _text("    ", T.node_id(name), '["', name, '"]'), name=name), _lines(edges, 1, drawn, F.col("pos"), _text(F.col("src"), " ", F.col("dst")))])
+
+
+def package_flowchart(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame, isolated: DataFrame) -> DataFrame:
+    """Nodes, then edges, by name; then which of nodes(graph, node) are on cycles and which stand alone."""
+    one = lambda c: T.node_id(F.col(c), "pkg_")
+    parts = [_lines(nodes, 0, _text("    ", one("node"), '["', F.col("node"), '"]'), name=F.col("node")), _lines(edges, 1, _text("    ", one("src"), " --> ", one("dst")), name=_text(F.col("src"), "\x00", F.col("dst")))]
+    for part, marked, kind, style in ((2, cyclic, "cycle", "stroke-width:3px"), (3, isolated, "isolated", "stroke-dasharray: 5 5")):
+        ids = F.transform(F.array_sort(F.collect_list("node")), lambda x: T.node_id(x, "pkg_"))
+        rows = marked.groupBy("graph").agg(F.array_join(ids, ",").alias("ids"))
+        parts.append(_lines(rows, part, _text(f"    classDef {kind} {style}\n    class ", F.col("ids"), f" {kind}")))
+    return _assembled("flowchart LR", parts)
+
+
+def component_flowchart(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Nodes(graph, node, external), external ones rounded and without their prefix, then edges, by name."""
+    one = lambda c: T.node_id(F.col(c), "component_")
+    label = F.regexp_replace("node", "^external:", "")
+    shape = F.when(F.col("external"), _text('(["', label, '"])')).otherwise(_text('["', label, '"]'))
+    return _assembled("flowchart LR", [_lines(nodes, 0, _text("    ", one("node"), shape), name=F.col("node")), _lines(edges, 1, _text("    ", one("src"), " --> ", one("dst")), name=_text(F.col("src"), "\x00", F.col("dst")))])
+
+
+def _member_lines(members: DataFrame, indent: str) -> DataFrame:
+    """(graph, node, body): a class's members(graph, node, name, visibility, pos, parameters?) as lines in order."""
+    given = F.array_join("parameters", ", ") if "parameters" in members.columns else F.lit("")
+    sign = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in VISIBILITY_SIGNS.items() for x in pair]), F.col("visibility")), F.lit("~"))
+    rows = F.array_sort(F.collect_list(F.struct("pos", "name", _text(indent, sign, F.col("name"), "(", given, ")").alias("line"))))
+    return members.groupBy("graph", "node").agg(F.array_join(F.transform(rows, lambda x: x["line"]), "\n").alias("body"))
+
+
+def class_diagram(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
+    """Classes with their members, by name, then relations in order. nodes(graph, node, external), edges(graph, src, dst, relation, pos)."""
+    one = lambda c: T.hashed_id(F.col(c), "c_")
+    nodes = nodes.join(_member_lines(members, "        "), ["graph", "node"], "left")
+    head = _text("    class ", one("node"), '["', T.quoted(F.col("node")), '"]')
+    bare = F.when(F.col("external"), _text(head, "\n    class ", one("node"), " <<external>>")).otherwise(head)
+    drawn = F.when(F.col("body").isNull(), bare).otherwise(_text(head, " {\n", F.col("body"), "\n    }"))
+    relation = F.when(F.col("relation") == "inheritance", _text("    ", one("dst"), " <|-- ", one("src"))).otherwise(_text("    ", one("src"), " --> ", one("dst"), " : uses"))
+    return _assembled("classDiagram\ndirection LR", [_lines(nodes, 0, drawn, name=F.col("node")), _lines(edges, 1, relation, F.col("pos"), _text(F.col("relation"), F.col("src"), "\x00", F.col("dst")))])
+
+
+def class_diagram_plantuml(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
+    """class_diagram() as PlantUML."""
+    one = lambda c: T.hashed_id(F.col(c), "c_")
+    nodes = nodes.join(_member_lines(members, "  "), ["graph", "node"], "left")
+    head = _text('class "', T.quoted(F.col("node")), '" as ', one("node"))
+    inner = _text(head, " {\n", F.coalesce(_text(F.col("body"), "\n"), F.lit("")), "}")
+    relation = F.when(F.col("relation") == "inheritance", _text(one("dst"), " <|-- ", one("src"))).otherwise(_text(one("src"), " --> ", one("dst"), " : uses"))
+    parts = [_lines(nodes, 0, F.when(F.col("external"), _text(head, " <<external>>")).otherwise(inner), name=F.col("node")), _lines(edges, 1, relation, F.col("pos"), _text(F.col("relation"), F.col("src"), "\x00", F.col("dst")))]
+    return _assembled("@startuml\nleft to right direction", parts, "@enduml\n")
+
+
+def object_diagram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Objects o0, o1, ... of nodes(graph, node, name, type_name, fields?) by node, then labelled references, by source, target and label.
+
+    fields is an array of (name, value) structs.
+    """
+    numbered = nodes.withColumn("n", F.row_number().over(Window.partitionBy("graph").orderBy("node")) - 1)
+    ids = numbered.select("graph", "node", F.concat(F.lit("o"), F.col("n").cast("string")).alias("id"))
+    drawn = edges.join(ids.select("graph", F.col("node").alias("src"), F.col("id").alias("a")), ["graph", "src"]).join(ids.select("graph", F.col("node").alias("dst"), F.col("id").alias("b")), ["graph", "dst"])
+    label = F.replace(T.object_label(F.col("label")), F.lit("|"), F.lit("/"))
+    shown = T.object_label(F.concat("name", F.lit(" : "), "type_name"))
+    if "fields" in nodes.columns:
+        shown = F.concat_ws("<br/>", shown, F.transform("fields", lambda x: T.object_label(F.concat(x["name"], F.lit(" = "), x["value"]))))
+    name = F.concat_ws("\x00", "src", "dst", "label")
+    return _assembled("flowchart LR", [_lines(numbered, 0, _text("    o", F.col("n").cast("string"), '["', shown, '"]'), F.col("n")), _lines(drawn, 1, _text("    ", F.col("a"), " -->|", label, "| ", F.col("b")), name=name)])
+
+
+def _walk_ids(people: DataFrame, name: str) -> DataFrame:
+    """(graph, root, name, id) of participants(), as p0, p1, ... in their order."""
+    return people.select("graph", "root", F.col("node").alias(name), F.concat(F.lit("p"), (F.col("position") - 1).cast("string")).alias(f"{name}_id"))
+
+
+def _one_graph(df: DataFrame) -> DataFrame:
+    """A diagram has a graph and a root; both become its graph."""
+    return df.withColumn("graph", F.struct("graph", "root"))
+
+
+def _by_root(df: DataFrame) -> DataFrame:
+    return df.select("graph.graph", "graph.root", "text")
+
+
+def sequence_diagram(messages: DataFrame, people: DataFrame) -> DataFrame:
+    """(graph, root, text) of expand_sequence() and participants()."""
+    rows = messages.join(_walk_ids(people, "caller"), ["graph", "root", "caller"]).join(_walk_ids(people, "callee"), ["graph", "root", "callee"])
+    arrow = F.when(F.col("kind") == "return", "-->>").when(F.col("kind") == "async_call", "-)").otherwise("->>")
+    mark = F.when(F.col("kind") == "recursive_call", "[recursive] ").otherwise("")
+    plain = _text(arrow, F.col("callee_id"), ": ", T.message_label(F.concat(mark, "label")))
+    cut = _text("->>", F.col("callee_id"), ": [depth truncated] ", T.message_label(F.col("label")))
+    drawn = _text("    ", F.col("caller_id"), F.when(F.col("kind") == "depth_truncated", cut).otherwise(plain))
+    named = _text("    participant p", (F.col("position") - 1).cast("string"), " as ", T.message_label(F.col("node")))
+    return _by_root(_assembled("sequenceDiagram", [_lines(_one_graph(people), 0, named, F.col("position")), _lines(_one_graph(rows), 1, drawn, F.col("position"))]))
+
+
+def sequence_diagram_plantuml(messages: DataFrame, people: DataFrame) -> DataFrame:
+    """sequence_diagram() as PlantUML."""
+    one = lambda c: T.hashed_id(F.col(c), "p_")
+    arrow = F.when(F.col("kind") == "return", "-->").when(F.col("kind") == "async_call", "->>").otherwise("->")
+    mark = F.when(F.col("kind") == "recursive_call", "[recursive] ").when(F.col("kind") == "depth_truncated", "[depth truncated] ").otherwise("")
+    drawn = _text(one("caller"), " ", arrow, " ", one("callee"), " : ", T.one_line(F.concat(mark, "label")))
+    named = _text('participant "', T.one_line(F.col("node")), '" as ', one("node"))
+    return _by_root(_assembled("@startuml", [_lines(_one_graph(people), 0, named, F.col("position")), _lines(_one_graph(messages), 1, drawn, F.col("position"))], "@enduml\n"))
+
+
+def communication_people(people: DataFrame) -> DataFrame:
+    """participants() by their owners: callables without their last segment, as they first appear."""
+    first = people.groupBy("graph", "root", communication_name(F.col("node")).alias("node")).agg(F.min("position").alias("at"))
+    return first.select("graph", "root", "node", F.row_number().over(Window.partitionBy("graph", "root").orderBy("at")).alias("position"))
+
+
+def communication_diagram(messages: DataFrame, people: DataFrame) -> DataFrame:
+    """(graph, root, text): numbered calls between owners; returns are left out."""
+    people = communication_people(people)
+    calls = messages.where("kind != 'return'").withColumns({c: communication_name(F.col(c)) for c in ("caller", "callee")})
+    rows = calls.join(_walk_ids(people, "caller"), ["graph", "root", "caller"]).join(_walk_ids(people, "callee"), ["graph", "root", "callee"])
+    mark = F.when(F.col("kind") == "recursive_call", "[recursive] ").when(F.col("kind") == "depth_truncated", "[depth truncated] ").otherwise("")
+    drawn = _text("    ", F.col("caller_id"), ' -->|"', T.communication_label(F.concat("number", F.lit(": "), mark, "label")), '"| ', F.col("callee_id"))
+    named = _text("    p", (F.col("position") - 1).cast("string"), '["', T.communication_label(F.col("node")), '"]')
+    return _by_root(_assembled("flowchart LR", [_lines(_one_graph(people), 0, named, F.col("position")), _lines(_one_graph(rows), 1, drawn, F.col("position"))]))
+
+
+def responsibility_markdown(rows: DataFrame) -> DataFrame:
+    """rows(graph, name, responsibility, pos) as a table."""
+    return _assembled("| Class | Responsibility |\n| --- | --- |", [_lines(rows, 0, _text("| ", F.col("name"), " | ", F.col("responsibility"), " |"), F.col("pos"), F.col("name"))])
+
+
+def responsibility_csv(rows: DataFrame) -> DataFrame:
+    """rows(graph, name, responsibility, pos) as CSV."""
+    return _assembled("Class,Responsibility", [_lines(rows, 0, _text(T.csv_cell(F.col("name")), ",", T.csv_cell(F.col("responsibility"))), F.col("pos"), F.col("name"))])
+
+
+def quality_markdown(metrics: DataFrame, findings: DataFrame) -> DataFrame:
+    """A report of each graph: metrics(graph, scope, metric, value, place) as a table, then findings(graph, section, ...) of design_findings()."""
+    value = F.when(F.col("value") == F.floor("value"), F.col("value").cast("long").cast("string")).otherwise(F.col("value").cast("string"))
+    table = _text("| ", T.table_cell(F.col("scope")), " | ", T.table_cell(F.col("metric")), " | ", value, " |")
+    cell = lambda c: T.table_cell(F.col(c))
+    found = _text("\n### [", F.upper("severity"), "] ", cell("code"), ": ", cell("subject"), "\n\n- 根拠: ", cell("evidence"), "\n- 解釈: ", cell("interpretation"), "\n- 補足: ", cell("note"))
+    graphs = metrics.select("graph").distinct()
+    none = graphs.join(findings.select("graph").distinct(), "graph", "left_anti")
+    parts = [
+        _lines(metrics, 0, table, F.col("place")),
+        _lines(graphs, 1, F.lit("\n## 指摘")),
+        _lines(findings, 2, found, F.col("section"), F.concat_ws("\x00", "code", "subject")),
+        _lines(none, 2, F.lit("\n現在の閾値では構造上の指摘は見つかりませんでした。")),
+    ]
+    return _assembled("# 設計品質レポート\n\n## 指標\n\n| 対象 | 指標 | 値 |\n| --- | --- | ---: |", parts)

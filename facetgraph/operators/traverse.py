@@ -7,10 +7,12 @@ that are null, take no part; a null graph is a graph of its own. Repeated edges
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from facetgraph.sources.scratch import written
+from facetgraph.sources.scratch import Scratch, written
 
 
 def _same(left: str, right: str, on: dict[str, str]) -> Column:
@@ -82,48 +84,99 @@ def reachable(roots: DataFrame, edges: DataFrame, max_depth: int | None = None)
     return found
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, node, component, cyclic): the greatest node that reaches and is reached by the node.
+def _core_components(links: DataFrame, scratch: Scratch) -> DataFrame:
+    """(graph, node, label): equal labels for nodes that reach each other over links, for all their nodes.
 
     Colouring: the greatest name flows along edges to a fixed point; a node that kept its
     own name is a root, and whatever reaches it backwards inside its colour is its
-    component. Found components leave, the rest goes on. Cyclic: more than one node, or a
-    self edge.
+    component. Found components leave, the rest goes on.
     """
-    todo = written(all_nodes(nodes, edges), "nodes")
-    links = written(simple_edges(edges).where("src != dst"), "links")
-    done = None
+    todo = scratch.write(all_nodes(links.select("graph", F.col("src").alias("node")).limit(0), links), "todo")
+    done = todo.select("graph", "node", F.col("node").alias("label")).limit(0)
     while not todo.isEmpty():
-        colour = todo.select("graph", "node", F.col("node").alias("colour"))
+        colour = todo.select("graph", "node", F.col("node").alias("label"))
         active = colour
         while True:
-            sent = active.alias("c").join(links.alias("e"), _same("c", "e", {"node": "src"})).select("c.graph", F.col("e.dst").alias("node"), "c.colour")
-            best = sent.groupBy("graph", "node").agg(F.max("colour").alias("sent"))
+            sent = active.alias("c").join(links.alias("e"), _same("c", "e", {"node": "src"})).select("c.graph", F.col("e.dst").alias("node"), "c.label")
+            best = sent.groupBy("graph", "node").agg(F.max("label").alias("sent"))
             merged = colour.alias("c").join(best.alias("b"), _same("c", "b", {"node": "node"}), "left")
-            merged = written(merged.select("c.graph", "c.node", F.greatest("c.colour", "b.sent").alias("colour"), (F.coalesce("b.sent", "c.colour") > F.col("c.colour")).alias("moved")), "colour")
+            merged = scratch.write(merged.select("c.graph", "c.node", F.greatest("c.label", "b.sent").alias("label"), (F.coalesce("b.sent", "c.label") > F.col("c.label")).alias("moved")), "colour")
             colour, active = merged.drop("moved"), merged.where("moved").drop("moved")
             if active.isEmpty():
                 break
-        found = written(colour.where("node = colour"), "component")
-        frontier = found
+        found = frontier = scratch.write(colour.where("node = label"), "component")
         while True:
-            back = frontier.alias("f").join(links.alias("e"), _same("f", "e", {"node": "dst"})).select("f.graph", F.col("e.src").alias("node"), "f.colour").distinct()
-            back = back.alias("b").join(colour.alias("c"), _same("b", "c", {"node": "node", "colour": "colour"}), "left_semi")
-            frontier = written(back.alias("b").join(found.alias("k"), _same("b", "k", {"node": "node"}), "left_anti"), "component")
+            back = frontier.alias("f").join(links.alias("e"), _same("f", "e", {"node": "dst"})).select("f.graph", F.col("e.src").alias("node"), "f.label").distinct()
+            back = back.alias("b").join(colour.alias("c"), _same("b", "c", {"node": "node", "label": "label"}), "left_semi")
+            frontier = scratch.write(back.alias("b").join(found.alias("k"), _same("b", "k", {"node": "node"}), "left_anti"), "component")
             if frontier.isEmpty():
                 break
             found = found.union(frontier)
-        done = found if done is None else done.union(found)
-        todo = written(todo.alias("n").join(found.alias("k"), _same("n", "k", {"node": "node"}), "left_anti"), "nodes")
-        for end in ("src", "dst"):
-            links = links.alias("e").join(todo.alias("n"), _same("e", "n", {end: "node"}), "left_semi")
-        links = written(links, "links")
-    if done is None:
-        return todo.select("graph", "node", F.col("node").alias("component"), F.lit(False).alias("cyclic"))
-    loops = simple_edges(edges).where("src = dst").select("graph", F.col("src").alias("node"))
-    marked = done.alias("d").join(loops.alias("o"), _same("d", "o", {"node": "node"}), "left").select("d.graph", "d.node", F.col("d.colour").alias("component"), F.col("o.node").isNotNull().alias("loop"))
-    kinds = marked.groupBy("graph", "component").agg(((F.count("*") > 1) | F.max("loop")).alias("cyclic"))
-    return marked.alias("m").join(kinds.alias("k"), _same("m", "k", {"component": "component"})).select("m.graph", "m.node", "m.component", "k.cyclic")
+        done = scratch.write(done.union(found), "done")
+        todo = scratch.write(todo.alias("n").join(done.alias("k"), _same("n", "k", {"node": "node"}), "left_anti"), "todo")
+        links = scratch.write(_between(links, todo), "links")
+    return done
+
+
+def _between(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The links whose both ends are among nodes(graph, node)."""
+    for end in ("src", "dst"):
+        links = links.alias("e").join(nodes.alias("n"), _same("e", "n", {end: "node"}), "left_semi")
+    return links
+
+
+def strong_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(graph, node, component, cyclic): the greatest node that reaches and is reached by the node.
+
+    First the graph is made small. In a round, nodes without incoming or outgoing edges
+    leave, as components of their own; of the nodes with one of each, those that a hash
+    ranks above such neighbours leave too, and their two edges become one. Such a node is
+    in its neighbours' component if these are in one, and else alone. So trees and long
+    paths are gone after a number of rounds in the logarithm of their length. What is left
+    is coloured, in rounds as many as its longest walk between components. Cyclic: more
+    than one node, or a self edge.
+    """
+    with Scratch(nodes.sparkSession, "strong") as scratch:
+        links = scratch.write(simple_edges(edges).where("src != dst"), "links")
+        folded = []
+        for turn in itertools.count():
+            ends = links.select("graph", F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("dst").alias("after"), F.lit(None).cast(links.schema["src"].dataType).alias("before")), F.struct(F.col("dst").alias("node"), F.lit(None).cast(links.schema["src"].dataType).alias("after"), F.col("src").alias("before")))).alias("e")).select("graph", "e.*")
+            marks = ends.groupBy("graph", "node").agg(F.count("before").alias("n_in"), F.count("after").alias("n_out"), F.min("before").alias("before"), F.min("after").alias("after"))
+            marks = marks.where("n_in = 0 OR n_out = 0 OR n_in = 1 AND n_out = 1")
+            rank = F.struct(F.xxhash64(F.lit(turn), "node"), F.col("node"))
+            marks = scratch.write(marks.select("graph", "node", "before", "after", ((F.col("n_in") > 0) & (F.col("n_out") > 0)).alias("chain"), rank.alias("rank")), "marks")
+            if marks.isEmpty():
+                break
+            bare = marks.where("NOT chain").select("graph", "node")
+            chain = marks.where("chain").alias("m")
+            for end in ("before", "after"):
+                near = marks.select("graph", F.col("node").alias("near"), F.col("rank").alias("its_rank"), F.col("chain").alias("its_chain"))
+                chain = chain.join(near.alias("n"), _same("m", "n", {end: "near"}), "left").where("its_rank IS NULL OR its_chain AND its_rank < rank").select("m.*").alias("m")
+            fold = scratch.write(chain.select("graph", "node", "before", "after"), "fold")
+            folded.append(fold)
+            gone = bare.union(fold.select("graph", "node"))
+            kept = links
+            for end in ("src", "dst"):
+                kept = kept.alias("e").join(gone.alias("n"), _same("e", "n", {end: "node"}), "left_anti")
+            joined = fold.where("before != after").select("graph", F.col("before").alias("src"), F.col("after").alias("dst"))
+            last, links = links, scratch.write(kept.union(joined).distinct(), "links")
+            scratch.drop(last, marks)
+        labels = _core_components(links, scratch)
+        for fold in reversed(folded):
+            # who was folded in later rounds has its label by now; without one a node is alone
+            known = labels.select("graph", F.col("node").alias("near"), "label")
+            two = fold.alias("f").join(known.alias("k"), _same("f", "k", {"before": "near"}), "left").select("f.*", F.coalesce("k.label", "f.before").alias("one"))
+            two = two.alias("f").join(known.alias("k"), _same("f", "k", {"after": "near"}), "left").select("f.*", F.coalesce("k.label", "f.after").alias("two"))
+            same = two.where("one = two")
+            labels = scratch.write(labels.union(same.select("graph", "node", F.col("one").alias("label"))).union(same.select("graph", F.col("before").alias("node"), F.col("one").alias("label"))).distinct(), "labels")
+        loops = simple_edges(edges).where("src = dst").select("graph", F.col("src").alias("node")).alias("o")
+        names = labels.groupBy("graph", "label").agg(F.max("node").alias("component"))
+        named = scratch.write(labels.alias("l").join(names.alias("n"), _same("l", "n", {"label": "label"})).select("l.graph", "l.node", "n.component"), "named")
+        out = all_nodes(nodes, edges).alias("a").join(named.alias("n"), _same("a", "n", {"node": "node"}), "left").select("a.graph", "a.node", "n.component").alias("a")
+        out = out.join(loops, _same("a", "o", {"node": "node"}), "left").select("a.graph", "a.node", "a.component", F.col("o.node").isNotNull().alias("loop"))
+        sizes = named.groupBy("graph", "component").agg((F.count("*") > 1).alias("several")).alias("s")
+        out = out.alias("a").join(sizes, _same("a", "s", {"component": "component"}), "left")
+        return written(out.select("a.graph", "a.node", F.coalesce("a.component", "a.node").alias("component"), (F.coalesce("s.several", F.lit(False)) | F.col("a.loop")).alias("cyclic")), "strong")
 
 
 def simple_cycles(nodes: DataFrame, edges: DataFrame, max_length: int | None = None) -> DataFrame:
@@ -152,58 +205,76 @@ def simple_cycles(nodes: DataFrame, edges: DataFrame, max_length: int | None = N
         paths = steps.where((F.col("e.dst") == first) | free).select("p.graph", F.concat("p.cycle", F.array("e.dst")).alias("cycle"))
 
 
-def expand_sequence(roots: DataFrame, calls: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(graph, number, depth, caller, callee, kind): messages in depth-first order below each root.
+def expand_sequence(roots: DataFrame, calls: DataFrame, nodes: DataFrame, max_depth: int = 8, show_returns: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+    """(graph, root, position, number, depth, caller, callee, label, kind): the messages of a depth-first walk from each root.
 
-    calls(graph, src, dst, pos): a caller's calls in order. A callee on the active path is
-    a recursive_call, one met at max_depth is depth_truncated if it has calls of its own;
-    neither is expanded. `number` is the hierarchical one (1, 1.1, 2) over a caller's
-    calls; sorting by its parts as integers gives the order of messages.
+    calls(graph, src, dst, raw, pos): a callable's calls, each of them, in order. nodes
+    (graph, node) are the internal callables; those in allowed, by default all, are
+    expanded. A call of a callable on the way to it is a recursive_call and not expanded.
+    The calls of a callable at max_depth are not expanded either: to allowed ones they are
+    depth_truncated. With returns each other message to an internal callable is answered
+    after all that it led to. depth is 0 for the root's own calls; `number` is the
+    hierarchical one (1, 1.1, 2) over calls, null for returns.
+
+    A level is one join; walks are carried as arrays whose order is that of messages.
+    Their number is exponential in the depth in the worst case, as is the result's.
     """
-    if max_depth < 1:
-        raise ValueError("max_depth must be at least 1")
-    window = F.row_number().over(Window.partitionBy("graph", "src").orderBy("pos", "dst"))
-    calls = written(calls.where("src IS NOT NULL AND dst IS NOT NULL").select("graph", "src", "dst", window.alias("k")), "calls")
-    callers = calls.select("graph", "src").distinct()
-    level = roots.where("node IS NOT NULL").distinct().select("graph", F.array("node").alias("path"), F.array().cast("array<int>").alias("number"))
+    if max_depth < 0:
+        raise ValueError("max_depth must be at least 0")
+    whole = F.row_number().over(Window.partitionBy("graph", "src").orderBy("pos", "dst"))
+    calls = written(calls.where("src IS NOT NULL AND dst IS NOT NULL").select("graph", "src", "dst", "raw", whole.alias("k")), "calls")
+    inside = nodes.where("node IS NOT NULL").select("graph", "node").distinct()
+    permitted = inside if allowed is None else allowed.where("node IS NOT NULL").select("graph", "node").distinct()
+    known = inside.select("graph", "node", F.lit(True).alias("internal")).alias("i").join(permitted.select("graph", "node", F.lit(True).alias("allowed")).alias("p"), _same("i", "p", {"node": "node"}), "full")
+    known = written(known.select(F.coalesce("i.graph", "p.graph").alias("graph"), F.coalesce("i.node", "p.node").alias("node"), "internal", "allowed"), "known")
+    level = roots.where("node IS NOT NULL").distinct().select("graph", F.col("node").alias("root"), F.array("node").alias("path"), F.array().cast("array<int>").alias("ord"))
     out = None
-    for depth in range(1, max_depth + 1):
+    for depth in range(max_depth + 1):
         tip = level.withColumn("tip", F.element_at("path", -1)).alias("l")
-        sent = tip.join(calls.alias("c"), _same("l", "c", {"tip": "src"})).select("l.graph", "l.path", F.concat("l.number", F.array("c.k")).alias("number"), F.col("l.tip").alias("caller"), F.col("c.dst").alias("callee"))
-        sent = sent.withColumn("kind", F.when(F.array_contains("path", F.col("callee")), "recursive_call").otherwise("call"))
+        sent = tip.join(calls.alias("c"), _same("l", "c", {"tip": "src"})).select("l.graph", "l.root", "l.path", F.concat("l.ord", F.array("c.k")).alias("ord"), F.col("l.tip").alias("caller"), F.col("c.dst").alias("callee"), F.col("c.raw").alias("label"))
+        sent = sent.alias("s").join(known.alias("k"), _same("s", "k", {"callee": "node"}), "left").select("s.*", F.coalesce("k.internal", F.lit(False)).alias("internal"), F.coalesce("k.allowed", F.lit(False)).alias("allowed"))
+        kind = F.when(F.array_contains("path", F.col("callee")), "recursive_call")
         if depth == max_depth:
-            sent = sent.alias("s").join(callers.alias("k"), _same("s", "k", {"callee": "src"}), "left").select("s.graph", "s.path", "s.number", "s.caller", "s.callee", F.when((F.col("s.kind") == "call") & F.col("k.src").isNotNull(), "depth_truncated").otherwise(F.col("s.kind")).alias("kind"))
-        sent = written(sent, "messages")
-        rows = sent.select("graph", F.array_join(F.col("number").cast("array<string>"), ".").alias("number"), F.lit(depth).alias("depth"), "caller", "callee", "kind")
+            kind = kind.when(F.col("allowed"), "depth_truncated")
+        sent = written(sent.withColumn("kind", kind.otherwise("call")), "messages")
+        cut = F.col("kind") == "depth_truncated"
+        rows = sent.select("graph", "root", "ord", F.lit(depth).alias("depth"), "caller", "callee", F.when(cut, F.concat(F.lit("Further calls omitted: "), "label")).otherwise(F.col("label")).alias("label"), "kind")
         out = rows if out is None else out.union(rows)
-        level = sent.where("kind = 'call'").select("graph", F.concat("path", F.array("callee")).alias("path"), "number")
+        if show_returns:
+            answered = sent.where(F.col("internal") & ~cut)
+            out = out.union(answered.select("graph", "root", F.concat("ord", F.array(F.lit(2**31 - 1))), F.lit(depth), F.col("callee"), F.col("caller"), F.lit("return"), F.lit("return")))
+        level = sent.where("kind = 'call' AND allowed AND internal").select("graph", "root", F.concat("path", F.array("callee")).alias("path"), "ord")
         if level.isEmpty():
             break
-    return out
+    position = F.row_number().over(Window.partitionBy("graph", "root").orderBy("ord"))
+    number = F.when(F.col("kind") != "return", F.array_join(F.col("ord").cast("array<string>"), "."))
+    return out.select("graph", "root", position.alias("position"), number.alias("number"), "depth", "caller", "callee", "label", "kind")
 
 
-def series(nodes: DataFrame, edges: DataFrame, fan_in_threshold: int = 3) -> DataFrame:
-    """(graph, node, shared, series): the series of each node, null for shared nodes.
+def participants(messages: DataFrame) -> DataFrame:
+    """(graph, root, node, position): a diagram's root first, then callables as they first appear in its messages."""
+    ends = messages.select("graph", "root", F.posexplode(F.array("root", "caller", "callee")).alias("end", "node"), "position")
+    first = ends.groupBy("graph", "root", "node").agg(F.min(F.when(F.col("end") == 0, F.struct(F.lit(0).alias("position"), F.lit(0).alias("end"))).otherwise(F.struct("position", "end"))).alias("at"))
+    return first.select("graph", "root", "node", F.row_number().over(Window.partitionBy("graph", "root").orderBy("at")).alias("position"))
 
-    A strong component is shared if it is acyclic and its node has at least that many
-    distinct callers. The other nodes' weak components, over edges between them, are the
-    series, each named by its smallest node.
+
+def emit_once(messages: DataFrame) -> DataFrame:
+    """The first message of each caller, callee, label and kind below a root."""
+    key = ["graph", "root", "caller", "callee", "label", "kind"]
+    first = F.min_by(F.struct(*[c for c in messages.columns if c not in key]), "position").alias("first")
+    return messages.groupBy(*key).agg(first).select(*key, "first.*").select(*messages.columns)
+
+
+def bounded_chain(roots: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:
+    """(graph, root, node, depth): what a root leads to within max_depth steps, without the root.
+
+    The set of callables that a walk in any order meets: a node counts if some path of
+    max_depth edges or fewer leads to it.
     """
-    if fan_in_threshold < 1:
-        raise ValueError("fan_in_threshold must be at least 1")
-    links = simple_edges(edges)
-    fan_in = links.groupBy("graph", F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"))
-    parts = strong_components(nodes, edges).alias("p").join(fan_in.alias("f"), _same("p", "f", {"node": "node"}), "left")
-    marked = written(parts.select("p.graph", "p.node", (~F.col("p.cyclic") & (F.coalesce("f.fan_in", F.lit(0)) >= fan_in_threshold)).alias("shared")), "shared")
-    regular = marked.where("NOT shared").select("graph", "node")
-    for end in ("src", "dst"):
-        links = links.alias("e").join(regular.alias("r"), _same("e", "r", {end: "node"}), "left_semi")
-    found = weak_components(regular, links)
-    return marked.alias("m").join(found.alias("c"), _same("m", "c", {"node": "node"}), "left").select("m.graph", "m.node", "m.shared", F.col("c.component").alias("series"))
+    return reachable(roots, edges, max_depth).where("depth > 0")
 
 
-def boundary_edges(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """(graph, src, dst, src_series, dst_series): distinct edges that leave a series or touch a shared node; members as series() gives them."""
-    placed = simple_edges(edges).alias("e").join(members.alias("a"), _same("e", "a", {"src": "node"})).select("e.graph", "e.src", "e.dst", F.col("a.series").alias("src_series"))
-    placed = placed.alias("e").join(members.alias("b"), _same("e", "b", {"dst": "node"})).select("e.graph", "e.src", "e.dst", "e.src_series", F.col("b.series").alias("dst_series"))
-    return placed.where("src_series IS NULL OR dst_series IS NULL OR src_series != dst_series")
+def cycle_edges(cycles: DataFrame) -> DataFrame:
+    """(graph, src, dst): the distinct edges of cycles(graph, cycle), which are closed arrays."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size("cycle") - 1), lambda i: F.struct(F.element_at("cycle", i).alias("src"), F.element_at("cycle", i + 1).alias("dst")))
+    return cycles.select("graph", F.explode(pairs).alias("e")).select("graph", "e.src", "e.dst").distinct()

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from facetgraph.functions import names, text
-from facetgraph.operators import graph, render, resolve, traverse
+from facetgraph.functions import names
+from facetgraph.operators import graph, resolve, traverse
+from facetgraph.plans import module_queries, text_queries
 from facetgraph.sources.tables import event_steps, table
 
 STEPS = "WITH s AS (SELECT user_id, event_id, ts, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT * FROM s WHERE dst IS NOT NULL)"
@@ -16,20 +17,10 @@ def ag1_fan_in_out(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.fan_in_out(event_steps(spark, sf_dir))
 
 
-def ev2_hub_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.hub_findings(event_steps(spark, sf_dir))
-
-
 def gr1_edge_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return event_steps(spark, sf_dir).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def gr15_isolated_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
-    edges = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("src"), F.col("o_custkey").alias("dst"))
-    return graph.isolated(nodes, edges)
-
-
 def wn11_first_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.first_label(event_steps(spark, sf_dir), "event_id", "event_id")
 
@@ -40,12 +31,6 @@ def ag6_kind_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n_events"), *counts)
 
 
-def se4_terminal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per user, event types that are entered and never left."""
-    steps = event_steps(spark, sf_dir)
-    return steps.select("user_id", F.col("dst").alias("state")).distinct().join(steps.select("user_id", F.col("src").alias("state")), ["user_id", "state"], "left_anti")
-
-
 def so3_largest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.length("text").cast("long").alias("chars")).orderBy(F.desc("chars"), "doc_id").limit(12)
 
@@ -55,14 +40,6 @@ def ag13_group_by_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"))
 
 
-def fn1_output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select("p_partkey", names.stable_output_name("state_", F.col("p_name"), "state").alias("output_name"), names.simple_name(names.qualified_name(F.col("p_brand"), F.col("p_name"))).alias("simple_name"), names.object_key(F.col("p_brand"), F.col("p_name")).alias("object_key"))
-
-
-def fn3_name_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(names.name_words(F.col("c_name")), " ").alias("words"))
-
-
 def _day_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of a graph for each user and day: event types, linked where the next event's value is larger."""
     by_day = Window.partitionBy("graph").orderBy("ts", "event_id")
@@ -71,9 +48,24 @@ def _day_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     return events.select("graph", F.col("event_type").alias("node")).distinct(), nxt.where("dst IS NOT NULL AND next > value").select("graph", "src", "dst", "pos")
 
 
-def _day_calls(edges: DataFrame) -> DataFrame:
-    """Distinct calls in the order of their first occurrence."""
-    return edges.groupBy("graph", "src", "dst").agg(F.min("pos").alias("pos"))
+def gr15_isolated_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers without a pending urgent order."""
+    nodes = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("node"))
+    orders = table(spark, sf_dir, "orders").where("o_orderstatus = 'P' AND o_orderpriority = '1-URGENT'")
+    return graph.isolated(nodes, orders.select(F.col("o_custkey").cast("string").alias("src"), F.concat(F.lit("O"), F.col("o_orderkey").cast("string")).alias("dst")))
+
+
+def se4_terminal_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each day's graph, the event types that are entered and never left."""
+    _, edges = _day_graphs(spark, sf_dir)
+    return edges.select("graph", F.col("dst").alias("state")).distinct().join(edges.select("graph", F.col("src").alias("state")), ["graph", "state"], "left_anti")
+
+
+def ag7_state_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States and transitions of each day's graph, transitions counted once each."""
+    nodes, edges = _day_graphs(spark, sf_dir)
+    moves = edges.select("graph", "src", "dst").distinct().groupBy("graph").agg(F.count("*").alias("transitions"))
+    return nodes.groupBy("graph").agg(F.count("*").alias("states")).join(moves, "graph", "left").select("graph", "states", F.coalesce("transitions", F.lit(0)).alias("transitions"))
 
 
 def gr5_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,33 +87,6 @@ def gr9_weak_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.weak_components(*_day_graphs(spark, sf_dir))
 
 
-def gr12_series(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.series(*_day_graphs(spark, sf_dir), fan_in_threshold=2)
-
-
-def gr14_boundary_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _day_graphs(spark, sf_dir)
-    return traverse.boundary_edges(traverse.series(nodes, edges, fan_in_threshold=2), edges)
-
-
-def ag4_series_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Series, nodes of the largest, shared nodes and their ratio, for each graph."""
-    members = gr12_series(spark, sf_dir)
-    sizes = members.groupBy("graph", "series").agg(F.count("*").alias("n"))
-    regular = F.col("series").isNotNull()
-    shared, total = F.coalesce(F.sum(F.when(~regular, F.col("n"))), F.lit(0)), F.sum("n")
-    return sizes.groupBy("graph").agg(F.count_if(regular).alias("series_count"), F.coalesce(F.max(F.when(regular, F.col("n"))), F.lit(0)).alias("max_nodes"), shared.alias("shared_count"), F.coalesce(F.try_divide(shared, total), F.lit(0.0)).alias("shared_ratio"))
-
-
-def wn2_message_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, edges = _day_graphs(spark, sf_dir)
-    return traverse.expand_sequence(nodes.where("node = 'click'"), _day_calls(edges), 3)
-
-
-def rn1_flowcharts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return render.flowchart(*_day_graphs(spark, sf_dir))
-
-
 def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Part names as callables of their brands, and references to them in four spellings."""
     parts = table(spark, sf_dir, "part")
@@ -171,13 +136,6 @@ def ag11_strongest_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resolve.strongest(orders, ["o_custkey", "o_orderstatus"], "rank", "o_orderkey")
 
 
-def fn4_use_case_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("event_type")
-    handler = F.when(F.col("value") < 10, F.concat(F.lit("on_"), kind, F.lit("_clicked"))).when(F.col("value") < 30, F.concat(F.lit("handle_"), kind, F.lit("_changed"))).otherwise(F.lit("on_"))
-    label = F.when(F.col("value") < 5, F.concat(F.lit(" "), kind, F.lit(" ")))
-    return table(spark, sf_dir, "events").select("event_id", text.use_case_name(label, handler).alias("name"), text.safe_name(handler, "use_cases").alias("file"))
-
-
 def wn10_lines_after_short_ones(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines with text whose last line with text before has no more than 40 characters."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
@@ -187,21 +145,8 @@ def wn10_lines_after_short_ones(spark: SparkSession, sf_dir: str) -> DataFrame:
     return marked.where("t != '' AND after_short").select("doc_id", "pos")
 
 
-def ag14_repeated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trimmed turns that occur more than once, with their number and the smallest conversation."""
-    turns = table(spark, sf_dir, "conversations").select(F.trim("text").alias("command"), "conv_id")
-    return turns.where("command != ''").groupBy("command").agg(F.count("*").alias("n"), F.min("conv_id").alias("first_conv")).where("n > 1")
-
-
-def so4_text_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 40 documents with a line that names an API key, and where."""
-    docs = table(spark, sf_dir, "documents").where(F.col("text").rlike("(?i)api.?key"))
-    return docs.select("doc_id", F.regexp_instr("text", F.lit("(?i)api.?key")).cast("long").alias("at")).orderBy("doc_id").limit(40)
-
-
 QUERIES = {f.__name__: f for f in (
     ag1_fan_in_out,
-    ev2_hub_findings,
     gr1_edge_counts,
     gr15_isolated_customers,
     wn11_first_event,
@@ -209,68 +154,51 @@ QUERIES = {f.__name__: f for f in (
     se4_terminal_states,
     so3_largest_documents,
     ag13_group_by_scope,
-    fn1_output_names,
-    fn3_name_words,
+    ag7_state_statistics,
     gr5_reachable,
     gr6_simple_cycles,
     gr7_strong_components,
     gr9_weak_components,
-    gr12_series,
-    gr14_boundary_edges,
-    ag4_series_statistics,
-    wn2_message_sequence,
-    rn1_flowcharts,
     j2_resolved_calls,
     j1_resolved_classes,
     j6_resolved_imports,
     j10_called_by,
     j11_selected_workloads,
     ag11_strongest_orders,
-    fn4_use_case_names,
     wn10_lines_after_short_ones,
-    ag14_repeated_lines,
-    so4_text_search,
 )}
 
 _FAN = f"{STEPS}, n AS (SELECT src AS node FROM e UNION SELECT dst FROM e), f AS (SELECT node, (SELECT count(DISTINCT src) FROM e WHERE dst = node) AS fan_in, (SELECT count(DISTINCT dst) FROM e WHERE src = node) AS fan_out FROM n)"
 ORACLE_SQL = {
     "ag1_fan_in_out": f"{_FAN} SELECT node, fan_in, fan_out FROM f",
-    "ev2_hub_findings": f"{_FAN} SELECT 'high-fan-in' AS code, 'info' AS severity, node AS subject, fan_in AS evidence FROM f WHERE fan_in >= 3 UNION ALL SELECT 'high-fan-out', 'warning', node, fan_out FROM f WHERE fan_out >= 5",
     "gr1_edge_counts": f"{STEPS} SELECT src, dst, count(*) AS n FROM e GROUP BY src, dst",
-    "gr15_isolated_customers": "SELECT c_custkey AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
+    "gr15_isolated_customers": "SELECT c_custkey::VARCHAR AS node FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')",
     "wn11_first_event": f"{STEPS} SELECT src, dst, min(event_id) AS event_id FROM e GROUP BY src, dst",
     "ag6_kind_counts": "SELECT user_id, count(*) AS n_events, " + ", ".join(f"count(*) FILTER (WHERE event_type = '{k}') AS n_{k}" for k in ("click", "error", "login", "purchase", "view")) + " FROM events GROUP BY user_id",
-    "se4_terminal_states": f"{STEPS} SELECT user_id, dst AS state FROM e EXCEPT SELECT user_id, src FROM e",
     "so3_largest_documents": "SELECT doc_id, length(text) AS chars FROM documents ORDER BY chars DESC, doc_id LIMIT 12",
     "ag13_group_by_scope": "SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS roles FROM conversations GROUP BY conv_id",
-    "fn1_output_names": r"WITH n AS (SELECT *, regexp_replace(substr(regexp_replace(regexp_replace(p_name, '[^A-Za-z0-9_-]+', '_', 'g'), '^[_-]+|[_-]+$', '', 'g'), 1, 80), '[_-]+$', '') AS safe FROM part) SELECT p_partkey, 'state_' || coalesce(nullif(safe, ''), 'state') || '_' || substr(sha256(p_name), 1, 10) AS output_name, regexp_replace(coalesce(nullif(p_brand, '') || '.', '') || p_name, '^.*\.', '') AS simple_name, coalesce(nullif(p_brand, ''), '<module>') || ':' || p_name AS object_key FROM n",
-    "fn3_name_words": r"SELECT c_custkey, array_to_string(list_filter(string_split_regex(lower(regexp_replace(c_name, '([a-z0-9])([A-Z])', '\1_\2', 'g')), '[^a-z0-9]+'), lambda x: x <> ''), ' ') AS words FROM customer",
 }
 
 _DAYS = "WITH RECURSIVE v AS (SELECT *, user_id::VARCHAR || ':' || strftime(ts, '%Y-%m-%d') AS graph FROM events), nx AS (SELECT graph, event_type AS src, event_id AS pos, value, lead(event_type) OVER w AS dst, lead(value) OVER w AS nxt FROM v WINDOW w AS (PARTITION BY graph ORDER BY ts, event_id)), e0 AS (SELECT graph, src, dst, pos FROM nx WHERE dst IS NOT NULL AND nxt > value), n AS (SELECT DISTINCT graph, event_type AS node FROM v), e AS (SELECT DISTINCT graph, src, dst FROM e0)"
 _STRONG = f"{_DAYS}, reach AS (SELECT graph, node AS a, node AS b FROM n UNION SELECT r.graph, r.a, e.dst FROM reach r JOIN e ON r.graph = e.graph AND r.b = e.src), scc AS (SELECT x.graph, x.a AS node, max(x.b) AS component, count(*) > 1 OR max(CASE WHEN o.src IS NOT NULL THEN 1 ELSE 0 END) = 1 AS cyclic FROM reach x JOIN reach y ON x.graph = y.graph AND x.a = y.b AND x.b = y.a LEFT JOIN e o ON o.graph = x.graph AND o.src = x.a AND o.dst = x.a GROUP BY x.graph, x.a)"
-_SERIES = f"{_STRONG}, fi AS (SELECT graph, dst AS node, count(*) AS k FROM e GROUP BY graph, dst), mk AS (SELECT scc.graph, scc.node, NOT cyclic AND coalesce(k, 0) >= 2 AS shared FROM scc LEFT JOIN fi ON fi.graph = scc.graph AND fi.node = scc.node), ue AS (SELECT e.graph, e.src AS a, e.dst AS b FROM e JOIN mk x ON x.graph = e.graph AND x.node = e.src AND NOT x.shared JOIN mk y ON y.graph = e.graph AND y.node = e.dst AND NOT y.shared), uu AS (SELECT * FROM ue UNION SELECT graph, b, a FROM ue), w AS (SELECT graph, node AS a, node AS b FROM mk WHERE NOT shared UNION SELECT w.graph, w.a, uu.b FROM w JOIN uu ON uu.graph = w.graph AND uu.a = w.b), wc AS (SELECT graph, a AS node, min(b) AS series FROM w GROUP BY graph, a), se AS (SELECT mk.graph, mk.node, mk.shared, wc.series FROM mk LEFT JOIN wc ON wc.graph = mk.graph AND wc.node = mk.node)"
 _SIMPLE = "replace(p_name, ' ', '_') || '_' || p_size::VARCHAR"
 _REFS = f"WITH k AS (SELECT p_type || '.' || {_SIMPLE} AS name FROM part), refs AS (SELECT p_partkey, p_type AS owner, CASE WHEN p_brand < 'Brand#13' THEN {_SIMPLE} WHEN p_brand < 'Brand#17' THEN 'self.' || {_SIMPLE} WHEN p_brand < 'Brand#2' THEN p_type || '.' || {_SIMPLE} ELSE p_brand || '.' || {_SIMPLE} || '.call' END AS raw FROM part), u AS (SELECT regexp_replace(name, '^.*\\.', '') AS simple, min(name) AS name FROM k GROUP BY 1 HAVING count(*) = 1), t AS (SELECT p_partkey, owner, raw, CASE WHEN raw IN (SELECT name FROM k) THEN raw WHEN raw LIKE 'self.%' AND owner || substr(raw, 5) IN (SELECT name FROM k) THEN owner || substr(raw, 5) WHEN NOT contains(raw, '.') THEN coalesce((SELECT name FROM u WHERE simple = raw), raw) ELSE raw END AS target FROM refs)"
-_HANDLER = "CASE WHEN value < 10 THEN 'on_' || event_type || '_clicked' WHEN value < 30 THEN 'handle_' || event_type || '_changed' ELSE 'on_' END"
 ORACLE_SQL |= {
     "gr5_reachable": f"{_DAYS}, d AS (SELECT graph, node AS root, node, 0 AS depth FROM n WHERE node = 'view' UNION SELECT d.graph, d.root, e.dst, d.depth + 1 FROM d JOIN e ON e.graph = d.graph AND e.src = d.node WHERE d.depth < 3) SELECT graph, root, node, min(depth) AS depth FROM d GROUP BY graph, root, node",
     "gr6_simple_cycles": f"{_DAYS}, p AS (SELECT graph, [src, dst] AS path FROM e WHERE src <= dst UNION ALL SELECT p.graph, list_append(p.path, e.dst) FROM p JOIN e ON e.graph = p.graph AND e.src = p.path[-1] WHERE p.path[1] != p.path[-1] AND (e.dst = p.path[1] OR (e.dst > p.path[1] AND NOT list_contains(p.path, e.dst)))) SELECT graph, array_to_string(path, '>') AS cycle FROM p WHERE path[1] = path[-1]",
     "gr7_strong_components": f"{_STRONG} SELECT graph, node, component, cyclic FROM scc",
+    "se4_terminal_states": f"{_DAYS} SELECT graph, dst AS state FROM e EXCEPT SELECT graph, src FROM e",
+    "ag7_state_statistics": f"{_DAYS} SELECT n.graph, count(*) AS states, (SELECT count(*) FROM e WHERE e.graph = n.graph) AS transitions FROM n GROUP BY n.graph",
     "gr9_weak_components": f"{_DAYS}, uu AS (SELECT graph, src AS a, dst AS b FROM e UNION SELECT graph, dst, src FROM e), w AS (SELECT graph, node AS a, node AS b FROM n UNION SELECT w.graph, w.a, uu.b FROM w JOIN uu ON uu.graph = w.graph AND uu.a = w.b) SELECT graph, a AS node, min(b) AS component FROM w GROUP BY graph, a",
-    "gr12_series": f"{_SERIES} SELECT graph, node, shared, series FROM se",
-    "gr14_boundary_edges": f"{_SERIES} SELECT e.graph, e.src, e.dst, a.series AS src_series, b.series AS dst_series FROM e JOIN se a ON a.graph = e.graph AND a.node = e.src JOIN se b ON b.graph = e.graph AND b.node = e.dst WHERE a.series IS NULL OR b.series IS NULL OR a.series != b.series",
-    "ag4_series_statistics": f"{_SERIES}, z AS (SELECT graph, series, count(*) AS n FROM se GROUP BY graph, series) SELECT graph, count(series) AS series_count, coalesce(max(n) FILTER (WHERE series IS NOT NULL), 0) AS max_nodes, coalesce(sum(n) FILTER (WHERE series IS NULL), 0)::BIGINT AS shared_count, coalesce(sum(n) FILTER (WHERE series IS NULL), 0)::DOUBLE / sum(n)::DOUBLE AS shared_ratio FROM z GROUP BY graph",
-    "wn2_message_sequence": f"{_DAYS}, c AS (SELECT graph, src, dst, row_number() OVER (PARTITION BY graph, src ORDER BY min(pos), dst) AS k FROM e0 GROUP BY graph, src, dst), m AS (SELECT graph, [node] AS path, '' AS number, 0 AS depth, '' AS caller, node AS callee, 'call' AS kind FROM n WHERE node = 'click' UNION ALL SELECT m.graph, list_append(m.path, c.dst), CASE WHEN m.number = '' THEN '' ELSE m.number || '.' END || c.k::VARCHAR, m.depth + 1, c.src, c.dst, CASE WHEN list_contains(m.path, c.dst) THEN 'recursive_call' WHEN m.depth = 2 AND c.dst IN (SELECT q.src FROM c q WHERE q.graph = m.graph) THEN 'depth_truncated' ELSE 'call' END FROM m JOIN c ON c.graph = m.graph AND c.src = m.callee WHERE m.kind = 'call' AND m.depth < 3) SELECT graph, number, depth, caller, callee, kind FROM m WHERE depth > 0",
-    "rn1_flowcharts": f"{_DAYS}, l AS (SELECT graph, 0 AS part, node AS x, '' AS y, '    n_' || substr(sha1(node), 1, 10) || '[\"' || node || '\"]' AS line FROM n UNION ALL SELECT graph, 1, src, dst, '    n_' || substr(sha1(src), 1, 10) || ' --> n_' || substr(sha1(dst), 1, 10) FROM e) SELECT graph, 'flowchart LR' || chr(10) || string_agg(line, chr(10) ORDER BY part, x, y) || chr(10) AS text FROM l GROUP BY graph",
     "j2_resolved_calls": f"{_REFS} SELECT p_partkey, raw, target FROM t",
     "j1_resolved_classes": f"{_REFS}, kd AS (SELECT DISTINCT name FROM k), ud AS (SELECT regexp_replace(name, '^.*\\.', '') AS simple, min(name) AS name FROM kd GROUP BY 1 HAVING count(*) = 1), c AS (SELECT DISTINCT raw, string_split(raw, '.') AS p FROM refs), x AS (SELECT raw, p, unnest(range(1, len(p) + 1)) AS i FROM c), y AS (SELECT raw, i, coalesce(kd.name, ud.name) AS target FROM x LEFT JOIN kd ON kd.name = array_to_string(p[1:i], '.') LEFT JOIN ud ON ud.simple = p[i]), b AS (SELECT raw, max_by(target, i) AS target FROM y WHERE target IS NOT NULL GROUP BY raw) SELECT p_partkey, refs.raw AS ref, b.target FROM refs LEFT JOIN b ON b.raw = refs.raw",
     "j6_resolved_imports": "WITH p AS (SELECT page_id, regexp_replace(url, '^https?://', '') AS ref FROM pages), k AS (SELECT DISTINCT regexp_replace(ref, '[/?#][^/?#]*$', '') AS name FROM p), x AS (SELECT page_id, ref, string_split(ref, '/') AS s, unnest(range(1, len(string_split(ref, '/')) + 1)) AS i FROM p), b AS (SELECT page_id, max_by(k.name, i) AS target FROM x JOIN k ON k.name = array_to_string(s[1:i], '/') GROUP BY page_id) SELECT p.page_id, p.ref, b.target FROM p LEFT JOIN b ON b.page_id = p.page_id",
     "j10_called_by": f"{_REFS} SELECT target AS name, string_agg(DISTINCT owner, ',' ORDER BY owner) AS callers FROM t GROUP BY target",
     "j11_selected_workloads": f"{_DAYS}, f AS (SELECT split_part(graph, ':', 1) AS u, min(graph) AS graph FROM n GROUP BY 1), kk AS (SELECT DISTINCT (SELECT list_sort(list(node)) FROM n WHERE n.graph = f.graph) AS ks FROM f), lb AS (SELECT graph, list(node) AS ls FROM n GROUP BY graph) SELECT array_to_string(ks, ',') AS selector, graph AS workload FROM kk JOIN lb ON list_has_all(ls, ks)",
     "ag11_strongest_orders": "SELECT o_custkey, o_orderstatus, o_orderkey, o_orderpriority, -(substr(o_orderpriority, 1, 1)::INT) AS rank FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY rank DESC, o_orderkey) = 1",
-    "fn4_use_case_names": f"WITH h AS (SELECT event_id, event_type, value, {_HANDLER} AS handler FROM events) SELECT event_id, CASE WHEN value < 5 THEN event_type WHEN value < 30 THEN upper(substr(event_type, 1, 1)) || substr(event_type, 2) ELSE 'User action' END AS name, CASE WHEN handler = 'on_' THEN 'on' ELSE handler END AS file FROM h",
     "wn10_lines_after_short_ones": "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM s), m AS (SELECT doc_id, pos, trim(line) AS t, last_value(CASE WHEN trim(line) != '' THEN length(line) <= 40 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_short FROM l) SELECT doc_id, pos FROM m WHERE t != '' AND after_short",
-    "ag14_repeated_lines": "SELECT trim(text) AS command, count(*) AS n, min(conv_id) AS first_conv FROM conversations WHERE trim(text) != '' GROUP BY 1 HAVING count(*) > 1",
-    "so4_text_search": "SELECT doc_id, length(regexp_extract(text, '^((?s:.*?))(?i:api.?key)', 1)) + 1 AS at FROM documents WHERE regexp_matches(text, '(?i)api.?key') ORDER BY doc_id LIMIT 40",
 }
+
+for _module in (module_queries, text_queries):
+    QUERIES |= _module.QUERIES
+    ORACLE_SQL |= _module.ORACLE_SQL

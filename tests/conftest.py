@@ -2,6 +2,7 @@ import sys
 import tempfile
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -38,9 +39,9 @@ def same(spark, data, duck):
     def check(query, sql):
         got, want = query(spark, data).toPandas(), duck.sql(sql).df()
         columns = sorted(want.columns)
-        assert sorted(got.columns) == columns
+        assert sorted(got.columns) == columns and len(want) > 0
         rows = lambda df: sorted(map(str, df[columns].astype(object).itertuples(index=False, name=None)))
-        plain = lambda df: df.assign(**{c: df[c].map(lambda v: None if v is None else f"{v:.9g}" if isinstance(v, float) else str(v)) for c in columns})
+        plain = lambda df: df.assign(**{c: df[c].map(lambda v: None if pd.isna(v) else f"{v:.9g}" if isinstance(v, float) else str(v)) for c in columns})
         assert rows(plain(got)) == rows(plain(want))
 
     return check
