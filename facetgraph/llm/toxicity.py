@@ -163,7 +163,7 @@ class Scorer:
         (a, b), (c, d) = model.moves
         e = model.bias
         self.step = np.exp([[a, b + e], [c, d + e]])
-        self.move = np.exp(np.array(model.moves))
+        self.move, self.start = np.exp(np.array(model.moves)), np.array([1.0, math.exp(e)])
         values, vectors = np.linalg.eig(self.step)
         self.values, self.vectors, self.inverse = values.real / values.real.max(), vectors.real, np.linalg.inv(vectors.real)
 
@@ -188,9 +188,12 @@ class Scorer:
         if not at:
             return -14.0, []
         emit = [math.exp(min(30.0, units[i] + self.model.bias)) for i in at]
-        ahead, state, last = [], np.array([1.0, 0.0]), -1
+        ahead, state, last = [], np.ones(2), -1
         for i, e in zip(at, emit, strict=True):
-            state = state @ self.bridge(i - last - 1) @ self.move if last >= 0 or i else np.array([1.0, 1.0])
+            if last < 0:
+                state = self.start @ self.bridge(i - 1) @ self.move if i else np.ones(2)
+            else:
+                state = state @ self.bridge(i - last - 1) @ self.move
             state = state * (1.0, e)
             state = state / state.sum()
             ahead.append(state)
