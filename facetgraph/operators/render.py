@@ -185,3 +185,31 @@ def quality_markdown(metrics: DataFrame, findings: DataFrame) -> DataFrame:
         _lines(none, 2, F.lit("\n現在の閾値では構造上の指摘は見つかりませんでした。")),
     ]
     return _assembled("# 設計品質レポート\n\n## 指標\n\n| 対象 | 指標 | 値 |\n| --- | --- | ---: |", parts)
+
+
+def state_diagram(machines: DataFrame, transitions: DataFrame, terminals: DataFrame) -> DataFrame:
+    """machines(graph, owner, variable, type, initial), transitions(graph, source, target, event, condition, pos), terminals(graph, state, pos); source * is any state."""
+    start = F.when(F.coalesce("initial", F.lit("")) != "", _text("\n    [*] --> ", F.col("initial"))).otherwise("")
+    head = _text("    %% ", F.col("owner"), ".", F.col("variable"), " : ", F.col("type"), start)
+    any_state = transitions.where("source = '*'").select("graph").distinct()
+    given = F.concat_ws(" ", F.nullif("event", F.lit("")), F.when(F.coalesce("condition", F.lit("")) != "", F.concat(F.lit("["), "condition", F.lit("]"))))
+    source = F.when(F.col("source") == "*", "__any").otherwise(F.col("source"))
+    move = _text("    ", source, " --> ", F.col("target"), F.when(given != "", F.concat(F.lit(": "), given)).otherwise(""))
+    parts = [
+        _lines(machines, 0, head),
+        _lines(any_state, 1, F.lit('    state "Any current state" as __any')),
+        _lines(transitions, 2, move, F.col("pos"), F.concat_ws("\x00", "source", "target")),
+        _lines(terminals, 3, _text("    ", F.col("state"), " --> [*]"), F.col("pos"), F.col("state")),
+    ]
+    return _assembled("stateDiagram-v2", parts)
+
+
+def use_case_diagram(cases: DataFrame) -> DataFrame:
+    """cases(graph, actor, name, component, event, callable, chain, pos) in order, below their actors; chain: what the handler leads to, as an array."""
+    actors = cases.groupBy("graph", "actor").agg(F.lit(1)).withColumn("n", F.row_number().over(Window.partitionBy("graph").orderBy("actor"))).select("graph", "actor", "n")
+    rows = cases.withColumn("k", F.row_number().over(Window.partitionBy("graph").orderBy("pos"))).join(actors, ["graph", "actor"])
+    number = lambda c: F.col(c).cast("string")
+    relation = T.one_line(F.concat("component", F.lit(" / "), "event"))
+    chain = T.one_line(F.array_join(F.concat(F.array("callable"), F.coalesce("chain", F.array().cast("array<string>"))), " -> "))
+    case = _text("    uc", number("k"), '(["', T.one_line(F.col("name")), '"])\n    actor', number("n"), ' -->|"', relation, '"| uc', number("k"), "\n    %% handler-chain: ", chain)
+    return _assembled("flowchart LR", [_lines(actors, 0, _text("    actor", number("n"), '["', T.one_line(F.col("actor")), '"]'), F.col("n")), _lines(rows, 1, case, F.col("k"))])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from facetgraph.functions import names, text
 from facetgraph.operators import partition, quality, relations, render, traverse, workflows
-from facetgraph.sources import facts
+from facetgraph.sources import facts, modules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -647,3 +647,79 @@ def rn12_responsibility_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT graph, 'Class,Responsibility' || chr(10) || string_agg(name || ',' || CASE WHEN contains(responsibility, ',') THEN '\"' || responsibility || '\"' ELSE responsibility END, chr(10) ORDER BY pos, name) || chr(10) AS text FROM rl GROUP BY graph", _TOLD)
 def rn12_responsibility_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return render.responsibility_csv(_responsibilities(spark, sf_dir))
+
+
+# --- modules as JSON ------------------------------------------------------------------
+
+_REFUSED = """
+mj AS (SELECT graph, s, min(i) AS line, count(*) AS n FROM (SELECT graph, s, p, min(i) AS i FROM ln GROUP BY graph, s, p) GROUP BY graph, s),
+dj AS (
+  SELECT graph, s, n, CASE s % 8 WHEN 0 THEN 'unsupported Common IR schema_version "2" (supported: "1")' WHEN 1 THEN 'common_ir.language is required' WHEN 2 THEN 'common_ir.imports must be a JSON array'
+    WHEN 3 THEN 'common_ir.entities[0] has invalid source range line=' || least(line, 2) || ' end_line=' || (least(line, 2) - 1) WHEN 4 THEN 'decode Common IR payload' END AS error FROM mj
+)""".strip()
+
+
+def _coded_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(graph, module_id, json): suppliers of a customer as modules of their parts, of which five in eight break a rule."""
+    kind = F.col("s") % 8
+    parts = _lines(spark, sf_dir).groupBy("graph", "s", "p").agg(F.min("i").alias("i"))
+    # all entities of a module stand on one line, so that the first one breaks a rule as any would
+    grouped = parts.groupBy("graph", "s").agg(F.min("i").alias("line"), F.sort_array(F.collect_list("p")).alias("parts"))
+    line = F.when(kind == 3, F.least("line", F.lit(2))).otherwise(F.col("line"))
+    entities = F.transform("parts", lambda p: F.struct(F.lit("method").alias("kind"), F.concat(F.lit("p"), p.cast("string")).alias("name"), line.alias("line"), (line - (kind == 3).cast("int")).alias("end_line"), F.lit(1).alias("unknown")))
+    fields = [
+        F.when(kind == 0, "2").otherwise("1").alias("schema_version"),
+        F.when(kind != 1, F.when(F.col("s") % 16 == 5, "go").otherwise("python")).alias("language"),
+        entities.alias("entities"),
+        F.when(kind != 2, F.array(F.lit("base"))).alias("imports"),
+        F.array().cast("array<struct<kind:string,message:string>>").alias("diagnostics"),
+    ]
+    text_ = F.to_json(F.struct(*fields))
+    return grouped.select("graph", F.col("s").alias("module_id"), F.when(kind == 4, F.substring(text_, 1, 40)).otherwise(text_).alias("json"))
+
+
+@query("SELECT graph, s AS module_id, error, CASE WHEN error IS NULL THEN n END AS entities FROM dj", _REFUSED)
+def sc7_decoded_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = modules.decoded(_coded_modules(spark, sf_dir))
+    return rows.select("graph", "module_id", "error", F.when(F.col("error").isNull(), F.size("module.entities")).cast("long").alias("entities"))
+
+
+@query("SELECT graph, s AS module_id, error FROM dj WHERE error IS NULL", _REFUSED)
+def sc8_encoded_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sound modules, encoded and decoded again; those that come back as they were."""
+    once = modules.decoded(_coded_modules(spark, sf_dir)).where("error IS NULL").select("graph", "module_id", F.col("module").alias("first"))
+    again = modules.decoded(modules.encoded(once.withColumn("module", F.col("first"))))
+    return again.where(F.to_json("module") == F.to_json("first")).select("graph", "module_id", "error")
+
+
+@query("SELECT graph, CASE WHEN count(DISTINCT s % 16 = 5) > 1 THEN 'mixed' WHEN max(s % 16) FILTER (WHERE s % 16 = 5) = 5 THEN 'go' ELSE 'python' END AS language, CAST(sum(n) AS BIGINT) AS entities FROM dj WHERE error IS NULL GROUP BY graph", _REFUSED)
+def sc10_projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sound modules of a customer together."""
+    rows = modules.decoded(_coded_modules(spark, sf_dir))
+    return modules.languages(rows).join(modules.facts_of(rows, "entities").groupBy("graph").agg(F.count("*").alias("entities")), "graph")
+
+
+# --- use cases as text ------------------------------------------------------------------
+
+_CASES = _HANDLED + """,
+e1 AS (SELECT cal.graph, caller, coalesce(o.qualified, e.qualified, u.one) AS target, cal.pos FROM cal LEFT JOIN mth e ON e.graph = cal.graph AND e.qualified = raw
+  LEFT JOIN mth o ON o.graph = cal.graph AND raw LIKE 'self.%' AND o.qualified = cal.parent || substr(raw, 5) LEFT JOIN uq u ON u.graph = cal.graph AND u.name = raw),
+e2 AS (SELECT graph, caller, target, min(pos) AS pos FROM e1 WHERE target IS NOT NULL AND target <> caller GROUP BY graph, caller, target),
+uc AS (
+  SELECT hd.graph, component, callable, hd.pos, row_number() OVER (PARTITION BY hd.graph ORDER BY hd.pos) AS k,
+         CASE WHEN starts_with(handler, 'on_') THEN upper(substr(handler, 4, 1)) || replace(substr(handler, 5), '_clicked', '') ELSE upper(substr(replace(handler, 'self.', ''), 1, 1)) || substr(replace(handler, 'self.', ''), 2) END AS name,
+         (SELECT string_agg(' -> ' || target, '' ORDER BY e2.pos) FROM e2 WHERE e2.graph = hd.graph AND e2.caller = callable) AS chain FROM hd
+)"""
+
+
+@query("""SELECT graph, 'flowchart LR' || chr(10) || '    actor1["User"]' || chr(10) || string_agg('    uc' || k || '(["' || name || '"])' || chr(10) || '    actor1 -->|"' || component || ' / order"| uc' || k || chr(10) || '    %% handler-chain: ' || callable || coalesce(chain, ''), chr(10) ORDER BY k) || chr(10) AS text FROM uc GROUP BY graph""", _CASES)
+def rn7_use_case_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as use cases of one actor, with what their handlers call directly."""
+    lines = _lines(spark, sf_dir)
+    methods = facts.methods(lines)
+    cases = relations.use_cases(facts.input_events(lines), methods)
+    _, edges = relations.sequence_graph(relations.call_sequences(facts.calls(lines), methods), methods)
+    chains = edges.where("src != dst").groupBy("graph", F.col("src").alias("callable")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda x: x["dst"]).alias("chain"))
+    name = text.use_case_name(F.lit(None).cast("string"), F.col("handler"))
+    rows = cases.join(chains, ["graph", "callable"], "left").select("graph", F.lit("User").alias("actor"), name.alias("name"), "component", F.lit("order").alias("event"), "callable", "chain", "pos")
+    return render.use_case_diagram(rows)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetgraph.functions import names
-from facetgraph.operators import graph, resolve, traverse
+from facetgraph.operators import graph, render, resolve, traverse
 from facetgraph.plans import module_queries, text_queries
 from facetgraph.sources.tables import event_steps, table
 
@@ -68,6 +68,16 @@ def ag7_state_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.groupBy("graph").agg(F.count("*").alias("states")).join(moves, "graph", "left").select("graph", "states", F.coalesce("transitions", F.lit(0)).alias("transitions"))
 
 
+def rn7_state_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each day's graph as a state machine: from the first event type on, moves in the order of their first occurrence, how often they occur as their event."""
+    _, edges = _day_graphs(spark, sf_dir)
+    moves = edges.groupBy("graph", F.col("src").alias("source"), F.col("dst").alias("target")).agg(F.count("*").alias("n"), F.min("pos").alias("pos"))
+    moves = moves.select("graph", "source", "target", F.concat(F.lit("x"), F.col("n").cast("string")).alias("event"), F.when(F.col("n") > 1, F.lit("often")).alias("condition"), "pos")
+    machines = edges.groupBy("graph").agg(F.min_by("src", "pos").alias("initial")).select("graph", F.col("graph").alias("owner"), F.lit("event").alias("variable"), F.lit("Type").alias("type"), "initial")
+    ends = se4_terminal_states(spark, sf_dir).select("graph", "state", F.lit(0).alias("pos"))
+    return render.state_diagram(machines, moves, ends)
+
+
 def gr5_reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances up to 3 from the views of each graph."""
     nodes, edges = _day_graphs(spark, sf_dir)
@@ -155,6 +165,7 @@ QUERIES = {f.__name__: f for f in (
     so3_largest_documents,
     ag13_group_by_scope,
     ag7_state_statistics,
+    rn7_state_diagrams,
     gr5_reachable,
     gr6_simple_cycles,
     gr7_strong_components,
@@ -188,6 +199,7 @@ ORACLE_SQL |= {
     "gr6_simple_cycles": f"{_DAYS}, p AS (SELECT graph, [src, dst] AS path FROM e WHERE src <= dst UNION ALL SELECT p.graph, list_append(p.path, e.dst) FROM p JOIN e ON e.graph = p.graph AND e.src = p.path[-1] WHERE p.path[1] != p.path[-1] AND (e.dst = p.path[1] OR (e.dst > p.path[1] AND NOT list_contains(p.path, e.dst)))) SELECT graph, array_to_string(path, '>') AS cycle FROM p WHERE path[1] = path[-1]",
     "gr7_strong_components": f"{_STRONG} SELECT graph, node, component, cyclic FROM scc",
     "se4_terminal_states": f"{_DAYS} SELECT graph, dst AS state FROM e EXCEPT SELECT graph, src FROM e",
+    "rn7_state_diagrams": f"{_DAYS}, mv AS (SELECT graph, src, dst, count(*) AS n, min(pos) AS pos FROM e0 GROUP BY graph, src, dst), ln AS (SELECT graph, 0 AS part, 0 AS pos, '' AS x, '    %% ' || graph || '.event : Type' || chr(10) || '    [*] --> ' || min_by(src, pos) AS line FROM e0 GROUP BY graph UNION ALL SELECT graph, 2, pos, src || chr(1) || dst, '    ' || src || ' --> ' || dst || ': x' || n || CASE WHEN n > 1 THEN ' [often]' ELSE '' END FROM mv UNION ALL SELECT graph, 3, 0, dst, '    ' || dst || ' --> [*]' FROM (SELECT graph, dst FROM e EXCEPT SELECT graph, src FROM e)) SELECT graph, 'stateDiagram-v2' || chr(10) || string_agg(line, chr(10) ORDER BY part, pos, x) || chr(10) AS text FROM ln GROUP BY graph",
     "ag7_state_statistics": f"{_DAYS} SELECT n.graph, count(*) AS states, (SELECT count(*) FROM e WHERE e.graph = n.graph) AS transitions FROM n GROUP BY n.graph",
     "gr9_weak_components": f"{_DAYS}, uu AS (SELECT graph, src AS a, dst AS b FROM e UNION SELECT graph, dst, src FROM e), w AS (SELECT graph, node AS a, node AS b FROM n UNION SELECT w.graph, w.a, uu.b FROM w JOIN uu ON uu.graph = w.graph AND uu.a = w.b) SELECT graph, a AS node, min(b) AS component FROM w GROUP BY graph, a",
     "j2_resolved_calls": f"{_REFS} SELECT p_partkey, raw, target FROM t",

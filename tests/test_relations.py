@@ -119,3 +119,38 @@ def test_repository(spark, tmp_path):
     assert rows(repository.search(files, "path", "api", max_results=2), "path", "line", "truncated") == [("Dockerfile", 2, True), ("a/x.py", 2, True)]
     assert rows(repository.profile(files), "suffix", "files", "lines") == [("", 1, 2), (".py", 2, 3)]
     assert rows(repository.find_paths(files, "*/x.[!c]y"), "path") == [("a/x.py",)] == rows(repository.find_paths(files, "X.P"), "path")
+
+
+def test_modules(spark):
+    from facetgraph.sources import modules
+
+    sound = '{"schema_version": "1", "language": "go", "entities": [{"kind": "class", "name": "A", "line": 2, "end_line": 2, "new_field": 1}], "imports": [], "diagnostics": [{"kind": "k", "message": "m"}], "objects": [{"name": "o", "values": [["k", "v"]]}]}'
+    broken = {
+        "null": (None, "decode Common IR payload"),
+        "empty": ("", "decode Common IR payload"),
+        "cut": (sound[:50], "decode Common IR payload"),
+        "version": (sound.replace('"1", "lang', '"", "lang'), "payload.schema_version is required"),
+        "language": (sound.replace('"go"', '""'), "common_ir.language is required"),
+        "imports": (sound.replace('"imports": [], ', ""), "common_ir.imports must be a JSON array"),
+        "name": (sound.replace('"A"', '""'), "common_ir.entities[0].kind and name are required"),
+        "span": (sound.replace('"end_line": 2', '"end_line": 1'), "common_ir.entities[0] has invalid source range line=2 end_line=1"),
+        "diagnostic": (sound.replace('"m"}', '"m"}, {"kind": "k"}'), "common_ir.diagnostics[1].kind and message are required"),
+        "line": (sound.replace('"m"}', '"m", "line": 0}'), "common_ir.diagnostics[0].line must be a positive integer when present"),
+    }
+    rows_ = [("g", name, text) for name, (text, _) in broken.items()] + [("g", "sound", sound), ("g", "other", sound.replace('"go"', '"java"'))]
+    out = modules.decoded(spark.createDataFrame(rows_, "graph string, module_id string, json string"))
+    got = {r.module_id: r for r in out.collect()}
+    assert {n: got[n].error for n in broken} == {n: e for n, (_, e) in broken.items()} and all(got[n].module is None for n in broken)
+    assert got["sound"].error is None and got["sound"].module.entities[0].name == "A" and got["sound"].module["objects"][0]["values"] == [["k", "v"]]
+    assert rows(modules.languages(out), "graph", "language") == [("g", "mixed")]
+    assert rows(modules.facts_of(out, "entities"), "module_id", "ord", "name") == [("other", 0, "A"), ("sound", 0, "A")]
+    assert modules.decoded(out.select("graph", "json").limit(0)).collect() == []
+
+
+def test_state_and_use_case_texts(spark):
+    machine = spark.createDataFrame([("g", "Worker", "state", "State", "IDLE")], "graph string, owner string, variable string, type string, initial string")
+    moves = spark.createDataFrame([("g", "*", "RUNNING", "start", "ready", 1)], "graph string, source string, target string, event string, condition string, pos long")
+    ends = spark.createDataFrame([("g", "RUNNING", 0)], "graph string, state string, pos long")
+    assert render.state_diagram(machine, moves, ends).first().text == 'stateDiagram-v2\n    %% Worker.state : State\n    [*] --> IDLE\n    state "Any current state" as __any\n    __any --> RUNNING: start [ready]\n    RUNNING --> [*]\n'
+    case = spark.createDataFrame([("g", "User", "Open", "button", "click", "Controller.on_open", ["Repo.load"], 1)], "graph string, actor string, name string, component string, event string, callable string, chain array<string>, pos long")
+    assert render.use_case_diagram(case).first().text == 'flowchart LR\n    actor1["User"]\n    uc1(["Open"])\n    actor1 -->|"button / click"| uc1\n    %% handler-chain: Controller.on_open -> Repo.load\n'
