@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from facetgraph.functions.names import stable_output_name
 from facetgraph.operators.traverse import _between, _same, all_nodes, reachable, simple_edges, strong_components, weak_components
 from facetgraph.sources.scratch import Scratch, written
 
@@ -150,3 +151,19 @@ def degree_distributions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     alone = all_nodes(nodes, edges).select("graph", "node", F.lit(0).alias("i"), F.lit(0).alias("o"))
     sums = ends.union(alone).groupBy("graph", "node").agg(F.sum("i").alias("i"), F.sum("o").alias("o"))
     return sums.groupBy("graph").agg(F.sort_array(F.collect_list("i")).alias("fan_in"), F.sort_array(F.collect_list("o")).alias("fan_out"))
+
+
+def output_names(members: DataFrame, fallback: str = "graph") -> DataFrame:
+    """(graph, node, output_name): the output that draws a node: its series', named by the root, or its own if it is shared."""
+    own = stable_output_name("shared", F.col("node"), fallback)
+    return members.select("graph", "node", F.when(F.col("shared"), own).otherwise(stable_output_name("series", F.col("series"), fallback)).alias("output_name"))
+
+
+def references(boundary: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(graph, output_name, node, reference): for each output, the nodes beyond its boundary and the outputs that go on with them.
+
+    Each of boundary_edges() counts for both its ends; a node is named once in an output.
+    """
+    ends = boundary.select("graph", F.explode(F.array(F.struct(F.col("src").alias("near"), F.col("dst").alias("node")), F.struct(F.col("dst").alias("near"), F.col("src").alias("node")))).alias("pair")).select("graph", "pair.*")
+    named = ends.alias("e").join(outputs.alias("a"), _same("e", "a", {"near": "node"})).select("e.graph", "e.node", "a.output_name")
+    return named.alias("e").join(outputs.alias("b"), _same("e", "b", {"node": "node"})).select("e.graph", "e.output_name", "e.node", F.col("b.output_name").alias("reference")).distinct()

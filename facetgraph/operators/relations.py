@@ -198,3 +198,27 @@ def use_cases(events: DataFrame, callables: DataFrame) -> DataFrame:
     found = resolve_callables(refs, callables).drop("parent").withColumnRenamed("raw", "handler")
     names = callables.select("graph", F.col("qualified").alias("target"), F.lit(True).alias("known")).distinct()
     return found.join(names, ["graph", "target"], "left").withColumn("known", F.coalesce("known", F.lit(False))).withColumnRenamed("target", "callable")
+
+
+def known_targets(sources: DataFrame, services: DataFrame) -> DataFrame:
+    """(graph, source, target): the distinct targets of sources(graph, source, targets), an array, that are services(graph, name)."""
+    wanted = sources.select("graph", "source", F.explode("targets").alias("target"))
+    return wanted.join(services.select("graph", F.col("name").alias("target")), ["graph", "target"], "left_semi").select("graph", "source", "target").distinct()
+
+
+def confidence_counts(nodes: DataFrame) -> DataFrame:
+    """(graph, confirmed, inferred, unknown): how many nodes of each confidence a topology has; anything else is unknown."""
+    known = F.coalesce("confidence", F.lit(""))
+    return nodes.groupBy("graph").agg(F.count_if(known == "confirmed").alias("confirmed"), F.count_if(known == "inferred").alias("inferred"), F.count_if(~known.isin("confirmed", "inferred")).alias("unknown"))
+
+
+def ordered_distinct(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """(graph, values): a graph's distinct values as they first occur."""
+    first = rows.groupBy("graph", value).agg(F.min(order).alias("__at"))
+    return first.groupBy("graph").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", value))), lambda x: x[value]).alias("values"))
+
+
+def policy_findings(edges: DataFrame, rules: DataFrame) -> DataFrame:
+    """edges(graph, src, dst) that rules(source, target, severity), prefixes of both ends, forbid or warn of; a handful of rules, broadcast."""
+    met = F.startswith("e.src", "r.source") & F.startswith("e.dst", "r.target")
+    return edges.alias("e").join(F.broadcast(rules).alias("r"), met).select("e.graph", "e.src", "e.dst", "r.severity")

@@ -268,8 +268,9 @@ def emit_once(messages: DataFrame) -> DataFrame:
 def bounded_chain(roots: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:
     """(graph, root, node, depth): what a root leads to within max_depth steps, without the root.
 
-    The set of callables that a walk in any order meets: a node counts if some path of
-    max_depth edges or fewer leads to it.
+    A node counts if some path of max_depth edges or fewer leads to it. A depth-first
+    walk that enters no node twice may miss some of these where the bound cuts it; without
+    a bound that cuts, and at a bound of 1, both give one set.
     """
     return reachable(roots, edges, max_depth).where("depth > 0")
 

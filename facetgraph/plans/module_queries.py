@@ -723,3 +723,58 @@ def rn7_use_case_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = text.use_case_name(F.lit(None).cast("string"), F.col("handler"))
     rows = cases.join(chains, ["graph", "callable"], "left").select("graph", F.lit("User").alias("actor"), name.alias("name"), "component", F.lit("order").alias("event"), "callable", "chain", "pos")
     return render.use_case_diagram(rows)
+
+
+# --- small ones --------------------------------------------------------------------------
+
+_OUTPUT = "on_ AS (SELECT graph, node, CASE WHEN shared THEN 'shared_' || substr(sha256(node), 1, 10) || '_' || node ELSE 'series_' || substr(sha256(series), 1, 10) || '_' || series END AS output_name FROM se), bo AS (SELECT * FROM pe WHERE src_shared OR dst_shared OR src_series <> dst_series), be AS (SELECT graph, src AS near, dst AS node FROM bo UNION SELECT graph, dst, src FROM bo)"
+
+
+@query("SELECT DISTINCT be.graph, a.output_name, be.node, b.output_name AS reference FROM be JOIN on_ a ON a.graph = be.graph AND a.node = be.near JOIN on_ b ON b.graph = be.graph AND b.node = be.node", f"{_SPLIT}, {_OUTPUT}")
+def j15_boundary_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _orders(spark, sf_dir)
+    members = partition.partition(nodes, edges)
+    return partition.references(partition.boundary_edges(members, edges), partition.output_names(members))
+
+
+@query("SELECT DISTINCT c.graph, c.name AS source, t.target FROM (SELECT graph, name, unnest(bases) AS target FROM cls) t JOIN cls c ON c.graph = t.graph AND c.name = t.name JOIN cls k ON k.graph = t.graph AND k.name = t.target")
+def j13_known_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as services: the dependencies, named like base classes, that are services of the customer."""
+    classes = facts.classes(_lines(spark, sf_dir))
+    return relations.known_targets(classes.select("graph", F.col("name").alias("source"), F.col("bases").alias("targets")), classes)
+
+
+@query("SELECT graph, 0::BIGINT AS confirmed, count(DISTINCT node) AS inferred, 0::BIGINT AS unknown FROM (SELECT graph, component AS node FROM im UNION SELECT graph, dst FROM cg WHERE starts_with(dst, 'external:')) GROUP BY graph", _COMPONENTS)
+def ag9_confidence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relations.confidence_counts(relations.deployment_topology(*relations.component_graph(_imports(spark, sf_dir)))[0])
+
+
+@query("SELECT graph, string_agg(command, ',' ORDER BY w, command) AS commands FROM (SELECT graph, command, min(i) AS w FROM stp GROUP BY graph, command) GROUP BY graph")
+def ag12_ordered_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = relations.ordered_distinct(facts.workflow_steps(_lines(spark, sf_dir)), "command", "i")
+    return rows.select("graph", F.array_join("values", ",").alias("commands"))
+
+
+_POLICY = [("r0.", "r1.", "forbidden"), ("r1.n", "r2.n", "warning"), ("r3", "r0", "forbidden")]
+
+
+@query("SELECT DISTINCT ms.graph, module AS src, target AS dst, p.severity FROM ms JOIN (VALUES ('r0.', 'r1.', 'forbidden'), ('r1.n', 'r2.n', 'warning'), ('r3', 'r0', 'forbidden')) p(a, b, severity) ON starts_with(module, a) AND starts_with(target, b) WHERE target <> module", _MODULES)
+def ev11_policy_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Modules of one region that may not, or should not, import those of another."""
+    rules = spark.createDataFrame(_POLICY, "source string, target string, severity string")
+    return relations.policy_findings(relations.package_graph(_imports(spark, sf_dir))[1], rules)
+
+
+@query("SELECT graph, root, position, caller, callee, kind FROM ws WHERE kind IN ('call', 'async_call', 'recursive_call', 'depth_truncated')", _WALK)
+def pf8_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages that a communication shows."""
+    return _messages(spark, sf_dir).where("kind IN ('call', 'async_call', 'recursive_call', 'depth_truncated')").select("graph", "root", F.col("position").cast("long").alias("position"), "caller", "callee", "kind")
+
+
+@query("SELECT DISTINCT cal.graph, caller AS root, e.qualified AS node FROM cal JOIN mth e ON e.graph = cal.graph AND e.qualified = raw WHERE caller <> e.qualified UNION SELECT c.graph, c.caller, target FROM rc c JOIN mth m ON m.graph = c.graph AND m.qualified = target WHERE c.caller <> target", _CALLABLE)
+def wn8_direct_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each method leads to within one step; with that bound the chain does not depend on the walk's order."""
+    lines = _lines(spark, sf_dir)
+    methods = facts.methods(lines)
+    nodes, edges = relations.sequence_graph(relations.call_sequences(facts.calls(lines), methods), methods)
+    return traverse.bounded_chain(nodes, edges, 1).select("graph", "root", "node")
