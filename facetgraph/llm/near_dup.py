@@ -36,8 +36,8 @@ from pyspark.sql import types as T
 from facetgraph.llm.common import materialize, table
 from facetgraph.sources.scratch import Scratch
 
-#: Coordinates in a band.
-ROWS = 4
+#: Coordinates in a band, and texts that a task works on at once.
+ROWS, PART = 4, 1000
 #: Pairs up to this number (16 bytes each) are broadcast to their sets, more are shuffled.
 MOST_BROADCAST = 1_000_000
 #: Ids of texts up to this number (under 100 bytes each, unless ids are long) are broadcast to the texts, more are shuffled.
@@ -114,7 +114,7 @@ def _sketcher(words: int, percent: int, with_sets: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for batch in batches:
+        for batch in (whole.slice(lo, PART) for whole in batches for lo in range(0, max(1, len(whole)), PART)):
             sizes, names, lists = [], [], []
             for text in batch.column(1):
                 members = shingle_set(text.as_py(), words)

@@ -29,7 +29,7 @@ CAPACITY, END_ID = 2048, 1
 #: Pieces are this long at most, and about so many meet in a group.
 PIECE, GROUP = 512, 512
 #: Words whose ids a task remembers before it starts anew, bytes of text looked at together, and words tokenized together.
-MEMORY, PORTION, TOGETHER = 400_000, 2_000_000, 20_000
+MEMORY, PORTION, TOGETHER = 300_000, 1_000_000, 20_000
 #: Small letters that lower-casing and composing leave alone. The default tokenizer never cuts a word of them
 #: before its merges, and sets ASCII punctuation behind one apart; PROBES tell whether a tokenizer is of that kind.
 LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c and unicodedata.is_normalized("NFC", c))
