@@ -6,7 +6,7 @@ from facetgraph.plans.queries import ORACLE_SQL, QUERIES
 
 
 #: These work on the same partitions or cycles as others that are tested here, and take long; all queries are compared at each round's end.
-REPEATED = {"gr14_boundary_edges", "gr13_series_entries", "ev5_series_findings", "ag3_class_graph_counts", "gr22_cycle_edges", "rn5_package_diagrams"}
+REPEATED = {"j15_boundary_references", "ag4_series_statistics", "ev1_order_metrics", "ev3_class_cycles", "gr14_boundary_edges", "gr13_series_entries", "ev5_series_findings", "ag3_class_graph_counts", "gr22_cycle_edges", "rn5_package_diagrams"}
 
 
 @pytest.mark.parametrize("name", sorted(set(ORACLE_SQL) - REPEATED))
