@@ -65,14 +65,14 @@ def _split_lines(docs: DataFrame, text_col: str, host_col: str, ratio: float, le
     return rows.withColumn("__rest", F.when(F.col("__lines").isNull(), F.col("__all")).otherwise(rest))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", ratio: float = RATIO, least_pages: int = LEAST_PAGES, lang_col: str | None = None) -> DataFrame:
     """id_col, `n_lines`, `n_dropped`, `text` without boilerplate lines, for each row of docs.
 
-    Null text is an empty text of one empty line. Null hosts are one host. Rows that
-    share an id are treated one by one; no rows give no rows.
+    Null text is an empty text of one empty line. Null hosts are one host, null languages
+    one language. Rows that share an id are treated one by one; no rows give no rows.
     """
-    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(host_col).alias("__site"))
-    rows = _split_lines(own, "__text", "__site", ratio, least_pages)
+    own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.col(host_col).alias("__site"), *([F.col(lang_col).alias("__tongue")] if lang_col else []))
+    rows = _split_lines(own, "__text", "__site", ratio, least_pages, lang_col and "__tongue")
     return rows.select(F.col("__id").alias(id_col), F.size("__all").cast("long").alias("n_lines"), (F.size("__all") - F.size("__rest")).cast("long").alias("n_dropped"), F.array_join("__rest", "\n").alias("text"))
 
 
@@ -89,21 +89,27 @@ def without_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str =
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup_lines(table(spark, sf_dir, "documents"))
+    return dedup_lines(table(spark, sf_dir, "documents"), lang_col="lang")
 
 
 OP7_SQL = r"""
-WITH pages AS (SELECT DISTINCT source, coalesce(text, '') AS text FROM documents),
-totals AS (SELECT source, count(*) AS pages FROM pages GROUP BY source),
+WITH pages AS (SELECT DISTINCT source, lang, coalesce(text, '') AS text FROM documents),
+sites AS (
+  SELECT DISTINCT source, NULL AS lang, false AS of_lang, text FROM pages
+  UNION ALL SELECT source, lang, true, text FROM pages
+), totals AS (SELECT source, lang, of_lang, count(*) AS pages FROM sites GROUP BY ALL),
 lines AS (
-  SELECT source, line, count(*) AS n
-  FROM (SELECT source, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM pages)
-  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY source, line
+  SELECT source, lang, of_lang, line, count(*) AS n
+  FROM (SELECT source, lang, of_lang, unnest(list_distinct(string_split(text, chr(10)))) AS line FROM sites)
+  WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL
 ), bad AS (
-  SELECT l.source, list(l.line) AS drop FROM lines l JOIN totals t ON l.source IS NOT DISTINCT FROM t.source
-  WHERE l.n >= 5 AND l.n > 0.1::DOUBLE * t.pages GROUP BY l.source
+  SELECT l.source, l.lang, l.of_lang, list(l.line) AS drop FROM lines l
+  JOIN totals t ON l.source IS NOT DISTINCT FROM t.source AND l.lang IS NOT DISTINCT FROM t.lang AND l.of_lang = t.of_lang
+  WHERE l.n >= 5 AND l.n > 0.1::DOUBLE * t.pages GROUP BY ALL
 ), split AS (
-  SELECT d.doc_id, string_split(coalesce(d.text, ''), chr(10)) AS al, b.drop AS dr FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source
-), rest AS (SELECT doc_id, al, list_filter(al, lambda x: NOT list_contains(coalesce(dr, []), x)) AS re FROM split)
+  SELECT d.doc_id, string_split(coalesce(d.text, ''), chr(10)) AS al, list_concat(coalesce(b.drop, []), coalesce(c.drop, [])) AS dr
+  FROM documents d LEFT JOIN bad b ON d.source IS NOT DISTINCT FROM b.source AND NOT b.of_lang
+  LEFT JOIN bad c ON d.source IS NOT DISTINCT FROM c.source AND d.lang IS NOT DISTINCT FROM c.lang AND c.of_lang
+), rest AS (SELECT doc_id, al, list_filter(al, lambda x: NOT list_contains(dr, x)) AS re FROM split)
 SELECT doc_id, CAST(len(al) AS BIGINT) AS n_lines, CAST(len(al) - len(re) AS BIGINT) AS n_dropped, array_to_string(re, chr(10)) AS text FROM rest
 """

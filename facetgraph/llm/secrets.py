@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetgraph.llm.common import materialize, table, whole_text
-from facetgraph.sources.scratch import shared_dir
+from facetgraph.sources.scratch import remove, shared_dir
 
 
 @dataclass(frozen=True)
@@ -107,15 +107,17 @@ def findings(ledger: DataFrame, rules: tuple[SecretRule, ...] = RULES) -> DataFr
 def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ledger: str | None = None, rules: tuple[SecretRule, ...] = RULES) -> DataFrame:
     """Each row's id_col, counts by base kind, `base_sha256` and `spans` (kind:start:end).
 
-    ledger: the folder of an earlier ledger, or of a new one (in the shared folder if
-    None). Null text is the empty blob. Rows that share an id, or a text, each get their
+    ledger: the folder of an earlier ledger, or of a new one; without one nothing is
+    kept for later scans. Null text is the empty blob. Rows that share an id, or a text, each get their
     text's findings; other columns are ignored; no rows give no rows.
     """
     spark = docs.sparkSession
-    ledger = ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    folder = ledger or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
     own = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-    found = findings(scan_new_blobs(own, ledger, "__text", rules), rules)
+    found = findings(scan_new_blobs(own, folder, "__text", rules), rules)
     found = materialize(found.groupBy("blob").agg(F.array_sort(F.collect_list(F.struct("start", "__nth", "end", "kind"))).alias("__found")), "findings")
+    if not ledger:
+        remove(spark, folder)
     paths = own.select("__id", F.unhex(F.sha2(whole_text("__text").cast("binary"), 256)).alias("blob"))
     rows = paths.join(found, "blob", "left").withColumn("__found", F.coalesce("__found", F.array().cast(found.schema["__found"].dataType)))
     base = [i for i, r in enumerate(rules) if r.base]
@@ -130,7 +132,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_secrets(table(spark, sf_dir, "documents"))
+    """Scans all documents against the ledger in the folder that spark.facetgraph.secrets.ledger names, if it is set."""
+    return scan_secrets(table(spark, sf_dir, "documents"), ledger=spark.conf.get("spark.facetgraph.secrets.ledger", None))
 
 
 def _sql() -> str:

@@ -50,10 +50,33 @@ def test_odd_rows_quality(odd):
 
 
 def test_thresholds_follow_language_and_source(spark):
-    docs = [(i, f"{' '.join(f'w{i}x{k}' for k in range(40))}{' #' * (8 if s == 'code' else 0)}", "en", s) for i in range(60) for s in ("code", "news")]
-    docs.append((999, " ".join(f"v{k}" for k in range(40)) + " #" * 8, "en", "news"))
+    signs = lambda n: " ".join(f"word{k}" + "#" * (n // 40 + (k < n % 40)) for k in range(40))
+    docs = [(i, signs(60 + i % 7 if s == "code" else 3 + i % 5), "en", s) for i in range(120) for s in ("code", "news")]
+    docs += [(900, signs(63), "en", "news"), (901, signs(9), "en", "news"), (902, signs(200), "en", "code"), (903, signs(63), "en", "new source")]
     out = {(r.doc_id, r.n_symbols): r.kept for r in quality.quality_rules(spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")).collect()}
-    assert out[(5, 8)] and out[(5, 0)] and not out[(999, 8)]
+    assert out[(5, 65)] and out[(5, 3)] and not out[(900, 63)] and out[(901, 9)] and not out[(902, 200)]
+    assert out[(903, 63)]  # a source of one document is judged by its language, which holds code
+
+
+@pytest.mark.parametrize("number", [0, 1, 255, 256, 511, 40_000, 10**12])
+def test_grid_is_fine_at_any_size(spark, number):
+    step = spark.sql(f"SELECT {quality.grid_step(f'{number}L')}").first()[0]
+    assert step <= number and (number - step) * 128 <= number
+
+
+def test_thresholds_adapt_on_given_tables(spark):
+    counts = quality.base_counts(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).drop("text").cache()
+    rows = quality.thresholds(quality.sketches(counts)).collect()
+    assert len(rows) == 80
+    for name in ("punctuation", "dup_lines", "word_length"):
+        assert all(r[f"{name}_high"] is not None for r in rows) and len({r[f"{name}_high"] for r in rows}) >= 3
+    # most English groups have their own thresholds of the measures that all documents have
+    assert sum(r.punctuation_level == 0 for r in rows) >= 20 and len({r.punctuation_high for r in rows}) > 20
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("quality = 1").select("doc_id")
+    good = quality.verdict(counts).join(labels, "doc_id").where("NOT base_failed").groupBy("kept").count().collect()
+    good = {r.kept: r["count"] for r in good}
+    counts.unpersist()
+    assert good.get(False, 0) <= 0.005 * good[True]
 
 
 def test_copies_do_not_make_boilerplate(spark):
@@ -78,3 +101,18 @@ def test_ledger_scans_unseen_pairs_only(spark, odd, tmp_path):
     second = {(r.doc_id, r.spans) for r in secrets.scan_secrets(again, ledger=ledger).collect()}
     assert first <= second and (9, "assign:0:27,hex:7:27") in second
     assert spark.read.parquet(ledger).count() == size + 1
+
+
+def test_ledger_of_a_setting_is_scanned_on(spark, same, data, tmp_path):
+    """A first scan of some rows, then the query on the same ledger: only unseen blobs are read, findings are those of all."""
+    ledger = f"{tmp_path}/ledger"
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    secrets.scan_new_blobs(docs.where("doc_id < 90"), ledger)
+    before = {bytes(r.blob) for r in spark.read.parquet(ledger).select("blob").collect()}
+    spark.conf.set("spark.facetgraph.secrets.ledger", ledger)
+    try:
+        same(QUERIES["op6_secret_scans"], ORACLE_SQL["op6_secret_scans"])
+    finally:
+        spark.conf.unset("spark.facetgraph.secrets.ledger")
+    after = [bytes(r.blob) for r in spark.read.parquet(ledger).select("blob").collect()]
+    assert before < set(after) and len(after) == len(set(after)) == docs.select("text").distinct().count()

@@ -4,10 +4,12 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
 import corpus_pipeline
+from facetgraph.llm import quality
 from tests.llm.test_free import _brute
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -43,23 +45,33 @@ def plain_quality(rows):
             at[tuple(words[i : i + 5])].append(i)
         covered = {p for places in at.values() if len(places) > 1 for i in places for p in range(i, i + 5)}
         chars = sum(map(len, words))
-        measures = {"symbols": min(2000, 1000 * len(re.findall(r"[#*$%&|<>]", text)) // max(chars, 1)), "dup_lines": 1000 * (len(lines) - len(set(lines))) // max(len(lines), 1)}
+        measures = {"dup_lines": 1000 * (len(lines) - len(set(lines))) // max(len(lines), 1)}
         if len(words) >= 40:
-            measures["word_length"] = min(10000, 100 * chars // len(words))
+            measures["punctuation"] = 10000 * sum(c in string.punctuation for c in text) // chars
+            measures["word_length"] = 100 * chars // len(words)
+        measures = {name: v >> max(0, v.bit_length() - 8) << max(0, v.bit_length() - 8) for name, v in measures.items()}
         judged.append((row, len(words) < 10 or 100 * len(covered) > 20 * len(words), measures))
     values = defaultdict(list)
     for row, _, measures in judged:
         for name, value in measures.items():
-            for group in ((row["lang"], row["source"]), (row["lang"],), ()):
-                values[name, group].append(value)
+            if value or name != "dup_lines":
+                for group in ((row["lang"], row["source"]), (row["lang"],), ()):
+                    values[name, group].append(value)
+
+    def fences(name, group):
+        usual = sorted(values[name, group])
+        if len(usual) < quality.LEAST_GROUP:
+            return None, None
+        low, mid, high = (usual[math.ceil(len(usual) * tenths / 10) - 1] for tenths in (1, 5, 9))
+        fence = {"punctuation": 10, "dup_lines": 2.5, "word_length": 12}[name]
+        return mid - fence * (high - mid) if high > mid and name == "word_length" else None, mid + fence * (mid - low) if mid > low else None
+
     stay = []
     for row, failed, measures in judged:
         for name, value in measures.items():
-            side, fence, least = {"symbols": (1, 6, 8), "dup_lines": (1, 6, 100), "word_length": (0, 12, 20)}[name]
-            usual = next((v for g in ((row["lang"], row["source"]), (row["lang"],)) if len(v := sorted(values[name, g])) >= 50), None) or sorted(values[name, ()])
-            low, mid, high = (usual[math.ceil(len(usual) * tenths / 10) - 1] for tenths in (1, 5, 9))
-            failed |= side <= 0 and value < mid - fence * max(high - mid, least)
-            failed |= side >= 0 and value > mid + fence * max(mid - low, least)
+            levels = [fences(name, g) for g in ((row["lang"], row["source"]), (row["lang"],), ())]
+            low, high = (next((x[i] for x in levels if x[i] is not None), None) for i in (0, 1))
+            failed |= low is not None and value < low or high is not None and value > high
         if not failed:
             stay.append(row)
     return stay
@@ -128,7 +140,7 @@ def planted():
         # columns that the stages have names like, too
         rows.append((i, text, lang, source, None if text is None else len(text), i and i % 7, f"k{i}", f"r{i}"))
 
-    some = lambda lang, n: " ".join(rng.choice(vocabulary[lang or "?"]) for _ in range(n))
+    some = lambda lang, n: " ".join(rng.choice(vocabulary[lang or "?"]) + rng.choice(["", "", "", ".", ","]) for _ in range(n))
     for i in range(150):
         lang, source = ("en", "fr", None)[(i % 10 > 6) + (i % 10 > 8)], ("a", "b", None)[(i % 7 > 3) + (i % 7 > 5)]
         text = some(lang, rng.randint(40, 90)) + "\n" + some(lang, 12)
