@@ -3,17 +3,28 @@
 Shared nodes are cut out, what hangs together without them is a component, and branches
 of a component that one single edge enters become series of their own, within one
 another.
+
+A graph of SMALL rows or fewer is partitioned where it lies, in a task that takes many such
+graphs one after the other (series.py); a larger one by rounds of joins over the cluster.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from facetgraph.functions.names import stable_output_name
+from facetgraph.operators.series import series_of
 from facetgraph.operators.traverse import _between, _same, all_nodes, reachable, simple_edges, strong_components, weak_components
 from facetgraph.sources.scratch import Scratch, written
 
+#: Nodes and edges of a graph that one task may hold.
+SMALL = 100_000
+
 
 def _greedy(branches: DataFrame, inside: DataFrame, scratch: Scratch) -> DataFrame:
     """Branches(graph, head, rank) taken by rising rank, each unless it overlaps one taken before.
@@ -36,8 +47,8 @@ def _greedy(branches: DataFrame, inside: DataFrame, scratch: Scratch) -> DataFra
             return taken
 
 
-def partition(nodes: DataFrame, edges: DataFrame, fan_in_threshold: int = 3, min_child: int = 3) -> DataFrame:
-    """(graph, node, shared, series, depth, parent): a node's series, named by its root; all three null for a shared node.
+def partition(nodes: DataFrame, edges: DataFrame, fan_in_threshold: int = 3, min_child: int = 3, small: int = SMALL) -> DataFrame:
+    """(graph, node, shared, series, depth, parent, number): a node's series, named by its root; the last four null for a shared node.
 
     A node with fan_in_threshold distinct callers or more is shared, unless it is on a
     cycle. Weak components of the others are rooted at their smallest node without
@@ -47,16 +58,71 @@ def partition(nodes: DataFrame, edges: DataFrame, fan_in_threshold: int = 3, min
     distance from the root (unreached ones last), parent and head, unless they overlap one
     taken before; inside a branch that was taken, the branches within it are taken too.
     A node belongs to the innermost branch; depth counts the branches around it; parent is
-    the root of the series around its own.
-
-    Work is joins and sums by branch: the pairs of a branch's head and its nodes are
-    formed, for heads with one entering edge only, in the longest chain of branches
-    quadratic in its length.
+    the root of the series around its own. Series are numbered from 1 in a graph:
+    components by their smallest node, in each a series before those within it, and these
+    in the order in which they are taken.
     """
     if fan_in_threshold < 1:
         raise ValueError("fan-in threshold must be at least 1")
     if min_child < 2:
         raise ValueError("minimum child series size must be at least 2")
+    edges = edges.where("src IS NOT NULL AND dst IS NOT NULL").select("graph", "src", "dst")
+    with Scratch(nodes.sparkSession, "graphs") as scratch:
+        alone = nodes.where("node IS NOT NULL").select("graph", F.col("node").alias("src"), F.col("node").alias("dst"), F.lit(False).alias("edge"))
+        rows = scratch.write(alone.distinct().union(edges.withColumn("edge", F.lit(True))), "rows")
+        large = scratch.write(rows.groupBy("graph").agg(F.count("*").alias("n")).where(F.col("n") > small).select("graph"), "large")
+        own = F.col("r.graph").eqNullSafe(F.col("l.graph"))
+        any_large = not large.isEmpty()
+        here = rows.alias("r").join(large.alias("l"), own, "left_anti") if any_large else rows
+        node = T.StructField("node", rows.schema["src"].dataType)
+        schema = T.StructType([rows.schema["graph"], node, T.StructField("shared", T.BooleanType()), T.StructField("series", node.dataType), T.StructField("depth", T.IntegerType()), T.StructField("parent", node.dataType), T.StructField("number", T.IntegerType())])
+        out = here.repartition("graph").sortWithinPartitions("graph").mapInArrow(_placed(schema, fan_in_threshold, min_child), schema)
+        if any_large:
+            rest = rows.alias("r").join(large.alias("l"), own, "left_semi")
+            out = out.union(_partition_large(rest.where("NOT edge").select("graph", F.col("src").alias("node")), rest.where("edge").drop("edge"), fan_in_threshold, min_child))
+        return written(out, "partition")
+
+
+def _placed(schema: T.StructType, fan_in_threshold: int, min_child: int):
+    """Rows (graph, src, dst, edge), a graph's in one run, to those of partition()."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graph, nodes, edges, out = None, set(), [], []
+
+        def flush() -> None:
+            out.extend((graph, *row) for row in series_of(nodes, edges, fan_in_threshold, min_child))
+            nodes.clear()
+            edges.clear()
+
+        def rows() -> pa.RecordBatch:
+            columns = list(zip(*out)) or [[] for _ in kinds]
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(columns, kinds)], schema=kinds)
+
+        for batch in batches:
+            for g, src, dst, edge in zip(*(c.to_pylist() for c in batch.columns)):
+                if g != graph:
+                    flush()
+                    graph = g
+                nodes.update((src, dst))
+                if edge:
+                    edges.append((src, dst))
+            yield rows()
+        flush()
+        yield rows()
+
+    return run
+
+
+def _partition_large(nodes: DataFrame, edges: DataFrame, fan_in_threshold: int, min_child: int) -> DataFrame:
+    """partition() by joins and sums over the cluster.
+
+    The pairs of a branch's head and its nodes are formed, for heads with one entering
+    edge only: in the longest chain of branches they are quadratic in its length.
+    """
     with Scratch(nodes.sparkSession, "partition") as scratch:
         edges = scratch.write(edges.where("src IS NOT NULL AND dst IS NOT NULL").select("graph", "src", "dst"), "edges")
         fan_in = simple_edges(edges).groupBy("graph", F.col("dst").alias("node")).agg(F.count("*").alias("fan_in"))
@@ -74,7 +140,8 @@ def partition(nodes: DataFrame, edges: DataFrame, fan_in_threshold: int = 3, min
 
         heads = facts.where("n_in = 1 AND NOT cyclic").alias("h").join(facts.select("graph", "node", "fan_out").alias("p"), _same("h", "p", {"from": "node"})).where("p.fan_out >= 2")
         heads = scratch.write(heads.select("h.graph", "h.node", "h.component", F.col("h.from").alias("parent")), "heads")
-        reach = reachable(heads, links).select("graph", F.col("root").alias("head"), "node")
+        reached = reachable(heads, links).select("graph", F.col("root").alias("head"), "node", "depth")
+        reach = reached.drop("depth")
         within = reach.alias("b").join(facts.alias("f"), _same("b", "f", {"node": "node"})).select("b.graph", "b.head", "f.n_in", "f.n_out", "f.cyclic")
         # all edges that leave a node of the branch stay in it: the others are those that enter it
         closed = within.groupBy("graph", "head").agg(F.count("*").alias("nodes"), (F.sum("n_in") - F.sum("n_out")).alias("entering"), F.max("cyclic").alias("cyclic"))
@@ -100,9 +167,31 @@ def partition(nodes: DataFrame, edges: DataFrame, fan_in_threshold: int = 3, min
         placed = facts.alias("f").join(own.alias("o"), _same("f", "o", {"node": "node"}), "left").join(roots.alias("r"), _same("f", "r", {"component": "component"}))
         at = lambda i: F.get("o.around", F.lit(i))["head"]
         depth = F.coalesce(F.size("o.around"), F.lit(0))
-        placed = placed.select("f.graph", "f.node", F.coalesce(at(0), "r.root").alias("series"), F.greatest(depth, F.lit(0)).alias("depth"), F.when(depth > 0, F.coalesce(at(1), "r.root")).alias("parent"))
+        placed = placed.select("f.graph", "f.node", "f.component", F.coalesce(at(0), "r.root").alias("series"), F.greatest(depth, F.lit(0)).alias("depth"), F.when(depth > 0, F.coalesce(at(1), "r.root")).alias("parent"), at(1).alias("outer"))
+        placed = scratch.write(placed, "placed")
+
+        # where a series stands among its siblings: by its parent node's distance from the head around it, or from the root
+        heads = placed.where("depth > 0 AND node = series").select("graph", "component", "series", "depth", "parent", "outer").alias("s")
+        heads = heads.join(branches.alias("b"), _same("s", "b", {"series": "head"})).select("s.*", "b.rank").alias("s")
+        steps = reached.alias("d")
+        heads = heads.join(steps, (F.col("s.graph").eqNullSafe(F.col("d.graph"))) & (F.col("s.outer") == F.col("d.head")) & (F.col("s.rank.parent") == F.col("d.node")), "left")
+        place = F.struct(F.coalesce("d.depth", "s.rank.distance").cast("long").alias("distance"), F.col("s.rank.parent").alias("parent"), F.col("s.series").alias("head"))
+        heads = scratch.write(heads.select("s.graph", "s.component", "s.series", "s.depth", "s.parent", place.alias("place")), "heads-placed")
+        level = roots.select("graph", "component", F.col("root").alias("series"), F.lit(0).alias("depth"), F.array().cast(T.ArrayType(heads.schema["place"].dataType)).alias("way"))
+        ways, deep = level, 0
+        while True:
+            deep += 1
+            level = heads.where(F.col("depth") == deep).alias("s").join(level.alias("p"), _same("s", "p", {"component": "component", "parent": "series"})).select("s.graph", "s.component", "s.series", "s.depth", F.concat("p.way", F.array("s.place")).alias("way"))
+            level = scratch.write(level, "level")
+            if level.isEmpty():
+                break
+            ways = ways.union(level)
+        number = F.row_number().over(Window.partitionBy("graph").orderBy("component", "way")).alias("number")
+        # the depth tells a branch from the part around it, if that is named by the same node
+        numbers = ways.select("graph", "component", "series", "depth", number)
+        placed = placed.alias("p").join(numbers.alias("n"), _same("p", "n", {"component": "component", "series": "series", "depth": "depth"})).select("p.*", "n.number")
         out = marked.alias("m").join(placed.alias("p"), _same("m", "p", {"node": "node"}), "left")
-        return written(out.select("m.graph", "m.node", "m.shared", "p.series", "p.depth", "p.parent"), "partition")
+        return written(out.select("m.graph", "m.node", "m.shared", "p.series", "p.depth", "p.parent", "p.number"), "partition-large")
 
 
 def placed_edges(members: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,10 +1,12 @@
 """Partitions and strong components against known answers and plain versions."""
 
+import itertools
 import random
+import time
 
 import pytest
 
-from facetgraph.operators import partition, traverse
+from facetgraph.operators import partition, series, traverse
 
 EDGES, NODES = "graph string, src string, dst string", "graph string, node string"
 # Known answers: edges, fan-in threshold, smallest child, then (node, series, depth, parent), series None for shared nodes.
@@ -39,9 +41,11 @@ def plain_partition(nodes, edges, fan_in, least):
     cyclic = {n for n in nodes if any(n in reach(b, edges) for a, b in edges if a == n)}
     shared = {n for n in nodes - cyclic if len({a for a, b in edges if b == n}) >= fan_in}
     links = [(a, b) for a, b in edges if not {a, b} & shared]
-    out = {n: (None, None, None) for n in shared}
+    out = {n: (None, None, None, None) for n in shared}
+    numbers = itertools.count(1)
 
     def place(part, root, depth, parent):
+        number = next(numbers)
         inner = [e for e in links if set(e) <= part]
         steps, layer = {root: 0}, {root}
         while layer:
@@ -57,7 +61,7 @@ def plain_partition(nodes, edges, fan_in, least):
             if tree <= rest:
                 rest -= tree
                 place(tree, head, depth + 1, root)
-        out.update({n: (root, depth, parent) for n in rest})
+        out.update({n: (root, depth, parent, number) for n in rest})
 
     left = nodes - shared
     while left:
@@ -81,20 +85,43 @@ def random_graphs(n=60):
     return out
 
 
-def test_partition(spark):
-    graphs = random_graphs()
-    for fan_in, least in ((4, 3), (3, 2)):
+@pytest.mark.parametrize("small", [partition.SMALL, 12])
+def test_partition(spark, small):
+    """In tasks, and (graphs of more than 12 rows) over the cluster."""
+    graphs = random_graphs(60 if small > 12 else 15)
+    for fan_in, least in ((4, 3), (3, 2)) if small > 12 else ((4, 3),):
         known = {name: ([], [tuple(e) for e in es]) for name, (es, f, m, _) in KNOWN.items() if (f, m) == (fan_in, least)}
         got = {}
-        members = partition.partition(*frames(spark, {**graphs, **known}), fan_in, least)
+        members = partition.partition(*frames(spark, {**graphs, **known}), fan_in, least, small)
         for r in members.collect():
-            got.setdefault(r.graph, {})[r.node] = (r.series, r.depth, r.parent)
+            got.setdefault(r.graph, {})[r.node] = (r.series, r.depth, r.parent, r.number)
             assert r.shared == (r.series is None)
         for name in known:
-            assert got[name] == KNOWN[name][3]
+            assert {n: x[:3] for n, x in got[name].items()} == KNOWN[name][3]
         for name, (nodes, edges) in graphs.items():
             assert got[name] == plain_partition(nodes, edges, fan_in, least), (name, edges)
-    assert sum(any(d for _, d, _ in plain_partition(*g, 4, 3).values() if d) for g in graphs.values()) > 15
+    assert sum(any(d for _, d, _, _ in plain_partition(*g, 4, 3).values() if d) for g in graphs.values()) > len(graphs) / 4
+
+
+def test_partition_in_a_task_equals_plain_version():
+    rng = random.Random(8)
+    for graphs in (random_graphs(300), {i: ([], [(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randrange(12))]) for i in range(600)}):
+        for nodes, edges in graphs.values():
+            for fan_in, least in ((4, 3), (2, 2)):
+                want = plain_partition(nodes, edges, fan_in, least)
+                got = series.series_of(set(nodes) | {n for e in edges for n in e}, edges, fan_in, least)
+                assert {n: tuple(x) for n, _, *x in got} == want and all(shared == (want[n][0] is None) for n, shared, *_ in got)
+
+
+@pytest.mark.parametrize("reverse", [False, True])
+def test_a_long_caterpillar_takes_linear_time(reverse):
+    """10,000 nested branches, each with two leaves more than the one within it."""
+    name = (lambda k: 99_999 - k) if reverse else (lambda k: k)
+    edges = [(name(3 * k), name(3 * k + i)) for k in range(10_000) for i in (1, 2, 3)]
+    start = time.process_time()
+    rows = series.series_of({n for e in edges for n in e}, edges, 3, 3)
+    assert time.process_time() - start < 5
+    assert len(rows) == 30_001 and max(r[3] for r in rows) == 9_999 and len({r[5] for r in rows}) == 10_000
 
 
 def test_statistics_of_shared_nodes_and_empty_graphs(spark):
