@@ -243,9 +243,10 @@ def degree_distributions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def output_names(members: DataFrame, fallback: str = "graph") -> DataFrame:
-    """(graph, node, output_name): the output that draws a node: its series', named by the root, or its own if it is shared."""
+    """(graph, node, output_name): the output that draws a node: its series', by its number and root, or its own if it is shared."""
     own = stable_output_name("shared", F.col("node"), fallback)
-    return members.select("graph", "node", F.when(F.col("shared"), own).otherwise(stable_output_name("series", F.col("series"), fallback)).alias("output_name"))
+    series = stable_output_name(F.concat(F.lit("series_"), F.col("number").cast("string")), F.col("series"), fallback)
+    return members.select("graph", "node", F.when(F.col("shared"), own).otherwise(series).alias("output_name"))
 
 
 def references(boundary: DataFrame, outputs: DataFrame) -> DataFrame:

@@ -33,19 +33,27 @@ def _assembled(first: str, parts: list[DataFrame], last: str = "") -> DataFrame:
     return out.groupBy("graph").agg(F.concat(F.lit(first + "\n"), body, F.lit("\n" + last)).alias("text"))
 
 
+def _continued(label: Column, nodes: DataFrame) -> Column:
+    """A node's label, and below it the output that goes on with it, where nodes have one as `reference`."""
+    return _text(label, F.when(F.col("reference").isNotNull(), _text("<br/>続き: ", F.col("reference"))).otherwise("")) if "reference" in nodes.columns else label
+
+
 def call_flowchart(nodes: DataFrame, edges: DataFrame, direction: str = "LR") -> DataFrame:
-    """Nodes by name, then all edges(graph, src, dst, pos) in their order, repeated ones too."""
+    """Nodes(graph, node, reference?) by name, then all edges(graph, src, dst, pos) in their order, repeated ones too."""
     name = F.col("node")
-    nodes = nodes.where("node IS NOT NULL").select("graph", "node").distinct()
+    nodes = nodes.where("node IS NOT NULL").select("graph", "node", *[c for c in ("reference",) if c in nodes.columns]).distinct()
     edges = edges.where("src IS NOT NULL AND dst IS NOT NULL")
     drawn = _text("    ", T.node_id(F.col("src")), " --> ", T.node_id(F.col("dst")))
-    return _assembled(f"flowchart {direction}", [_lines(nodes, 0, _text("    ", T.node_id(name), '["', name, '"]'), name=name), _lines(edges, 1, drawn, F.col("pos"), _text(F.col("src"), " ", F.col("dst")))])
+    return _assembled(f"flowchart {direction}", [_lines(nodes, 0, _text("    ", T.node_id(name), '["', _continued(name, nodes), '"]'), name=name), _lines(edges, 1, drawn, F.col("pos"), _text(F.col("src"), " ", F.col("dst")))])
 
 
 def package_flowchart(nodes: DataFrame, edges: DataFrame, cyclic: DataFrame, isolated: DataFrame) -> DataFrame:
-    """Nodes, then edges, by name; then which of nodes(graph, node) are on cycles and which stand alone."""
+    """Nodes(graph, node, reference?), stubs rounded, then edges, by name; then which nodes(graph, node) are on cycles and which stand alone."""
     one = lambda c: T.node_id(F.col(c), "pkg_")
-    parts = [_lines(nodes, 0, _text("    ", one("node"), '["', F.col("node"), '"]'), name=F.col("node")), _lines(edges, 1, _text("    ", one("src"), " --> ", one("dst")), name=_text(F.col("src"), "\x00", F.col("dst")))]
+    label = _continued(F.col("node"), nodes)
+    box = _text('["', label, '"]')
+    box = F.when(F.col("reference").isNotNull(), _text('(["', label, '"])')).otherwise(box) if "reference" in nodes.columns else box
+    parts = [_lines(nodes, 0, _text("    ", one("node"), box), name=F.col("node")), _lines(edges, 1, _text("    ", one("src"), " --> ", one("dst")), name=_text(F.col("src"), "\x00", F.col("dst")))]
     for part, marked, kind, style in ((2, cyclic, "cycle", "stroke-width:3px"), (3, isolated, "isolated", "stroke-dasharray: 5 5")):
         ids = F.transform(F.array_sort(F.collect_list("node")), lambda x: T.node_id(x, "pkg_"))
         rows = marked.groupBy("graph").agg(F.array_join(ids, ",").alias("ids"))
@@ -70,14 +78,14 @@ def _member_lines(members: DataFrame, indent: str) -> DataFrame:
 
 
 def class_diagram(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
-    """Classes with their members, by name, then relations in order. nodes(graph, node, external), edges(graph, src, dst, relation, pos)."""
+    """Classes with their members, by place and name, then relations in order. nodes(graph, node, external, reference?, place?), edges(graph, src, dst, relation, pos)."""
     one = lambda c: T.hashed_id(F.col(c), "c_")
     nodes = nodes.join(_member_lines(members, "        "), ["graph", "node"], "left")
-    head = _text("    class ", one("node"), '["', T.quoted(F.col("node")), '"]')
+    head = _text("    class ", one("node"), '["', _continued(T.quoted(F.col("node")), nodes), '"]')
     bare = F.when(F.col("external"), _text(head, "\n    class ", one("node"), " <<external>>")).otherwise(head)
     drawn = F.when(F.col("body").isNull(), bare).otherwise(_text(head, " {\n", F.col("body"), "\n    }"))
     relation = F.when(F.col("relation") == "inheritance", _text("    ", one("dst"), " <|-- ", one("src"))).otherwise(_text("    ", one("src"), " --> ", one("dst"), " : uses"))
-    return _assembled("classDiagram\ndirection LR", [_lines(nodes, 0, drawn, name=F.col("node")), _lines(edges, 1, relation, F.col("pos"), _text(F.col("relation"), F.col("src"), "\x00", F.col("dst")))])
+    return _assembled("classDiagram\ndirection LR", [_lines(nodes, 0, drawn, F.col("place") if "place" in nodes.columns else None, F.col("node")), _lines(edges, 1, relation, F.col("pos"), _text(F.col("relation"), F.col("src"), "\x00", F.col("dst")))])
 
 
 def class_diagram_plantuml(nodes: DataFrame, edges: DataFrame, members: DataFrame) -> DataFrame:
@@ -92,15 +100,17 @@ def class_diagram_plantuml(nodes: DataFrame, edges: DataFrame, members: DataFram
 
 
 def object_diagram(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Objects o0, o1, ... of nodes(graph, node, name, type_name, fields?) by node, then labelled references, by source, target and label.
+    """Objects o0, o1, ... of nodes(graph, node, name, type_name, fields?, reference?, place?) by place and node, then labelled references, by source, target and label.
 
     fields is an array of (name, value) structs.
     """
-    numbered = nodes.withColumn("n", F.row_number().over(Window.partitionBy("graph").orderBy("node")) - 1)
+    numbered = nodes.withColumn("n", F.row_number().over(Window.partitionBy("graph").orderBy(*[c for c in ("place", "node") if c in nodes.columns])) - 1)
     ids = numbered.select("graph", "node", F.concat(F.lit("o"), F.col("n").cast("string")).alias("id"))
     drawn = edges.join(ids.select("graph", F.col("node").alias("src"), F.col("id").alias("a")), ["graph", "src"]).join(ids.select("graph", F.col("node").alias("dst"), F.col("id").alias("b")), ["graph", "dst"])
     label = F.replace(T.object_label(F.col("label")), F.lit("|"), F.lit("/"))
     shown = T.object_label(F.concat("name", F.lit(" : "), "type_name"))
+    if "reference" in nodes.columns:
+        shown = F.concat_ws("<br/>", shown, F.concat(F.lit("続き: "), "reference"))
     if "fields" in nodes.columns:
         shown = F.concat_ws("<br/>", shown, F.transform("fields", lambda x: T.object_label(F.concat(x["name"], F.lit(" = "), x["value"]))))
     name = F.concat_ws("\x00", "src", "dst", "label")

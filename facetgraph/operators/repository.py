@@ -12,7 +12,7 @@ DEPLOYMENT_NAMES = ("compose.yml", "compose.yaml", "docker-compose.yml", "docker
 ROLES = (
     ("source", r"^Src/"),
     ("tests", r"^tests/"),
-    ("docs", r"^(docs|specification)/|^(README|AGENTS)\.md$"),
+    ("docs", r"^(docs|specification)/|^(README|AI_CONTEXT|AGENTS)\.md$"),
     ("tooling", r"^tools/|(?i)\.(bat|sh)$"),
     ("config", r"^\.github/|(^|/)(pyproject\.toml|\.gitignore)$"),
     ("other", ""),
@@ -62,11 +62,13 @@ def role(path: Column, rules: tuple[tuple[str, str], ...] = ROLES) -> Column:
 
 
 def role_map(files: DataFrame, samples: int = 20) -> DataFrame:
-    """(role, count, samples): how many files have each role, and the first of them by path."""
+    """(role, count, samples) of each role, also of those that no file has: how many files have it, and the first of them by path."""
     rows = files.select("path", role(F.col("path")).alias("role"))
     first = rows.withColumn("n", F.row_number().over(Window.partitionBy("role").orderBy("path"))).where(F.col("n") <= samples)
     shown = first.groupBy("role").agg(F.sort_array(F.collect_list("path")).alias("samples"))
-    return rows.groupBy("role").agg(F.count("*").alias("count")).join(shown, "role")
+    roles = files.sparkSession.createDataFrame([(name,) for name, _ in ROLES], "role string")
+    found = rows.groupBy("role").agg(F.count("*").alias("count")).join(shown, "role")
+    return roles.join(found, "role", "left").select("role", F.coalesce("count", F.lit(0)).cast("long").alias("count"), F.coalesce("samples", F.array().cast("array<string>")).alias("samples"))
 
 
 def profile(files: DataFrame) -> DataFrame:
@@ -112,8 +114,8 @@ def compact_log(lines: DataFrame, log: str, rule: str, max_lines: int = 80, tail
     return ranked.where(F.col("n") <= max_lines).select(log, "line", "text", (F.col("all") > max_lines).alias("truncated"))
 
 
-def first_diagnostics(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """rows, only the first of those that share keys."""
+def first_diagnostics(rows: DataFrame, keys: list[str], order: Column | str) -> DataFrame:
+    """rows, only the first of those that share keys; order should tell all of them apart."""
     others = [c for c in rows.columns if c not in keys]
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*others), order).alias("first")).select(*keys, "first.*").select(*rows.columns)
 

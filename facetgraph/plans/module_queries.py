@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetgraph.functions import names, text
-from facetgraph.operators import partition, quality, relations, render, traverse, workflows
+from facetgraph.operators import bundles, partition, quality, relations, render, traverse, workflows
 from facetgraph.sources import facts, modules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -254,10 +254,25 @@ sn AS (
 """.strip()
 
 
-@query("SELECT graph, node, shared, series, CAST(depth AS BIGINT) AS depth, parent FROM se", _SPLIT)
+_NUMBERED = _SPLIT + """,
+st AS (SELECT graph, root AS start FROM rt UNION SELECT graph, head FROM br),
+dd AS (SELECT graph, start, start AS node, 0 AS d FROM st UNION SELECT dd.graph, dd.start, re.dst, dd.d + 1 FROM dd JOIN re ON re.graph = dd.graph AND re.src = dd.node),
+dm AS (SELECT graph, start, node, min(d) AS d FROM dd GROUP BY ALL),
+hp AS (
+  SELECT s.graph, wc.comp, s.series, s.depth, s.parent, {'d': coalesce(dm.d, rt.n + 1), 'p': deg.above, 'h': s.series} AS place
+  FROM se s JOIN wc ON wc.graph = s.graph AND wc.node = s.node JOIN rt ON rt.graph = s.graph AND rt.comp = wc.comp JOIN deg ON deg.graph = s.graph AND deg.node = s.node
+  JOIN ow ON ow.graph = s.graph AND ow.node = s.node LEFT JOIN dm ON dm.graph = s.graph AND dm.start = coalesce(ow.around[2], rt.root) AND dm.node = deg.above WHERE s.depth > 0 AND s.node = s.series
+), wy AS (
+  SELECT graph, comp, root AS series, 0::BIGINT AS depth, []::STRUCT(d BIGINT, p VARCHAR, h VARCHAR)[] AS way FROM rt
+  UNION ALL SELECT hp.graph, hp.comp, hp.series, hp.depth, list_append(wy.way, hp.place) FROM wy JOIN hp ON hp.graph = wy.graph AND hp.comp = wy.comp AND hp.parent = wy.series AND hp.depth = wy.depth + 1
+), nu AS (SELECT graph, comp, series, depth, row_number() OVER (PARTITION BY graph ORDER BY comp, way) AS number FROM wy),
+sk AS (SELECT se.*, nu.number FROM se LEFT JOIN wc ON wc.graph = se.graph AND wc.node = se.node LEFT JOIN nu ON nu.graph = se.graph AND nu.comp = wc.comp AND nu.series = se.series AND nu.depth = se.depth)"""
+
+
+@query("SELECT graph, node, shared, series, CAST(depth AS BIGINT) AS depth, parent, number FROM sk", _NUMBERED)
 def gr12_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = partition.partition(*_orders(spark, sf_dir))
-    return out.withColumn("depth", F.col("depth").cast("long"))
+    return out.withColumns({c: F.col(c).cast("long") for c in ("depth", "number")})
 
 
 @query("SELECT graph, src, dst, pos, src_series, dst_series, src_shared, dst_shared FROM pe WHERE src_shared OR dst_shared OR src_series <> dst_series", _SPLIT)
@@ -606,12 +621,12 @@ def rn5_package_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT graph, 'flowchart LR' || chr(10) || string_agg(line, chr(10) ORDER BY part, n, x) || chr(10) AS text FROM (
   SELECT graph, 0 AS part, n, '' AS x, '    o' || n || '["' || name || ' : ' || type_name || '"]' AS line FROM op
   UNION ALL SELECT oj.graph, 1, 0, src || chr(1) || dst || chr(1) || label, '    o' || a.n || ' -->|' || label || '| o' || b.n FROM oj JOIN op a ON a.graph = oj.graph AND a.node = src JOIN op b ON b.graph = oj.graph AND b.node = dst) GROUP BY graph""",
-    _OBJECTS + ", op AS (SELECT graph, key AS node, any_value(name) AS name, min(type_name) AS type_name, row_number() OVER (PARTITION BY graph ORDER BY key) - 1 AS n FROM ok_ GROUP BY graph, key)")
+    _OBJECTS + ", op AS (SELECT graph, key AS node, any_value(name) AS name, max_by(type_name, pos) AS type_name, row_number() OVER (PARTITION BY graph ORDER BY key) - 1 AS n FROM ok_ GROUP BY graph, key)")
 def rn6_object_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     objects = facts.objects(_lines(spark, sf_dir))
     _, edges = relations.object_graph(objects)
     key = names.object_key(F.col("scope"), F.col("name")).alias("node")
-    nodes = objects.groupBy("graph", key).agg(F.any_value("name").alias("name"), F.min("type_name").alias("type_name"))
+    nodes = objects.groupBy("graph", key).agg(F.any_value("name").alias("name"), F.max_by("type_name", "pos").alias("type_name"))
     return render.object_diagram(nodes, edges)
 
 
@@ -727,16 +742,68 @@ def rn7_use_case_diagrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- small ones --------------------------------------------------------------------------
 
-_OUTPUT = "on_ AS (SELECT graph, node, CASE WHEN shared THEN 'shared_' || substr(sha256(node), 1, 10) || '_' || node ELSE 'series_' || substr(sha256(series), 1, 10) || '_' || series END AS output_name FROM se), bo AS (SELECT * FROM pe WHERE src_shared OR dst_shared OR src_series <> dst_series), be AS (SELECT graph, src AS near, dst AS node FROM bo UNION SELECT graph, dst, src FROM bo)"
+_OUTPUT = "on_ AS (SELECT graph, node, shared, CASE WHEN shared THEN 'shared_' || substr(sha256(node), 1, 10) || '_' || node ELSE 'series_' || number || '_' || substr(sha256(series), 1, 10) || '_' || series END AS output_name FROM sk), bo AS (SELECT * FROM pe WHERE src_shared OR dst_shared OR src_series <> dst_series), be AS (SELECT graph, src AS near, dst AS node FROM bo UNION SELECT graph, dst, src FROM bo)"
 
 
-@query("SELECT DISTINCT be.graph, a.output_name, be.node, b.output_name AS reference FROM be JOIN on_ a ON a.graph = be.graph AND a.node = be.near JOIN on_ b ON b.graph = be.graph AND b.node = be.node", f"{_SPLIT}, {_OUTPUT}")
+@query("SELECT DISTINCT be.graph, a.output_name, be.node, b.output_name AS reference FROM be JOIN on_ a ON a.graph = be.graph AND a.node = be.near JOIN on_ b ON b.graph = be.graph AND b.node = be.node", f"{_NUMBERED}, {_OUTPUT}")
 def j15_boundary_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _orders(spark, sf_dir)
     members = partition.partition(nodes, edges)
     return partition.references(partition.boundary_edges(members, edges), partition.output_names(members))
 
 
+_DRAWN = f"""{_NUMBERED}, {_OUTPUT},
+de AS (
+  SELECT oe.graph, oe.src, oe.dst, oe.pos, a.output_name FROM oe JOIN on_ a ON a.graph = oe.graph AND a.node = oe.src
+  UNION ALL SELECT oe.graph, oe.src, oe.dst, oe.pos, b.output_name FROM oe JOIN on_ b ON b.graph = oe.graph AND b.node = oe.dst WHERE b.shared AND oe.src <> oe.dst
+), dn AS (
+  SELECT graph, output_name, node, NULL::VARCHAR AS reference FROM on_
+  UNION SELECT e.graph, e.output_name, h.node, h.output_name FROM (SELECT graph, output_name, unnest([src, dst]) AS node FROM de) e JOIN on_ h ON h.graph = e.graph AND h.node = e.node WHERE h.output_name <> e.output_name
+)"""
+
+
+@query(f"""SELECT graph, output_name, 'flowchart LR' || chr(10) || string_agg(line, chr(10) ORDER BY part, pos, x) || chr(10) AS text FROM (
+  SELECT graph, output_name, 0 AS part, 0 AS pos, node AS x, '    n_' || {_ID.format("node")} || '["' || node || coalesce('<br/>続き: ' || reference, '') || '"]' AS line FROM dn
+  UNION ALL SELECT graph, output_name, 1, pos, src || ' ' || dst, '    n_' || {_ID.format("src")} || ' --> n_' || {_ID.format("dst")} FROM de) GROUP BY graph, output_name""", _DRAWN)
+def gn1_call_graph_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A flowchart for each series and each shared node of the order graphs."""
+    nodes, edges = _orders(spark, sf_dir)
+    return bundles.call_graph_bundle(partition.partition(nodes, edges), edges)
+
+
+@query("SELECT DISTINCT graph, output_name, CASE WHEN shared THEN 'shared' ELSE 'series_' || substr(sha256(series), 1, 10) || '_' || series END AS directory, CASE WHEN shared THEN node ELSE series END AS series_root, parent AS parent_series_root, coalesce(depth, 0) AS depth, shared FROM (SELECT sk.*, on_.output_name FROM sk JOIN on_ ON on_.graph = sk.graph AND on_.node = sk.node)", f"{_NUMBERED}, {_OUTPUT}")
+def gn16_placements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members = partition.partition(*_orders(spark, sf_dir))
+    return bundles.placements(members, partition.output_names(members)).withColumn("depth", F.col("depth").cast("long"))
+
+
+@query()
+def gn2_class_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class diagrams of the customers' modules, cut into series."""
+    lines = _lines(spark, sf_dir)
+    nodes, edges = _class_graph(spark, sf_dir)
+    members = partition.partition(nodes, edges.select("graph", "src", "dst"))
+    classes = facts.classes(lines).select("graph", F.col("name").alias("node"))
+    return bundles.class_bundle(members, edges, classes, facts.methods(lines).select("graph", F.col("parent").alias("node"), "name", "visibility", "pos"))
+
+
+@query()
+def gn3_object_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Object diagrams of the customers' modules, cut into series."""
+    objects = facts.objects(_lines(spark, sf_dir))
+    nodes, edges = relations.object_graph(objects)
+    return bundles.object_bundle(partition.partition(nodes, edges.select("graph", "src", "dst")), edges, objects)
+
+
+@query()
+def gn8_package_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Package diagrams of the customers' imports, cut into series."""
+    nodes, edges = relations.package_graph(_imports(spark, sf_dir))
+    cyclic = traverse.strong_components(nodes, edges).where("cyclic").select("graph", "node")
+    ends = edges.select("graph", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return bundles.package_bundle(partition.partition(nodes, edges), edges, cyclic, nodes.join(ends, ["graph", "node"], "left_anti"))
+
+
 @query("SELECT DISTINCT c.graph, c.name AS source, t.target FROM (SELECT graph, name, unnest(bases) AS target FROM cls) t JOIN cls c ON c.graph = t.graph AND c.name = t.name JOIN cls k ON k.graph = t.graph AND k.name = t.target")
 def j13_known_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as services: the dependencies, named like base classes, that are services of the customer."""

@@ -137,7 +137,7 @@ def ag15_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.profile(_files(spark, sf_dir))
 
 
-@query(f"WITH {_FILES}, r AS (SELECT path, CASE WHEN starts_with(path, 'Src/') THEN 'source' WHEN starts_with(path, 'tests/') THEN 'tests' WHEN starts_with(path, 'docs/') THEN 'docs' WHEN starts_with(path, 'tools/') THEN 'tooling' WHEN starts_with(path, '.github/') THEN 'config' ELSE 'other' END AS role FROM f) SELECT role, count(*) AS count, array_to_string((list(path ORDER BY path))[1:20], ',') AS samples FROM r GROUP BY role")
+@query(f"WITH {_FILES}, r AS (SELECT path, CASE WHEN starts_with(path, 'Src/') THEN 'source' WHEN starts_with(path, 'tests/') THEN 'tests' WHEN starts_with(path, 'docs/') THEN 'docs' WHEN starts_with(path, 'tools/') THEN 'tooling' WHEN starts_with(path, '.github/') THEN 'config' ELSE 'other' END AS role FROM f) SELECT v.role, count(path) AS count, coalesce(array_to_string((list(path ORDER BY path) FILTER (WHERE path IS NOT NULL))[1:20], ','), '') AS samples FROM (VALUES ('source'), ('tests'), ('docs'), ('tooling'), ('config'), ('other')) v(role) LEFT JOIN r ON r.role = v.role GROUP BY v.role")
 def ag16_role_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.role_map(_files(spark, sf_dir)).select("role", "count", F.array_join("samples", ",").alias("samples"))
 
@@ -186,11 +186,11 @@ def so7_compact_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repository.compact_log(lines, "doc_id", "[0-9]", max_lines=5, tail_lines=2)
 
 
-@query("SELECT user_id, event_type, min_by(event_id, ts) AS event_id FROM events GROUP BY user_id, event_type")
+@query("SELECT user_id, event_type, min_by(event_id, (ts, event_id)) AS event_id FROM events GROUP BY user_id, event_type")
 def so8_first_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first event of each kind and user, as of repeated diagnostics."""
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "ts")
-    return repository.first_diagnostics(rows, ["user_id", "event_type"], "ts").select("user_id", "event_type", "event_id")
+    return repository.first_diagnostics(rows, ["user_id", "event_type"], F.struct("ts", "event_id")).select("user_id", "event_type", "event_id")
 
 
 @query("SELECT o_orderkey, o_orderpriority FROM orders ORDER BY CASE WHEN o_orderstatus = 'O' THEN 0 ELSE 1 END, o_orderpriority, o_orderkey LIMIT 1")
