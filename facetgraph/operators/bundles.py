@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from facetgraph.functions.names import object_key
+from facetgraph.functions.names import object_key, stable_output_name
 from facetgraph.operators import render
 from facetgraph.operators.partition import output_names
 from facetgraph.operators.traverse import _same
@@ -52,8 +52,6 @@ def _texts(df: DataFrame) -> DataFrame:
 
 def placements(members: DataFrame, outputs: DataFrame) -> DataFrame:
     """(graph, output_name, directory, series_root, parent_series_root, depth, shared): where each output belongs."""
-    from facetgraph.functions.names import stable_output_name
-
     rows = outputs.alias("o").join(members.alias("m"), _same("o", "m", {"node": "node"}))
     directory = F.when(F.col("m.shared"), F.lit("shared")).otherwise(stable_output_name("series", F.col("m.series"), "series"))
     root = F.when(F.col("m.shared"), F.col("m.node")).otherwise(F.col("m.series"))
