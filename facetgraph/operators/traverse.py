@@ -205,7 +205,87 @@ def simple_cycles(nodes: DataFrame, edges: DataFrame, max_length: int | None = N
         paths = steps.where((F.col("e.dst") == first) | free).select("p.graph", F.concat("p.cycle", F.array("e.dst")).alias("cycle"))
 
 
-def expand_sequence(roots: DataFrame, calls: DataFrame, nodes: DataFrame, max_depth: int = 8, show_returns: bool = False, allowed: DataFrame | None = None) -> DataFrame:
+def _sent(level: DataFrame, calls: DataFrame, known: DataFrame, deepest: bool) -> DataFrame:
+    """The calls that the walks of a level make at their tips: the level's columns, with k, caller, callee, label, internal, allowed, kind; ord goes on by k."""
+    tip = level.withColumn("tip", F.element_at("path", -1)).alias("l")
+    sent = tip.join(calls.alias("c"), _same("l", "c", {"tip": "src"})).select("l.graph", "l.root", "l.path", "l.num", F.concat("l.ord", F.array("c.k")).alias("ord"), F.col("l.tip").alias("caller"), F.col("c.dst").alias("callee"), F.col("c.raw").alias("label"))
+    sent = sent.alias("s").join(known.alias("k"), _same("s", "k", {"callee": "node"}), "left").select("s.*", F.coalesce("k.internal", F.lit(False)).alias("internal"), F.coalesce("k.allowed", F.lit(False)).alias("allowed"))
+    kind = F.when(F.array_contains("path", F.col("callee")), "recursive_call")
+    if deepest:
+        kind = kind.when(F.col("allowed"), "depth_truncated")
+    return sent.withColumn("kind", kind.otherwise("call"))
+
+
+def _next_level(sent: DataFrame) -> DataFrame:
+    return sent.where("kind = 'call' AND allowed AND internal").select("graph", "root", F.concat("path", F.array("callee")).alias("path"), "ord", "num")
+
+
+def _first_met(start: DataFrame, sent_at, levels: int, key: list[str], scratch: Scratch) -> DataFrame:
+    """Of the calls sent_at(level, depth) in the walks from start, the first of each key in its walk's order; later ones are neither kept nor followed.
+
+    A call is first or not by what comes before it in depth-first order, on branches that
+    may themselves be left out. So rounds follow all walks level by level, and leave out
+    what the round before holds earlier under the same key, and all but the first call of
+    a key on one level. Up to its first error a round's result is right, and stays so; so
+    the next round is right for one call more at least, and a result that repeats is the
+    answer. Most walks repeat no key: they are done after one round, and only walks whose
+    result changed go on. A level holds a key of a walk once, whatever its number of paths.
+    """
+    by = ["graph", "root", *key]
+    rest = ["ord", "num", "path", *[c for c in ("caller", "callee", "label", "kind") if c not in key], "internal", "allowed"]
+    same_root = lambda x, y: F.col(f"{x}.graph").eqNullSafe(F.col(f"{y}.graph")) & (F.col(f"{x}.root") == F.col(f"{y}.root"))
+    siblings = Window.partitionBy("graph", "root", F.slice("ord", 1, F.size("ord") - 1)).orderBy("ord")
+    before, least, done, todo = None, None, [], start
+    while True:
+        level, found = todo, []
+        for depth in range(levels):
+            sent = sent_at(level, depth)
+            if least is not None:
+                match = same_root("s", "k")
+                for c in key:
+                    match = match & F.col(f"s.{c}").eqNullSafe(F.col(f"k.{c}"))
+                sent = sent.alias("s").join(least.alias("k"), match, "left").where("k.ord IS NULL OR s.ord <= k.ord").select("s.*")
+            first = sent.groupBy(*by).agg(F.min_by(F.struct(*rest), "ord").alias("first"), F.count("*").alias("n")).select(*by, "first.*", "n")
+            found.append(scratch.write(first.withColumn("num", F.concat("num", F.array(F.row_number().over(siblings)))).withColumn("depth", F.lit(depth)), "met"))
+            level = _next_level(found[-1])
+            if level.isEmpty():
+                break
+        now = found[0]
+        for more in found[1:]:
+            now = now.union(more)
+        now = scratch.write(now, "round")
+        if before is None:
+            moved = now.groupBy(*by).agg(F.sum("n").alias("n")).where("n > 1")
+        else:
+            signed = now.select("graph", "root", "ord", F.lit(1).alias("sign")).union(before.select("graph", "root", "ord", F.lit(-1)))
+            moved = signed.groupBy("graph", "root", "ord").agg(F.sum("sign").alias("sign")).where("sign != 0")
+        moved = scratch.write(moved.select("graph", "root").distinct(), "moved")
+        scratch.drop(*found)
+        done.append(now.alias("s").join(moved.alias("m"), same_root("s", "m"), "left_anti"))
+        if moved.isEmpty():
+            break
+        before = scratch.write(now.alias("s").join(moved.alias("m"), same_root("s", "m"), "left_semi"), "before")
+        least = scratch.write(before.groupBy(*by).agg(F.min("ord").alias("ord")), "least")
+        todo = start.alias("s").join(moved.alias("m"), same_root("s", "m"), "left_semi")
+    out = done[0]
+    for more in done[1:]:
+        out = out.union(more)
+    return out
+
+
+def _walk_tables(roots: DataFrame, calls: DataFrame, nodes: DataFrame, allowed: DataFrame | None, scratch: Scratch) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The walks' starts, the numbered calls, and what is known of each node."""
+    whole = F.row_number().over(Window.partitionBy("graph", "src").orderBy("pos", "dst", "raw"))
+    calls = scratch.write(calls.where("src IS NOT NULL AND dst IS NOT NULL").select("graph", "src", "dst", "raw", whole.alias("k")), "calls")
+    inside = nodes.where("node IS NOT NULL").select("graph", "node").distinct()
+    permitted = inside if allowed is None else allowed.where("node IS NOT NULL").select("graph", "node").distinct()
+    known = inside.select("graph", "node", F.lit(True).alias("internal")).alias("i").join(permitted.select("graph", "node", F.lit(True).alias("allowed")).alias("p"), _same("i", "p", {"node": "node"}), "full")
+    known = scratch.write(known.select(F.coalesce("i.graph", "p.graph").alias("graph"), F.coalesce("i.node", "p.node").alias("node"), "internal", "allowed"), "known")
+    none = F.array().cast("array<int>")
+    return roots.where("node IS NOT NULL").select("graph", "node").distinct().select("graph", F.col("node").alias("root"), F.array("node").alias("path"), none.alias("ord"), none.alias("num")), calls, known
+
+
+def expand_sequence(roots: DataFrame, calls: DataFrame, nodes: DataFrame, max_depth: int = 8, show_returns: bool = False, allowed: DataFrame | None = None, once: bool = False) -> DataFrame:
     """(graph, root, position, number, depth, caller, callee, label, kind): the messages of a depth-first walk from each root.
 
     calls(graph, src, dst, raw, pos): a callable's calls, each of them, in order. nodes
@@ -214,41 +294,64 @@ def expand_sequence(roots: DataFrame, calls: DataFrame, nodes: DataFrame, max_de
     The calls of a callable at max_depth are not expanded either: to allowed ones they are
     depth_truncated. With returns each other message to an internal callable is answered
     after all that it led to. depth is 0 for the root's own calls; `number` is the
-    hierarchical one (1, 1.1, 2) over calls, null for returns.
+    hierarchical one (1, 1.1, 2) over the calls shown, null for returns.
 
-    A level is one join; walks are carried as arrays whose order is that of messages.
-    Their number is exponential in the depth in the worst case, as is the result's.
+    With once, a message of a caller, callee, label and kind that the walk has sent before
+    is not shown, not expanded and not answered; returns never count as repeats. Then a
+    walk is linear in the calls it can reach. Without it a level is one join, and the
+    number of walks is exponential in the depth in the worst case, as is the result's.
     """
     if max_depth < 0:
         raise ValueError("max_depth must be at least 0")
-    whole = F.row_number().over(Window.partitionBy("graph", "src").orderBy("pos", "dst"))
-    calls = written(calls.where("src IS NOT NULL AND dst IS NOT NULL").select("graph", "src", "dst", "raw", whole.alias("k")), "calls")
-    inside = nodes.where("node IS NOT NULL").select("graph", "node").distinct()
-    permitted = inside if allowed is None else allowed.where("node IS NOT NULL").select("graph", "node").distinct()
-    known = inside.select("graph", "node", F.lit(True).alias("internal")).alias("i").join(permitted.select("graph", "node", F.lit(True).alias("allowed")).alias("p"), _same("i", "p", {"node": "node"}), "full")
-    known = written(known.select(F.coalesce("i.graph", "p.graph").alias("graph"), F.coalesce("i.node", "p.node").alias("node"), "internal", "allowed"), "known")
-    level = roots.where("node IS NOT NULL").distinct().select("graph", F.col("node").alias("root"), F.array("node").alias("path"), F.array().cast("array<int>").alias("ord"))
-    out = None
-    for depth in range(max_depth + 1):
-        tip = level.withColumn("tip", F.element_at("path", -1)).alias("l")
-        sent = tip.join(calls.alias("c"), _same("l", "c", {"tip": "src"})).select("l.graph", "l.root", "l.path", F.concat("l.ord", F.array("c.k")).alias("ord"), F.col("l.tip").alias("caller"), F.col("c.dst").alias("callee"), F.col("c.raw").alias("label"))
-        sent = sent.alias("s").join(known.alias("k"), _same("s", "k", {"callee": "node"}), "left").select("s.*", F.coalesce("k.internal", F.lit(False)).alias("internal"), F.coalesce("k.allowed", F.lit(False)).alias("allowed"))
-        kind = F.when(F.array_contains("path", F.col("callee")), "recursive_call")
-        if depth == max_depth:
-            kind = kind.when(F.col("allowed"), "depth_truncated")
-        sent = written(sent.withColumn("kind", kind.otherwise("call")), "messages")
-        cut = F.col("kind") == "depth_truncated"
-        rows = sent.select("graph", "root", "ord", F.lit(depth).alias("depth"), "caller", "callee", F.when(cut, F.concat(F.lit("Further calls omitted: "), "label")).otherwise(F.col("label")).alias("label"), "kind")
-        out = rows if out is None else out.union(rows)
+    with Scratch(nodes.sparkSession, "sequence") as scratch:
+        start, calls, known = _walk_tables(roots, calls, nodes, allowed, scratch)
+        truncated = F.concat(F.lit("Further calls omitted: "), "label")
+
+        def sent_at(level: DataFrame, depth: int) -> DataFrame:
+            sent = _sent(level, calls, known, depth == max_depth)
+            return sent.withColumn("label", F.when(F.col("kind") == "depth_truncated", truncated).otherwise(F.col("label")))
+
+        if once:
+            sent = _first_met(start, sent_at, max_depth + 1, ["caller", "callee", "label", "kind"], scratch)
+        else:
+            sent, level = None, start
+            for depth in range(max_depth + 1):
+                rows = scratch.write(sent_at(level, depth).withColumn("depth", F.lit(depth)).withColumn("num", F.col("ord")), "messages")
+                sent = rows if sent is None else sent.union(rows)
+                level = _next_level(rows)
+                if level.isEmpty():
+                    break
+        number = F.array_join(F.col("num").cast("array<string>"), ".")
+        out = sent.select("graph", "root", "ord", number.alias("number"), "depth", "caller", "callee", "label", "kind")
         if show_returns:
-            answered = sent.where(F.col("internal") & ~cut)
-            out = out.union(answered.select("graph", "root", F.concat("ord", F.array(F.lit(2**31 - 1))), F.lit(depth), F.col("callee"), F.col("caller"), F.lit("return"), F.lit("return")))
-        level = sent.where("kind = 'call' AND allowed AND internal").select("graph", "root", F.concat("path", F.array("callee")).alias("path"), "ord")
-        if level.isEmpty():
-            break
-    position = F.row_number().over(Window.partitionBy("graph", "root").orderBy("ord"))
-    number = F.when(F.col("kind") != "return", F.array_join(F.col("ord").cast("array<string>"), "."))
-    return out.select("graph", "root", position.alias("position"), number.alias("number"), "depth", "caller", "callee", "label", "kind")
+            answered = sent.where("internal AND kind != 'depth_truncated'")
+            out = out.union(answered.select("graph", "root", F.concat("ord", F.array(F.lit(2**31 - 1))), F.lit(None).cast("string"), "depth", F.col("callee"), F.col("caller"), F.lit("return"), F.lit("return")))
+        position = F.row_number().over(Window.partitionBy("graph", "root").orderBy("ord"))
+        return written(out.select("graph", "root", position.alias("position"), "number", "depth", "caller", "callee", "label", "kind"), "sequence")
+
+
+def continuations(roots: DataFrame, calls: DataFrame, nodes: DataFrame, max_depth: int = 8, allowed: DataFrame | None = None, once: bool = False) -> DataFrame:
+    """(graph, node, turn): the roots of further diagrams, until each call left out for depth is in one.
+
+    A callable whose call was left out, which has calls and no diagram yet, is the root of
+    a next one, which may leave out calls in its turn. turn counts from 1; the given roots
+    are not returned. Turns are at most as many as the calls on the longest way, by max_depth.
+    """
+    with Scratch(nodes.sparkSession, "continuations") as scratch:
+        calling = calls.where("dst IS NOT NULL").select("graph", F.col("src").alias("node")).alias("c").join(nodes.select("graph", "node").alias("n"), _same("c", "n", {"node": "node"}), "left_semi").distinct()
+        calling = scratch.write(calling, "calling")
+        frontier = scratch.write(roots.where("node IS NOT NULL").select("graph", "node").distinct(), "roots")
+        seen = scratch.write(frontier.withColumn("turn", F.lit(0)), "seen")
+        turn = 0
+        while not frontier.isEmpty():
+            turn += 1
+            cut = expand_sequence(frontier, calls, nodes, max_depth, allowed=allowed, once=once).where("kind = 'depth_truncated'").select("graph", F.col("callee").alias("node")).distinct()
+            for other, how in ((calling, "left_semi"), (seen, "left_anti")):
+                cut = cut.alias("t").join(other.alias("o"), _same("t", "o", {"node": "node"}), how)
+            frontier = scratch.write(cut, "frontier")
+            last, seen = seen, scratch.write(seen.union(frontier.withColumn("turn", F.lit(turn))), "seen")
+            scratch.drop(last)
+        return written(seen.where("turn > 0"), "continuations")
 
 
 def participants(messages: DataFrame) -> DataFrame:
@@ -258,21 +361,22 @@ def participants(messages: DataFrame) -> DataFrame:
     return first.select("graph", "root", "node", F.row_number().over(Window.partitionBy("graph", "root").orderBy("at")).alias("position"))
 
 
-def emit_once(messages: DataFrame) -> DataFrame:
-    """The first message of each caller, callee, label and kind below a root."""
-    key = ["graph", "root", "caller", "callee", "label", "kind"]
-    first = F.min_by(F.struct(*[c for c in messages.columns if c not in key]), "position").alias("first")
-    return messages.groupBy(*key).agg(first).select(*key, "first.*").select(*messages.columns)
-
-
 def bounded_chain(roots: DataFrame, edges: DataFrame, max_depth: int = 5) -> DataFrame:
-    """(graph, root, node, depth): what a root leads to within max_depth steps, without the root.
+    """(graph, root, position, node, depth): the callables that a depth-first walk from a root meets, in its order, without the root.
 
-    A node counts if some path of max_depth edges or fewer leads to it. A depth-first
-    walk that enters no node twice may miss some of these where the bound cuts it; without
-    a bound that cuts, and at a bound of 1, both give one set.
+    edges(graph, src, dst, pos), walked by pos and dst. The walk enters no node twice and
+    none at over max_depth steps (depth, from 1); a node first met at the bound leads no
+    further, even if a later way to it is shorter.
     """
-    return reachable(roots, edges, max_depth).where("depth > 0")
+    if max_depth < 0:
+        raise ValueError("max_depth must be at least 0")
+    with Scratch(edges.sparkSession, "chain") as scratch:
+        calls = edges.where("src != dst").select("graph", "src", "dst", F.col("dst").alias("raw"), "pos")
+        start, calls, known = _walk_tables(roots, calls, all_nodes(roots, edges), None, scratch)
+        met = _first_met(start, lambda level, _: _sent(level, calls, known, False).where("kind = 'call'"), max(max_depth, 1), ["callee"], scratch)
+        position = F.row_number().over(Window.partitionBy("graph", "root").orderBy("ord"))
+        rows = met.where(F.lit(max_depth > 0)).select("graph", "root", position.alias("position"), F.col("callee").alias("node"), (F.col("depth") + 1).alias("depth"))
+        return written(rows, "chain")
 
 
 def cycle_edges(cycles: DataFrame) -> DataFrame:

@@ -462,15 +462,18 @@ def j16_known_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- sequences and their text -----------------------------------------------------------
 
-_WALK = _CALLABLE + """,
-cq AS (SELECT graph, caller AS src, target AS dst, raw, row_number() OVER (PARTITION BY graph, caller ORDER BY pos, target) AS k FROM rc),
-hx AS (SELECT DISTINCT graph, 'S' || s || '.p' || p AS node FROM ln WHERE i = 1 AND ok % 4 = 0),
+#: The resolved calls over order bounds, too.
+_LINKED = _CALLABLE.replace("FROM cal LEFT JOIN", "FROM (SELECT graph, caller, parent, pos, raw FROM cal UNION ALL SELECT graph, caller, parent, pos, raw FROM lnk) cal LEFT JOIN")
+_CALLS = _LINKED + """,
+cq AS (SELECT graph, caller AS src, target AS dst, raw, row_number() OVER (PARTITION BY graph, caller ORDER BY pos, target, raw) AS k FROM rc),
+hx AS (SELECT DISTINCT graph, 'S' || s || '.p' || p AS node FROM ln WHERE i = 1)"""
+_MESSAGES = """,
 wm AS (
   SELECT graph, node AS root, [node] AS path, []::BIGINT[] AS ord, -1 AS depth, NULL::VARCHAR AS caller, node AS callee, NULL::VARCHAR AS label, 'call' AS kind, true AS go FROM hx
   UNION ALL
   SELECT wm.graph, wm.root, list_append(wm.path, cq.dst), list_append(wm.ord, cq.k), wm.depth + 1, cq.src, cq.dst, cq.raw,
-         CASE WHEN list_contains(wm.path, cq.dst) THEN 'recursive_call' WHEN wm.depth = 2 AND i.qualified IS NOT NULL THEN 'depth_truncated' ELSE 'call' END,
-         wm.depth < 2 AND i.qualified IS NOT NULL AND NOT list_contains(wm.path, cq.dst)
+         CASE WHEN list_contains(wm.path, cq.dst) THEN 'recursive_call' WHEN wm.depth = 7 AND i.qualified IS NOT NULL THEN 'depth_truncated' ELSE 'call' END,
+         wm.depth < 7 AND i.qualified IS NOT NULL AND NOT list_contains(wm.path, cq.dst)
   FROM wm JOIN cq ON cq.graph = wm.graph AND cq.src = wm.callee LEFT JOIN mth i ON i.graph = cq.graph AND i.qualified = cq.dst WHERE wm.go
 ), w0 AS (
   SELECT graph, root, ord, depth, caller, callee, CASE kind WHEN 'depth_truncated' THEN 'Further calls omitted: ' || label ELSE label END AS label, kind FROM wm WHERE depth >= 0
@@ -483,13 +486,20 @@ wp AS (
 )"""
 
 
-def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Walks of up to three calls from the first line of each order whose number four divides, with returns."""
+_WALK = _CALLS + _MESSAGES
+
+
+def _sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The first line of each order, the resolved calls, and all callables."""
     lines = _lines(spark, sf_dir)
     methods = facts.methods(lines)
-    sequences = relations.call_sequences(facts.calls(lines), methods)
-    roots = lines.where("i = 1 AND ok % 4 = 0").select("graph", F.concat(F.lit("S"), F.col("s").cast("string"), F.lit(".p"), F.col("p").cast("string")).alias("node"))
-    return traverse.expand_sequence(roots, sequences, methods.select("graph", F.col("qualified").alias("node")), 3, show_returns=True)
+    roots = lines.where("i = 1").select("graph", F.concat(F.lit("S"), F.col("s").cast("string"), F.lit(".p"), F.col("p").cast("string")).alias("node"))
+    return roots, relations.call_sequences(facts.linked_calls(lines), methods), methods.select("graph", F.col("qualified").alias("node"))
+
+
+def _messages(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
+    """Walks from the first line of each order, with returns."""
+    return traverse.expand_sequence(*_sequences(spark, sf_dir), show_returns=True, once=once)
 
 
 @query("SELECT graph, root, position, number, CAST(depth AS BIGINT) AS depth, caller, callee, label, kind FROM ws", _WALK)
@@ -497,9 +507,31 @@ def wn2_message_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _messages(spark, sf_dir).withColumns({"position": F.col("position").cast("long"), "depth": F.col("depth").cast("long")})
 
 
-@query("SELECT graph, root, caller, callee, label, kind, min(position) AS position FROM ws GROUP BY ALL", _WALK)
+#: The walk of wn3, a call a step: `todo` holds the calls to come, `seen` those sent.
+_ONCE = _CALLS + """,
+cl AS (SELECT cq.graph, src, list({'dst': dst, 'raw': raw, 'k': k, 'inner': i.qualified IS NOT NULL} ORDER BY k) AS calls FROM cq LEFT JOIN mth i ON i.graph = cq.graph AND i.qualified = dst GROUP BY cq.graph, src),
+wk AS (
+  SELECT hx.graph, node AS root, list_transform(calls, lambda c: {'path': [node], 'ord': [c.k], 'caller': node, 'callee': c.dst, 'label': c.raw, 'kind': CASE WHEN c.dst = node THEN 'recursive_call' ELSE 'call' END, 'inner': c.inner}) AS todo, []::VARCHAR[] AS seen
+  FROM hx JOIN cl ON cl.graph = hx.graph AND cl.src = node
+  UNION ALL
+  SELECT h.graph, root, list_concat(CASE WHEN fresh AND h.kind = 'call' AND h.inner AND len(h.path) <= 8 AND calls IS NOT NULL THEN list_transform(calls, lambda c: {
+           'path': list_append(h.path, h.callee), 'ord': list_append(h.ord, c.k), 'caller': h.callee, 'callee': c.dst,
+           'label': CASE WHEN len(h.path) = 8 AND c.inner AND NOT list_contains(list_append(h.path, h.callee), c.dst) THEN 'Further calls omitted: ' || c.raw ELSE c.raw END,
+           'kind': CASE WHEN list_contains(list_append(h.path, h.callee), c.dst) THEN 'recursive_call' WHEN len(h.path) = 8 AND c.inner THEN 'depth_truncated' ELSE 'call' END, 'inner': c.inner}) ELSE [] END, todo[2:]),
+         CASE WHEN fresh THEN list_append(seen, sent) ELSE seen END
+  FROM (SELECT *, NOT list_contains(seen, sent) AS fresh FROM (SELECT graph, root, todo, seen, todo[1].path AS path, todo[1].ord AS ord, todo[1].kind AS kind, todo[1].inner AS inner, todo[1].callee AS callee,
+    todo[1].caller || ' ' || todo[1].callee || ' ' || todo[1].label || ' ' || todo[1].kind AS sent FROM wk WHERE len(todo) > 0)) h LEFT JOIN cl ON cl.graph = h.graph AND cl.src = h.callee
+), w0 AS (
+  SELECT graph, root, m.ord AS ord, m.caller AS caller, m.callee AS callee, m.label AS label, m.kind AS kind, m.inner AS inner FROM (
+    SELECT graph, root, todo[1] AS m, seen FROM wk WHERE len(todo) > 0) WHERE NOT list_contains(seen, m.caller || ' ' || m.callee || ' ' || m.label || ' ' || m.kind)
+), ws AS (SELECT graph, root, row_number() OVER (PARTITION BY graph, root ORDER BY ord) AS position, caller, callee, label, kind FROM (
+  SELECT graph, root, ord, caller, callee, label, kind FROM w0 UNION ALL SELECT graph, root, list_append(ord, 2147483647), callee, caller, 'return', 'return' FROM w0 WHERE inner AND kind <> 'depth_truncated'))"""
+
+
+@query("SELECT graph, root, position, caller, callee, label, kind FROM ws", _ONCE)
 def wn3_first_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.emit_once(_messages(spark, sf_dir)).select("graph", "root", "caller", "callee", "label", "kind", F.col("position").cast("long").alias("position"))
+    """Walks that send no message twice."""
+    return _messages(spark, sf_dir, once=True).select("graph", "root", F.col("position").cast("long").alias("position"), "caller", "callee", "label", "kind")
 
 
 @query("SELECT graph, root, node, position FROM wp", _WALK)
@@ -513,15 +545,16 @@ def wn7_communication_participants(spark: SparkSession, sf_dir: str) -> DataFram
     return people.withColumn("position", F.col("position").cast("long"))
 
 
-@query("SELECT DISTINCT graph, callee AS node FROM ws WHERE kind = 'depth_truncated' AND (graph, callee) IN (SELECT (graph, src) FROM cq) AND (graph, callee) NOT IN (SELECT (graph, node) FROM hx)", _WALK)
+# the calls cut in the walk from any callable, then those that the given roots come to over them
+_CUT = _CALLS.replace("hx AS (", "hy AS (") + ", hx AS (SELECT DISTINCT graph, src AS node FROM cq)" + _MESSAGES + """,
+ct AS (SELECT DISTINCT graph, root, callee FROM ws WHERE kind = 'depth_truncated' AND (graph, callee) IN (SELECT (graph, node) FROM hx)),
+co AS (SELECT graph, node FROM hy UNION SELECT ct.graph, callee FROM co JOIN ct ON ct.graph = co.graph AND ct.root = co.node)"""
+
+
+@query("SELECT graph, node FROM co WHERE (graph, node) NOT IN (SELECT (graph, node) FROM hy)", _CUT)
 def wn5_continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Callables whose calls were left out for depth, which have calls and no diagram yet: the roots of the next diagrams."""
-    lines = _lines(spark, sf_dir)
-    messages = _messages(spark, sf_dir)
-    cut = messages.where("kind = 'depth_truncated'").select("graph", F.col("callee").alias("node")).distinct()
-    calling = facts.calls(lines).select("graph", F.col("caller").alias("node")).distinct()
-    roots = lines.where("i = 1 AND ok % 4 = 0").select("graph", F.concat(F.lit("S"), F.col("s").cast("string"), F.lit(".p"), F.col("p").cast("string")).alias("node"))
-    return cut.join(calling, ["graph", "node"], "left_semi").join(roots, ["graph", "node"], "left_anti")
+    """The roots of further diagrams, until no call is left out for depth."""
+    return traverse.continuations(*_sequences(spark, sf_dir)).select("graph", "node")
 
 
 _MESSAGE_LINE = "'    p' || (a.position - 1) || CASE WHEN kind = 'return' THEN '-->>' ELSE '->>' END || 'p' || (b.position - 1) || ': ' || CASE kind WHEN 'recursive_call' THEN '[recursive] ' WHEN 'depth_truncated' THEN '[depth truncated] ' ELSE '' END || label"
@@ -840,8 +873,29 @@ def pf8_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT DISTINCT cal.graph, caller AS root, e.qualified AS node FROM cal JOIN mth e ON e.graph = cal.graph AND e.qualified = raw WHERE caller <> e.qualified UNION SELECT c.graph, c.caller, target FROM rc c JOIN mth m ON m.graph = c.graph AND m.qualified = target WHERE c.caller <> target", _CALLABLE)
 def wn8_direct_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What each method leads to within one step; with that bound the chain does not depend on the walk's order."""
+    """What each method leads to within one step."""
     lines = _lines(spark, sf_dir)
     methods = facts.methods(lines)
     nodes, edges = relations.sequence_graph(relations.call_sequences(facts.calls(lines), methods), methods)
     return traverse.bounded_chain(nodes, edges, 1).select("graph", "root", "node")
+
+
+#: The walk of wn8, a callable a step.
+_CHAIN = _LINKED + """,
+el AS (SELECT graph, caller AS src, list({'node': target, 'depth': 0} ORDER BY pos, target) AS kids FROM (
+  SELECT rc.graph, caller, target, min(rc.pos) AS pos FROM rc JOIN mth ON mth.graph = rc.graph AND qualified = target WHERE caller <> target GROUP BY rc.graph, caller, target) GROUP BY graph, caller),
+wc AS (
+  SELECT graph, src AS root, list_transform(kids, lambda c: {'node': c.node, 'depth': 1}) AS todo, [src] AS seen FROM el
+  UNION ALL
+  SELECT h.graph, root, list_concat(CASE WHEN fresh AND h.at.depth < 5 AND kids IS NOT NULL THEN list_transform(kids, lambda c: {'node': c.node, 'depth': h.at.depth + 1}) ELSE [] END, todo[2:]), CASE WHEN fresh THEN list_append(seen, h.at.node) ELSE seen END
+  FROM (SELECT graph, root, todo, seen, todo[1] AS at, NOT list_contains(seen, todo[1].node) AS fresh FROM wc WHERE len(todo) > 0) h LEFT JOIN el ON el.graph = h.graph AND el.src = h.at.node
+)"""
+
+
+@query("SELECT graph, root, unnest(seen[2:]) AS node, unnest(range(1, len(seen))) AS position FROM wc WHERE len(todo) = 0", _CHAIN)
+def wn8_call_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a walk of up to five steps from each method meets, in its order."""
+    lines = _lines(spark, sf_dir)
+    methods = facts.methods(lines)
+    nodes, edges = relations.sequence_graph(relations.call_sequences(facts.linked_calls(lines), methods), methods)
+    return traverse.bounded_chain(nodes, edges).select("graph", "root", "node", F.col("position").cast("long").alias("position"))
