@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from facetgraph.functions import names, text
 from facetgraph.operators import bundles, partition, quality, relations, render, traverse, workflows
 from facetgraph.sources import facts, modules
+from facetgraph.sources.scratch import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -462,11 +463,11 @@ def j16_known_needs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- sequences and their text -----------------------------------------------------------
 
-#: The resolved calls over order bounds, too.
+#: The resolved calls, from order to order, too.
 _LINKED = _CALLABLE.replace("FROM cal LEFT JOIN", "FROM (SELECT graph, caller, parent, pos, raw FROM cal UNION ALL SELECT graph, caller, parent, pos, raw FROM lnk) cal LEFT JOIN")
 _CALLS = _LINKED + """,
 cq AS (SELECT graph, caller AS src, target AS dst, raw, row_number() OVER (PARTITION BY graph, caller ORDER BY pos, target, raw) AS k FROM rc),
-hx AS (SELECT DISTINCT graph, 'S' || s || '.p' || p AS node FROM ln WHERE i = 1)"""
+hx AS (SELECT graph, qualified AS node FROM mth WHERE (graph, qualified) NOT IN (SELECT (graph, dst) FROM cq))"""
 _MESSAGES = """,
 wm AS (
   SELECT graph, node AS root, [node] AS path, []::BIGINT[] AS ord, -1 AS depth, NULL::VARCHAR AS caller, node AS callee, NULL::VARCHAR AS label, 'call' AS kind, true AS go FROM hx
@@ -490,15 +491,16 @@ _WALK = _CALLS + _MESSAGES
 
 
 def _sequences(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The first line of each order, the resolved calls, and all callables."""
+    """The callables that no one calls, the resolved calls, and all callables."""
     lines = _lines(spark, sf_dir)
     methods = facts.methods(lines)
-    roots = lines.where("i = 1").select("graph", F.concat(F.lit("S"), F.col("s").cast("string"), F.lit(".p"), F.col("p").cast("string")).alias("node"))
-    return roots, relations.call_sequences(facts.linked_calls(lines), methods), methods.select("graph", F.col("qualified").alias("node"))
+    sequences = written(relations.call_sequences(facts.linked_calls(lines), methods), "sequences")
+    nodes = methods.select("graph", F.col("qualified").alias("node"))
+    return nodes.join(sequences.select("graph", F.col("dst").alias("node")), ["graph", "node"], "left_anti"), sequences, nodes
 
 
 def _messages(spark: SparkSession, sf_dir: str, once: bool = False) -> DataFrame:
-    """Walks from the first line of each order, with returns."""
+    """Walks from the callables that no one calls, with returns."""
     return traverse.expand_sequence(*_sequences(spark, sf_dir), show_returns=True, once=once)
 
 
@@ -509,23 +511,23 @@ def wn2_message_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: The walk of wn3, a call a step: `todo` holds the calls to come, `seen` those sent.
 _ONCE = _CALLS + """,
-cl AS (SELECT cq.graph, src, list({'dst': dst, 'raw': raw, 'k': k, 'inner': i.qualified IS NOT NULL} ORDER BY k) AS calls FROM cq LEFT JOIN mth i ON i.graph = cq.graph AND i.qualified = dst GROUP BY cq.graph, src),
+cl AS (SELECT cq.graph, src, list({'dst': dst, 'raw': raw, 'k': k, 'own': i.qualified IS NOT NULL} ORDER BY k) AS calls FROM cq LEFT JOIN mth i ON i.graph = cq.graph AND i.qualified = dst GROUP BY cq.graph, src),
 wk AS (
-  SELECT hx.graph, node AS root, list_transform(calls, lambda c: {'path': [node], 'ord': [c.k], 'caller': node, 'callee': c.dst, 'label': c.raw, 'kind': CASE WHEN c.dst = node THEN 'recursive_call' ELSE 'call' END, 'inner': c.inner}) AS todo, []::VARCHAR[] AS seen
+  SELECT hx.graph, node AS root, list_transform(calls, lambda c: {'path': [node], 'ord': [c.k], 'caller': node, 'callee': c.dst, 'label': c.raw, 'kind': CASE WHEN c.dst = node THEN 'recursive_call' ELSE 'call' END, 'own': c.own}) AS todo, []::VARCHAR[] AS seen
   FROM hx JOIN cl ON cl.graph = hx.graph AND cl.src = node
   UNION ALL
-  SELECT h.graph, root, list_concat(CASE WHEN fresh AND h.kind = 'call' AND h.inner AND len(h.path) <= 8 AND calls IS NOT NULL THEN list_transform(calls, lambda c: {
+  SELECT h.graph, root, list_concat(CASE WHEN fresh AND h.kind = 'call' AND h.own AND len(h.path) <= 8 AND calls IS NOT NULL THEN list_transform(calls, lambda c: {
            'path': list_append(h.path, h.callee), 'ord': list_append(h.ord, c.k), 'caller': h.callee, 'callee': c.dst,
-           'label': CASE WHEN len(h.path) = 8 AND c.inner AND NOT list_contains(list_append(h.path, h.callee), c.dst) THEN 'Further calls omitted: ' || c.raw ELSE c.raw END,
-           'kind': CASE WHEN list_contains(list_append(h.path, h.callee), c.dst) THEN 'recursive_call' WHEN len(h.path) = 8 AND c.inner THEN 'depth_truncated' ELSE 'call' END, 'inner': c.inner}) ELSE [] END, todo[2:]),
+           'label': CASE WHEN len(h.path) = 8 AND c.own AND NOT list_contains(list_append(h.path, h.callee), c.dst) THEN 'Further calls omitted: ' || c.raw ELSE c.raw END,
+           'kind': CASE WHEN list_contains(list_append(h.path, h.callee), c.dst) THEN 'recursive_call' WHEN len(h.path) = 8 AND c.own THEN 'depth_truncated' ELSE 'call' END, 'own': c.own}) ELSE [] END, todo[2:]),
          CASE WHEN fresh THEN list_append(seen, sent) ELSE seen END
-  FROM (SELECT *, NOT list_contains(seen, sent) AS fresh FROM (SELECT graph, root, todo, seen, todo[1].path AS path, todo[1].ord AS ord, todo[1].kind AS kind, todo[1].inner AS inner, todo[1].callee AS callee,
+  FROM (SELECT *, NOT list_contains(seen, sent) AS fresh FROM (SELECT graph, root, todo, seen, todo[1].path AS path, todo[1].ord AS ord, todo[1].kind AS kind, todo[1].own AS own, todo[1].callee AS callee,
     todo[1].caller || ' ' || todo[1].callee || ' ' || todo[1].label || ' ' || todo[1].kind AS sent FROM wk WHERE len(todo) > 0)) h LEFT JOIN cl ON cl.graph = h.graph AND cl.src = h.callee
 ), w0 AS (
-  SELECT graph, root, m.ord AS ord, m.caller AS caller, m.callee AS callee, m.label AS label, m.kind AS kind, m.inner AS inner FROM (
+  SELECT graph, root, m.ord AS ord, m.caller AS caller, m.callee AS callee, m.label AS label, m.kind AS kind, m.own AS own FROM (
     SELECT graph, root, todo[1] AS m, seen FROM wk WHERE len(todo) > 0) WHERE NOT list_contains(seen, m.caller || ' ' || m.callee || ' ' || m.label || ' ' || m.kind)
 ), ws AS (SELECT graph, root, row_number() OVER (PARTITION BY graph, root ORDER BY ord) AS position, caller, callee, label, kind FROM (
-  SELECT graph, root, ord, caller, callee, label, kind FROM w0 UNION ALL SELECT graph, root, list_append(ord, 2147483647), callee, caller, 'return', 'return' FROM w0 WHERE inner AND kind <> 'depth_truncated'))"""
+  SELECT graph, root, ord, caller, callee, label, kind FROM w0 UNION ALL SELECT graph, root, list_append(ord, 2147483647), callee, caller, 'return', 'return' FROM w0 WHERE own AND kind <> 'depth_truncated'))"""
 
 
 @query("SELECT graph, root, position, caller, callee, label, kind FROM ws", _ONCE)

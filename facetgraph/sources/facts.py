@@ -59,12 +59,11 @@ def calls(lines: DataFrame) -> DataFrame:
 
 
 def linked_calls(lines: DataFrame) -> DataFrame:
-    """calls(), and an order's last line calls the first line of its customer's next order, in full."""
+    """calls(), and an order's first line calls that of its customer's next order, in full."""
     by = Window.partitionBy("graph").orderBy("ok")
-    after = lines.where("i = 1").select("ok", F.lead("s").over(by).alias("s3"), F.lead("p").over(by).alias("p3"))
-    links = lines.where("p2 IS NULL").join(after.where("s3 IS NOT NULL"), "ok")
+    firsts = lines.where("i = 1").select("graph", "s", "p", "pos", F.lead("s").over(by).alias("s3"), F.lead("p").over(by).alias("p3")).where("s3 IS NOT NULL")
     whole = F.concat(_name("S", "s3"), F.lit("."), _name("p", "p3"))
-    return calls(lines).union(links.select("graph", F.concat(_name("S", "s"), F.lit("."), _name("p", "p")), _name("S", "s"), whole, "pos"))
+    return calls(lines).union(firsts.select("graph", F.concat(_name("S", "s"), F.lit("."), _name("p", "p")), _name("S", "s"), whole, "pos"))
 
 
 def objects(lines: DataFrame) -> DataFrame:
@@ -125,8 +124,8 @@ cls AS (
          CASE k2 % 4 WHEN 0 THEN 'S' || s2 || '.p' || p2 WHEN 1 THEN 'p' || p2 WHEN 2 THEN 'self.p' || p2 ELSE 'S' || s2 || '.p' || p2 || '.run' END AS raw
   FROM ln WHERE p2 IS NOT NULL
 ), lnk AS (
-  SELECT ln.graph, 'S' || s AS parent, 'S' || s || '.p' || p AS caller, pos, 'S' || s3 || '.p' || p3 AS raw
-  FROM ln JOIN (SELECT ok, lead(s) OVER w AS s3, lead(p) OVER w AS p3 FROM ln WHERE i = 1 WINDOW w AS (PARTITION BY graph ORDER BY ok)) n ON n.ok = ln.ok WHERE ln.p2 IS NULL AND s3 IS NOT NULL
+  SELECT graph, 'S' || s AS parent, 'S' || s || '.p' || p AS caller, pos, 'S' || s3 || '.p' || p3 AS raw
+  FROM (SELECT *, lead(s) OVER w AS s3, lead(p) OVER w AS p3 FROM ln WHERE i = 1 WINDOW w AS (PARTITION BY graph ORDER BY ok)) WHERE s3 IS NOT NULL
 ), obj AS (
   SELECT graph, CASE WHEN i > 1 THEN 'o' || ok END AS scope, 'p' || p AS name, 'S' || s AS type_name, pos, flag AS label, 'p' || p2 AS target FROM ln
 ), home AS (SELECT s_suppkey AS s, s_nationkey AS n, n_regionkey AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey),
