@@ -41,6 +41,15 @@ def output_nodes(members: DataFrame, outputs: DataFrame, drawn: DataFrame) -> Da
     return own.withColumn("place", F.lit(0)).unionByName(stubs)
 
 
+def _with_neighbours(members: DataFrame, outputs: DataFrame, edges: DataFrame, drawn: DataFrame, nodes: DataFrame, columns: list[str]) -> DataFrame:
+    """The distinct columns of drawn, and of the edges between the neighbours that a shared node's output shows."""
+    shared = members.where("shared").alias("m").join(outputs.alias("o"), _same("m", "o", {"node": "node"})).select("o.graph", "o.output_name")
+    near = nodes.alias("n").join(shared.alias("s"), _same("n", "s", {"output_name": "output_name"}), "left_semi")
+    between = edges.alias("e").join(near.alias("a"), _same("e", "a", {"src": "node"})).select("e.*", "a.output_name")
+    between = between.alias("e").join(near.alias("b"), _same("e", "b", {"dst": "node", "output_name": "output_name"}), "left_semi")
+    return drawn.select(*columns).union(between.select(*columns)).distinct()
+
+
 def _keyed(df: DataFrame) -> DataFrame:
     """An output is a graph of its own for what draws it."""
     return df.withColumn("graph", F.struct("graph", "output_name")).drop("output_name")
@@ -104,10 +113,18 @@ def package_bundle(members: DataFrame, edges: DataFrame, cyclic: DataFrame, isol
     outputs = output_names(members, "package")
     drawn = output_edges(members, outputs, edges)
     nodes = output_nodes(members, outputs, drawn)
-    shared = members.where("shared").alias("m").join(outputs.alias("o"), _same("m", "o", {"node": "node"})).select("o.graph", "o.output_name")
-    near = nodes.alias("n").join(shared.alias("s"), _same("n", "s", {"output_name": "output_name"}), "left_semi")
-    between = edges.alias("e").join(near.alias("a"), _same("e", "a", {"src": "node"})).select("e.graph", "e.src", "e.dst", "a.output_name")
-    between = between.alias("e").join(near.alias("b"), _same("e", "b", {"dst": "node", "output_name": "output_name"}), "left_semi")
-    drawn = drawn.select("graph", "src", "dst", "output_name").union(between.select("graph", "src", "dst", "output_name")).distinct()
+    drawn = _with_neighbours(members, outputs, edges, drawn, nodes, ["graph", "src", "dst", "output_name"])
     marked = lambda which: _keyed(nodes.alias("n").join(which.alias("w"), _same("n", "w", {"node": "node"}), "left_semi").select("graph", "output_name", "node"))
     return _texts(render.package_flowchart(_keyed(nodes), _keyed(drawn), marked(cyclic), marked(isolated)))
+
+
+def deployment_bundle(members: DataFrame, nodes: DataFrame, connections: DataFrame) -> DataFrame:
+    """(graph, output_name, text): deployment flowcharts of a topology's nodes and connections, equal connections once; a shared node's output also shows the connections between its neighbours."""
+    outputs = output_names(members, "deployment")
+    edges = connections.withColumnsRenamed({"source": "src", "target": "dst"})
+    drawn = output_edges(members, outputs, edges)
+    shown = output_nodes(members, outputs, drawn)
+    drawn = _with_neighbours(members, outputs, edges, drawn, shown, ["graph", "src", "dst", "relation", "confidence", "output_name"])
+    own = nodes.withColumnRenamed("id", "node")
+    boxes = shown.alias("s").join(own.alias("n"), _same("s", "n", {"node": "node"})).select("s.graph", "s.output_name", "s.reference", F.col("s.node").alias("id"), "n.label", "n.kind", "n.confidence", "n.environment", "n.metadata")
+    return _texts(render.deployment_flowchart(_keyed(boxes), _keyed(drawn.withColumnsRenamed({"src": "source", "dst": "target"}))))

@@ -15,6 +15,14 @@ from facetgraph.functions.names import communication_name
 # The sign of each visibility.
 VISIBILITY_SIGNS = {"public": "+", "protected": "#", "internal": "~", "private": "-", "unspecified": "~"}
 
+# The shapes of deployment nodes by kind.
+DEPLOYMENT_SHAPES = {
+    ("database",): ('[("', '")]'),
+    ("external-dependency", "external-image"): ('{{"', '"}}'),
+    ("ingress",): ('(["', '"])'),
+    ("workload", "container-image"): ('[["', '"]]'),
+}
+
 
 def _text(*parts: object) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -69,6 +77,36 @@ def component_flowchart(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _assembled("flowchart LR", [_lines(nodes, 0, _text("    ", one("node"), shape), name=F.col("node")), _lines(edges, 1, _text("    ", one("src"), " --> ", one("dst")), name=_text(F.col("src"), "\x00", F.col("dst")))])
 
 
+def deployment_flowchart(nodes: DataFrame, connections: DataFrame) -> DataFrame:
+    """Nodes(graph, id, label, kind, confidence, environment, metadata, reference?) by id, numbered from 0, then connections(graph, source, target, relation, confidence) between them, then how sure each node is.
+
+    Ids are distinct within a graph. A node shows its image or images and its environment.
+    """
+    by_id = Window.partitionBy("graph").orderBy("id")
+    numbered = nodes.withColumn("n", F.row_number().over(by_id) - 1).withColumn("box", F.concat(F.lit("n"), F.col("n").cast("string")))
+    image = F.coalesce(F.nullif(F.try_element_at("metadata", F.lit("image")), F.lit("")), F.nullif(F.try_element_at("metadata", F.lit("images")), F.lit("")))
+    below = [F.when(F.col("reference").isNotNull(), F.concat(F.lit("続き: "), "reference"))] if "reference" in nodes.columns else []
+    label = T.one_line(F.concat_ws("\\n", "label", *below, image, F.when(F.coalesce("environment", F.lit("")) != "", _text("[", F.col("environment"), "]"))))
+    drawn = _text("    ", F.col("box"), '["', label, '"]')
+    for kinds, (left, right) in DEPLOYMENT_SHAPES.items():
+        drawn = F.when(F.col("kind").isin(*kinds), _text("    ", F.col("box"), left, label, right)).otherwise(drawn)
+    ends = numbered.select("graph", "id", "box")
+    rows = connections
+    for end in ("source", "target"):
+        rows = rows.join(ends.select("graph", F.col("id").alias(end), F.col("box").alias(f"{end}_box")), ["graph", end])
+    arrow = F.when(F.col("confidence") == "inferred", " -.->").otherwise(" -->")
+    link = _text("    ", F.col("source_box"), arrow, '|"', T.one_line(_text(F.col("relation"), " [", F.col("confidence"), "]")), '"| ', F.col("target_box"))
+    sure = F.when(F.col("confidence").isin("confirmed", "inferred"), F.col("confidence")).otherwise("unknown")
+    styles = F.lit("    classDef confirmed stroke-width:2px;\n    classDef inferred stroke-dasharray:5 5;\n    classDef unknown stroke-dasharray:2 4;")
+    parts = [
+        _lines(numbered, 0, drawn, F.col("n")),
+        _lines(rows, 1, link, name=F.concat_ws("\x00", "source", "target", "relation")),
+        _lines(nodes.select("graph").distinct(), 2, styles),
+        _lines(numbered, 3, _text("    class ", F.col("box"), " ", sure, ";"), F.col("n")),
+    ]
+    return _assembled("flowchart LR", parts)
+
+
 def _member_lines(members: DataFrame, indent: str) -> DataFrame:
     """(graph, node, body): a class's members(graph, node, name, visibility, pos, parameters?) as lines in order."""
     given = F.array_join("parameters", ", ") if "parameters" in members.columns else F.lit("")
