@@ -27,6 +27,27 @@ RESOURCE_KINDS = {
     "actions/upload-artifact": "artifact-upload",
     "actions/download-artifact": "artifact-download",
 }
+COMMENT_VERBS = {
+    "get": "を取得します。",
+    "load": "を読み込みます。",
+    "read": "を読み取ります。",
+    "parse": "を解析します。",
+    "create": "を生成します。",
+    "generate": "を生成します。",
+    "build": "を構築します。",
+    "render": "を描画用表現へ変換します。",
+    "save": "を保存します。",
+    "write": "を書き出します。",
+    "update": "を更新します。",
+    "delete": "を削除します。",
+    "remove": "を取り除きます。",
+    "validate": "を検証します。",
+    "check": "を確認します。",
+    "find": "を検索します。",
+    "collect": "を収集します。",
+    "convert": "を変換します。",
+    "run": "の処理を実行します。",
+}
 
 
 def node_id(name: Column, prefix: str = "n_") -> Column:
@@ -139,3 +160,13 @@ def base_images(dockerfile: Column) -> Column:
     """The images of a Dockerfile's FROM lines, in order; flags before the image are skipped."""
     lines = F.filter(F.split(dockerfile, "\r\n|\r|\n"), lambda x: x.rlike(r"(?i)^\s*from\s+\S"))
     return F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"(?i)^\s*from\s+(?:--\S+\s+)*(\S+)", 1)), lambda x: ~x.startswith("--"))
+
+
+def comment_text(name: Column, words: Column, kind: Column, has_calls: Column) -> Column:
+    """A sentence on a declaration, by its name's words (an array): what a class holds, what a known first word does, else what is done, alone or with others."""
+    readable = F.coalesce(F.nullif(F.array_join(words, " "), F.lit("")), name)
+    subject = F.when(F.size(words) > 1, F.array_join(F.slice(words, F.lit(2), F.size(words)), " ")).otherwise("処理")
+    known = F.create_map(*[F.lit(x) for pair in COMMENT_VERBS.items() for x in pair])
+    told = F.concat(subject, F.try_element_at(known, F.coalesce(F.get(words, F.lit(0)), name)))
+    other = F.concat(readable, F.when(has_calls, "の処理を実行し、関連処理を連携させます。").otherwise("の処理を行います。"))
+    return F.when(kind == "class", F.concat(readable, F.lit("に関する状態と処理をまとめます。"))).otherwise(F.coalesce(told, other))

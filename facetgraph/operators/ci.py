@@ -31,26 +31,35 @@ def _stripped(word: Column) -> Column:
     return out
 
 
-def explicit_path(word: Column) -> Column:
-    """A path that is stated as one: slashes forward, no ./ before and no / behind it; null for flags, variables and addresses."""
-    token = _stripped(word)
+def _path(token: Column) -> Column:
     refused = (token == "") | token.rlike(r"^[-$]") | F.contains(token, F.lit("://"))
     path = F.regexp_replace(F.replace(token, F.lit("\\"), F.lit("/")), r"^\./", "")
     return F.when(~refused, F.coalesce(F.nullif(F.rtrim(path, F.lit("/")), F.lit("")), F.lit(".")))
 
 
-def path_hint(word: Column) -> Column:
-    """explicit_path() of a word of a command that looks like one, by its start, its slashes, its extension, its stars or its name; else null."""
-    path = explicit_path(word)
-    suffix = F.lower(F.regexp_extract(F.substring_index(path, "/", -1), r"^.+(\.[^.]+)$", 1))
-    shaped = (path == ".") | _stripped(word).rlike(r"^\.\.?/") | (F.contains(path, F.lit("/")) & ~F.contains(path, F.lit(":"))) | path.rlike(r"[*?\[]")
-    return F.when(shaped | F.lower(path).isin(*PROJECT_DIRECTORIES) | suffix.isin(*PATH_SUFFIXES), path)
+def explicit_path(word: Column) -> Column:
+    """A path that is stated as one: slashes forward, no ./ before and no / behind it; null for flags, variables and addresses."""
+    return _path(_stripped(word))
+
+
+def path_hints_of(words: Column) -> Column:
+    """explicit_path() of each of the words of a command (an array) that looks like one, by its start, its slashes, its extension, its stars or its name; else null."""
+
+    def hint(x: Column) -> Column:
+        path = x["path"]
+        suffix = F.lower(F.regexp_extract(path, r"[^/](\.[^./]+)$", 1))
+        shaped = (path == ".") | x["token"].rlike(r"^\.\.?/") | (F.contains(path, F.lit("/")) & ~F.contains(path, F.lit(":"))) | path.rlike(r"[*?\[]")
+        return F.when(shaped | F.lower(path).isin(*PROJECT_DIRECTORIES) | suffix.isin(*PATH_SUFFIXES), path)
+
+    # step by step, as each lambda is evaluated anew at every use
+    tokens = F.transform(words, _stripped)
+    return F.transform(F.transform(tokens, lambda t: F.struct(t.alias("token"), _path(t).alias("path"))), hint)
 
 
 def command_paths(command: Column) -> Column:
-    """The distinct path_hint()s of a command's words, in order; quoted words are one."""
+    """The distinct paths that a command's words hint at, in order; quoted words are one."""
     words = F.regexp_extract_all(F.coalesce(command, F.lit("")), F.lit(r"""(?U)"[^"]*"|'[^']*'|\S+"""), F.lit(0))
-    return F.array_distinct(F.array_compact(F.transform(words, path_hint)))
+    return F.array_distinct(F.array_compact(path_hints_of(words)))
 
 
 def _strings(json: Column) -> Column:

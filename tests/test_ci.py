@@ -85,5 +85,5 @@ def test_words_against_a_plain_reading(spark):
         looks = path == "." or raw.startswith(("./", "../")) or ("/" in path and ":" not in path) or re.search(r"[*?\[]", path)
         return path if looks or path.lower() in ci.PROJECT_DIRECTORIES or suffix in ci.PATH_SUFFIXES else None
 
-    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", ci.path_hint(F.col("w")).alias("p")).collect()
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.get(ci.path_hints_of(F.array("w")), 0).alias("p")).collect()
     assert {r["w"]: r["p"] for r in rows} == {w: plain(w) for w in words}
