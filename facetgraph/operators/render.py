@@ -23,6 +23,20 @@ DEPLOYMENT_SHAPES = {
     ("workload", "container-image"): ('[["', '"]]'),
 }
 
+# For each kind of timing event the arrow to its target, what is said there, and what is noted without one.
+TIMING_KINDS = {
+    "call": ("->>", "call", "call"),
+    "await": ("->>", "await", "await"),
+    "parallel_start": ("-)", "parallel start", "parallel_start"),
+    "parallel_join": ("", "", "join"),
+    "wait": ("", "", "wait"),
+    "sync_wait": ("", "", "sync wait"),
+    "sync": ("", "", "sync"),
+    "timer": ("-)", "timer", "timer"),
+    "callback": ("-)", "callback", "callback"),
+    "periodic": ("", "", "periodic"),
+}
+
 
 def _text(*parts: object) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -261,3 +275,31 @@ def use_case_diagram(cases: DataFrame) -> DataFrame:
     chain = T.one_line(F.array_join(F.concat(F.array("callable"), F.coalesce("chain", F.array().cast("array<string>"))), " -> "))
     case = _text("    uc", number("k"), '(["', T.one_line(F.col("name")), '"])\n    actor', number("n"), ' -->|"', relation, '"| uc', number("k"), "\n    %% handler-chain: ", chain)
     return _assembled("flowchart LR", [_lines(actors, 0, _text("    actor", number("n"), '["', T.one_line(F.col("actor")), '"]'), F.col("n")), _lines(rows, 1, case, F.col("k"))])
+
+
+def timing_chart(flows: DataFrame, events: DataFrame) -> DataFrame:
+    """flows(graph, owner, is_async), one a graph, with events(graph, number, kind, target, detail, pos) in order of pos; flows without events have no chart.
+
+    Participants are the owner and the distinct targets by name.
+    """
+    held = flows.join(events.select("graph").distinct(), "graph", "left_semi")
+    targets = events.where("coalesce(target, '') != ''").groupBy("graph", "target").agg(F.lit(1)).withColumn("n", F.row_number().over(Window.partitionBy("graph").orderBy("target")))
+    targets = targets.select("graph", "target", "n", _text("p", F.col("n").cast("string")).alias("to"))
+    rows = events.join(targets, ["graph", "target"], "left")
+    detail = T.one_line(F.coalesce(F.nullif("detail", F.lit("")), F.nullif("target", F.lit("")), "kind"))
+    number = _text(F.col("number").cast("string"), ". ")
+    note = lambda word: _text("    Note over p0: ", number, word, " ", detail)
+    drawn = F.lit(None).cast("string")
+    for kind, (arrow, sent, noted) in TIMING_KINDS.items():
+        line = note(noted)
+        if arrow:
+            back = _text("\n    ", F.col("to"), "-->>p0: resume") if kind == "await" else F.lit("")
+            line = F.when(F.col("to").isNotNull(), _text("    p0", arrow, F.col("to"), ": ", number, sent, " ", detail, back)).otherwise(line)
+        drawn = F.coalesce(drawn, F.when(F.col("kind") == kind, line))
+    parts = [
+        _lines(held, 0, _text('    participant p0 as "', T.one_line(F.col("owner")), '"')),
+        _lines(targets, 1, _text("    participant ", F.col("to"), ' as "', T.one_line(F.col("target")), '"'), F.col("n")),
+        _lines(held.where("is_async"), 2, F.lit("    Note over p0: async flow")),
+        _lines(rows, 3, F.coalesce(drawn, note(F.col("kind"))), F.col("pos")),
+    ]
+    return _assembled("sequenceDiagram", parts)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from facetgraph.functions import names
 from facetgraph.operators import graph, render, resolve, traverse
-from facetgraph.plans import document_queries, module_queries, text_queries
+from facetgraph.plans import document_queries, module_queries, source_queries, text_queries
 from facetgraph.sources.tables import event_steps, table
 
 STEPS = "WITH s AS (SELECT user_id, event_id, ts, event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events), e AS (SELECT * FROM s WHERE dst IS NOT NULL)"
@@ -211,6 +211,6 @@ ORACLE_SQL |= {
     "wn10_lines_after_short_ones": "WITH s AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, unnest(range(len(ls))) AS pos, unnest(ls) AS line FROM s), m AS (SELECT doc_id, pos, trim(line) AS t, last_value(CASE WHEN trim(line) != '' THEN length(line) <= 40 END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS after_short FROM l) SELECT doc_id, pos FROM m WHERE t != '' AND after_short",
 }
 
-for _module in (module_queries, text_queries, document_queries):
+for _module in (module_queries, text_queries, document_queries, source_queries):
     QUERIES |= _module.QUERIES
     ORACLE_SQL |= _module.ORACLE_SQL
