@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from facetgraph.functions import text as T
-from facetgraph.operators import comments, headings, render, timing
+from facetgraph.operators import comments, graph, headings, outputs, render, timing
 from facetgraph.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +154,68 @@ def rn7_timing_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows, events = _flows(spark, sf_dir)
     by_flow = lambda df: df.drop("graph").withColumnRenamed("flow", "graph")
     return render.timing_chart(by_flow(flows), by_flow(events.withColumn("pos", F.col("number"))))
+
+
+# --- validation, outputs, tasks -----------------------------------------------------------
+
+_GIVEN = "WITH e AS (SELECT user_id::VARCHAR AS graph, CASE WHEN event_id % 7 > 0 THEN event_type ELSE '' END AS src, CASE WHEN event_id % 11 > 0 THEN event_type || (event_id % 3) END AS dst, CASE event_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'async' END AS kind, event_id AS pos FROM events), n AS (SELECT user_id::VARCHAR AS graph, CASE WHEN event_id % 13 > 0 THEN 'at ' || event_type END AS node FROM events)"
+
+
+def _given(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events as nodes and edges of users' graphs, some without names or ends."""
+    key, user = F.col("event_id"), F.col("user_id").cast("string").alias("graph")
+    events = table(spark, sf_dir, "events")
+    nodes = events.select(user, F.when(key % 13 > 0, F.concat(F.lit("at "), "event_type")).alias("node"))
+    return nodes, events.select(user, F.when(key % 7 > 0, F.col("event_type")).otherwise("").alias("src"), F.when(key % 11 > 0, F.concat("event_type", (key % 3).cast("string"))).alias("dst"), F.when(key % 4 == 0, "").when(key % 4 == 1, "async").alias("kind"), key.alias("pos"))
+
+
+@query(f"{_GIVEN} SELECT graph, 'edge' AS row, pos, CASE WHEN src = '' AND dst IS NULL THEN 'no caller and no callee' WHEN src = '' THEN 'no caller' ELSE 'no callee' END AS reason FROM e WHERE src = '' OR dst IS NULL UNION ALL SELECT graph, 'node', NULL, 'no name' FROM n WHERE node IS NULL")
+def gr2_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.validated(*_given(spark, sf_dir))[2]
+
+
+@query(f"{_GIVEN}, k AS (SELECT graph, src, dst, coalesce(nullif(kind, ''), 'direct') AS kind FROM e WHERE src != '' AND dst IS NOT NULL), a AS (SELECT graph, src AS node FROM k UNION SELECT graph, dst FROM k UNION SELECT graph, node FROM n WHERE node IS NOT NULL) SELECT a.graph, node, coalesce(any_value(c), 0) AS calls, coalesce(any_value(d), 0) AS direct FROM a LEFT JOIN (SELECT graph, src, count(*) AS c, count(*) FILTER (WHERE kind = 'direct') AS d FROM k GROUP BY graph, src) x ON x.graph = a.graph AND x.src = a.node GROUP BY a.graph, node")
+def gr2_accepted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The accepted nodes, with how many of the accepted edges leave them and how many of these are direct."""
+    nodes, edges, _ = graph.validated(*_given(spark, sf_dir))
+    sums = edges.groupBy("graph", F.col("src").alias("node")).agg(F.count("*").alias("calls"), F.count_if(F.col("kind") == "direct").alias("direct"))
+    return nodes.join(sums, ["graph", "node"], "left").na.fill(0, ["calls", "direct"])
+
+
+_FORMATS = [*outputs.EXTENSIONS, "other"]
+
+
+@query(f"WITH o AS (SELECT p_partkey, string_split(p_type, ' ')[-1] || '/' || CASE WHEN p_size % 2 = 0 THEN p_brand || '/' ELSE '' END || string_split(p_type, ' ')[1] || {_list([*outputs.EXTENSIONS.values(), '.txt'])}[1 + p_size % {len(_FORMATS)}] AS path FROM part) SELECT p_partkey, path, count(*) OVER (PARTITION BY path) > 1 AS duplicate FROM o")
+def sk5_output_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    size = F.col("p_size")
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.substring_index("p_type", " ", -1).alias("category"), F.when(size % 2 == 0, F.array("p_brand")).alias("relative_dir"), F.substring_index("p_type", " ", 1).alias("name"), _one_of(_FORMATS, size).alias("format"))
+    return outputs.output_paths(rows).select("p_partkey", "path", "duplicate")
+
+
+_HEADS = [" Goal", "  required constraints ", " Acceptance", " Working Set", " Deferred", "Goal"]
+
+
+@query("WITH d AS (SELECT doc_id, doc_id % 2 = 0 AS g, doc_id % 3 = 0 AS r, doc_id % 5 > 0 AS a, doc_id % 7 > 0 AS w, doc_id % 11 = 0 AS o FROM documents) SELECT doc_id, g AND r AND a AND w AS ready, concat_ws(',', CASE WHEN NOT g THEN 'goal' END, CASE WHEN NOT r THEN 'required' END, CASE WHEN NOT a THEN 'acceptance' END, CASE WHEN NOT w THEN 'working_set' END) AS missing, o AS out_of_scope_present FROM d")
+def ev13_exploration_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as tasks, below whose texts headings come by turns."""
+    key = F.col("doc_id")
+    shown = [key % 2 == 0, key % 3 == 0, key % 5 > 0, key % 7 > 0, key % 11 == 0, F.lit(True)]
+    text = F.concat_ws("\n", "text", *[F.when(cond, F.lit("##" + head)) for cond, head in zip(shown, _HEADS)])
+    status = table(spark, sf_dir, "documents").select("doc_id", outputs.exploration_status(text).alias("s"))
+    return status.select("doc_id", "s.ready", F.array_join("s.missing", ",").alias("missing"), "s.out_of_scope_present")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderpriority = '1-URGENT' OR (o_orderkey % 3 = 0 AND o_orderpriority = '2-HIGH') THEN 10 WHEN o_orderpriority = '2-HIGH' THEN 20 WHEN o_orderkey % 3 = 0 THEN 10 WHEN o_orderkey % 4 = 0 THEN o_orderkey % 90 ELSE 50 END AS rank FROM orders")
+def j18_label_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as tasks, ranked by their labels, then by their titles."""
+    key = F.col("o_orderkey")
+    labels = F.array_compact(F.array(F.concat(F.lit(" "), "o_orderpriority"), F.when(key % 3 == 0, "Blocker"), F.when(key % 5 == 0, "other")))
+    title = F.when(key % 4 == 0, F.concat(F.lit("["), (key % 90).cast("string"), F.lit("] order")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", outputs.label_rank(labels, title, {"1-urgent": 10, "blocker": 10, "2-high": 20}, r"^\[(\d+)\]").cast("long").alias("rank"))
+
+
+@query("SELECT DISTINCT o_custkey::VARCHAR AS name FROM orders WHERE o_orderstatus = 'P' AND o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
+def se6_unknown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers with pending orders and without an urgent one."""
+    rows = table(spark, sf_dir, "orders").withColumn("name", F.col("o_custkey").cast("string"))
+    return outputs.unknown_names(rows.where("o_orderstatus = 'P'"), rows.where("o_orderpriority = '1-URGENT'"))
