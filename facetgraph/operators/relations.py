@@ -219,6 +219,11 @@ def ordered_distinct(rows: DataFrame, value: str, order: str) -> DataFrame:
 
 
 def policy_findings(edges: DataFrame, rules: DataFrame) -> DataFrame:
-    """edges(graph, src, dst) that rules(source, target, severity), prefixes of both ends, forbid or warn of; a handful of rules, broadcast."""
-    met = F.startswith("e.src", "r.source") & F.startswith("e.dst", "r.target")
-    return edges.alias("e").join(F.broadcast(rules).alias("r"), met).select("e.graph", "e.src", "e.dst", "r.severity")
+    """edges(graph, src, dst) that rules(source, target, severity), prefixes of both ends, forbid or warn of; once for each rule that is met.
+
+    Rules meet the prefixes of callers' names by equality, each name taken apart once.
+    """
+    names = edges.select("src").where("src IS NOT NULL").distinct()
+    prefixes = names.select("src", F.explode(F.transform(F.sequence(F.lit(0), F.length("src")), lambda n: F.substring(F.col("src"), F.lit(1), n))).alias("source"))
+    met = prefixes.join(rules, "source").select("src", "target", "severity")
+    return edges.join(met, "src").where(F.startswith("dst", "target")).select("graph", "src", "dst", "severity")

@@ -18,6 +18,9 @@ ROLES = (
     ("other", ""),
 )
 
+#: Rules of a validation plan, which are tried one by one on each path.
+MAX_RULES = 10_000
+
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """(path, length, text) of all files below root, paths relative to it; texts are whole files in UTF-8."""
@@ -128,7 +131,11 @@ def most_urgent(issues: DataFrame, rank: str, number: str, actionable: str) -> D
 def validation_plan(changes: DataFrame, rules: DataFrame, group: str) -> DataFrame:
     """(group, order, command): the commands whose rule some changed path of a group meets, each once, in the rules' order.
 
-    changes(group, path); rules(order, pattern, command): a handful of rows, broadcast.
+    changes(group, path); rules(order, pattern, command), MAX_RULES at most (else a
+    ValueError), are broadcast and tried on each distinct path.
     """
-    met = changes.select(group, "path").join(F.broadcast(rules), F.expr("path RLIKE pattern"))
+    if rules.limit(MAX_RULES + 1).count() > MAX_RULES:
+        raise ValueError(f"more than {MAX_RULES} rules")
+    paths = changes.select("path").distinct().join(F.broadcast(rules), F.expr("path RLIKE pattern"))
+    met = changes.select(group, "path").join(paths, "path")
     return met.groupBy(group, "command").agg(F.min("order").alias("order")).select(group, "order", "command")

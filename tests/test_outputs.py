@@ -30,3 +30,20 @@ def test_tasks(spark):
     issues = spark.createDataFrame([(0, [" P1", "p0"], None), (1, ["other"], "[P2] x"), (2, None, "[p3]"), (3, [], "P1"), (4, [None], None)], "i int, labels array<string>, title string")
     ranks = issues.orderBy("i").select(outputs.label_rank(F.col("labels"), F.col("title"), {"p0": 0, "p1": 1}, r"(?i)^\s*\[P([0-3])\]")).collect()
     assert [r[0] for r in ranks] == [0, 2, 3, 50, 50]
+
+
+def test_rules_by_prefix_and_by_pattern(spark):
+    import pytest
+
+    from facetgraph.operators import relations, repository
+
+    edges = [("g", "r0.a", "r1.b"), ("g", "r0.a", "r1.b"), ("g", "r0", "r1."), ("h", "r0.", "r1"), ("h", "x", "y"), ("h", None, "y"), ("h", "x", None), (None, "r0.q", "r1.")]
+    rules = [("r0.", "r1.", "forbidden"), ("r0", "r1", "warning"), ("", "y", "any")]
+    got = relations.policy_findings(spark.createDataFrame(edges, "graph string, src string, dst string"), spark.createDataFrame(rules, "source string, target string, severity string"))
+    want = [(*e, s) for e in edges if e[1] is not None and e[2] is not None for a, b, s in rules if e[1].startswith(a) and e[2].startswith(b)]
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    changes = spark.createDataFrame([(1, "a.py"), (1, "b.go"), (2, "a.py"), (2, None)], "g int, path string")
+    plan = spark.createDataFrame([(0, r"\.py$", "pytest"), (1, "^b", "go test"), (2, "a", "pytest")], "order int, pattern string, command string")
+    assert sorted(map(tuple, repository.validation_plan(changes, plan, "g").collect())) == [(1, 0, "pytest"), (1, 1, "go test"), (2, 0, "pytest")]
+    with pytest.raises(ValueError):
+        repository.validation_plan(changes, spark.range(repository.MAX_RULES + 1).selectExpr("id AS order", "'x' AS pattern", "'y' AS command"), "g")
