@@ -303,3 +303,12 @@ def timing_chart(flows: DataFrame, events: DataFrame) -> DataFrame:
         _lines(rows, 3, F.coalesce(drawn, note(F.col("kind"))), F.col("pos")),
     ]
     return _assembled("sequenceDiagram", parts)
+
+
+def activity_flowchart(nodes: DataFrame, edges: DataFrame, direction: str = "TD") -> DataFrame:
+    """nodes(graph, node, label, kind, pos), decisions in braces, then edges(graph, src, dst, label, pos), an empty or null label not shown."""
+    one = lambda c: T.node_id(F.col(c), "act_")
+    label = F.coalesce("label", F.lit(""))
+    box = F.when(F.col("kind") == "decision", _text("{", label, "}")).otherwise(_text("[", label, "]"))
+    arrow = _text("    ", one("src"), " -->", F.when(label != "", _text("|", label, "|")).otherwise(""), " ", one("dst"))
+    return _assembled(f"flowchart {direction}", [_lines(nodes, 0, _text("    ", one("node"), box), F.col("pos"), F.col("node")), _lines(edges, 1, arrow, F.col("pos"), F.concat_ws("\x00", "src", "dst"))])

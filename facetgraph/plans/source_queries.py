@@ -219,3 +219,18 @@ def se6_unknown_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers with pending orders and without an urgent one."""
     rows = table(spark, sf_dir, "orders").withColumn("name", F.col("o_custkey").cast("string"))
     return outputs.unknown_names(rows.where("o_orderstatus = 'P'"), rows.where("o_orderpriority = '1-URGENT'"))
+
+
+@query("""WITH t AS (SELECT conv_id::VARCHAR AS graph, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos, lead(1) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS more FROM conversations),
+l AS (SELECT graph, 0 AS part, pos, '    act_t_' || pos || CASE role WHEN 'user' THEN '{' || role || '}' ELSE '[' || role || ']' END AS line FROM t UNION ALL SELECT graph, 1, pos, '    act_t_' || pos || ' -->' || CASE WHEN role = 'user' AND pos % 4 = 1 THEN '|Yes|' ELSE '' END || ' act_t_' || (pos + 1) FROM t WHERE more = 1)
+SELECT graph, 'flowchart TD' || chr(10) || string_agg(line, chr(10) ORDER BY part, pos) || chr(10) AS text FROM l GROUP BY graph""")
+def rn9_activity_charts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as activities: a step for each turn, a decision where the user speaks."""
+    by = Window.partitionBy("graph").orderBy(F.asc_nulls_last("turn"), "label", "text")
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("string").alias("graph"), "turn", F.col("role").alias("label"), "text")
+    name = lambda n: F.concat(F.lit("t "), n.cast("string"))
+    pos, user = F.col("pos"), F.col("label") == "user"
+    steps = turns.withColumns({"pos": F.row_number().over(by), "more": F.lead(F.lit(1)).over(by)})
+    nodes = steps.select("graph", name(pos).alias("node"), "label", F.when(user, "decision").otherwise("activity").alias("kind"), "pos")
+    edges = steps.where("more = 1").select("graph", name(pos).alias("src"), name(pos + 1).alias("dst"), F.when(user & (pos % 4 == 1), "Yes").alias("label"), "pos")
+    return render.activity_flowchart(nodes, edges)

@@ -47,3 +47,12 @@ def test_rules_by_prefix_and_by_pattern(spark):
     assert sorted(map(tuple, repository.validation_plan(changes, plan, "g").collect())) == [(1, 0, "pytest"), (1, 1, "go test"), (2, 0, "pytest")]
     with pytest.raises(ValueError):
         repository.validation_plan(changes, spark.range(repository.MAX_RULES + 1).selectExpr("id AS order", "'x' AS pattern", "'y' AS command"), "g")
+
+
+def test_activities(spark):
+    from facetgraph.operators import render
+
+    nodes = spark.createDataFrame([("g", "start", "Start", "activity", 0), ("g", "check", "Is valid?", "decision", 1), ("g", "fin-ish", "Finish", None, 2), ("h", "x", None, "decision", 0)], "graph string, node string, label string, kind string, pos int")
+    edges = spark.createDataFrame([("g", "start", "check", None, 0), ("g", "check", "fin-ish", "Yes", 1), ("g", "check", "start", "", 2)], "graph string, src string, dst string, label string, pos int")
+    got = {r["graph"]: r["text"] for r in render.activity_flowchart(nodes, edges).collect()}
+    assert got == {"g": "flowchart TD\n    act_start[Start]\n    act_check{Is valid?}\n    act_fin_ish[Finish]\n    act_start --> act_check\n    act_check -->|Yes| act_fin_ish\n    act_check --> act_start\n", "h": "flowchart TD\n    act_x{}\n"}
