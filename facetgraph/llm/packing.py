@@ -10,8 +10,12 @@ exceeds the capacity, m rises by one.
 
 from __future__ import annotations
 
+import functools
 import heapq
+import json
 import math
+import os
+import re
 import string
 import unicodedata
 import zlib
@@ -19,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,16 +33,17 @@ from facetgraph.llm.common import materialize, table
 CAPACITY, END_ID = 2048, 1
 #: Pieces are this long at most, and about so many meet in a group.
 PIECE, GROUP = 512, 512
-#: Words whose ids a task remembers before it starts anew, bytes of text looked at together, and words tokenized together.
-MEMORY, PORTION, TOGETHER = 300_000, 1_000_000, 20_000
-#: Small letters that lower-casing and composing leave alone. The default tokenizer never cuts a word of them
-#: before its merges, and sets ASCII punctuation behind one apart; PROBES tell whether a tokenizer is of that kind.
-LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and c.lower() == c and unicodedata.is_normalized("NFC", c))
-PUNCTUATION = string.punctuation.encode()
-PROBES = ("the", "Straße", "Étoile", "naïveté", "a" * 300)
+#: Bytes of text looked at together, letters of words that go to the merges together, the longest such in bytes, and words whose ids are remembered.
+PORTION, TOGETHER, LONGEST, MEMORY = 4_000_000, 50_000, 200, 300_000
+#: Letters that composing leaves alone, and that are small or have the small form that every library gives them. The
+#: default tokenizer never cuts a word of them before its merges, and sets ASCII punctuation behind one apart; PROBES
+#: tell whether a tokenizer is of that kind.
+LETTERS = "".join(c for c in map(chr, range(0x250)) if c.isalpha() and (c.lower() == c or c < "\u0100") and unicodedata.is_normalized("NFC", c))
+STEM = f"^[{LETTERS}]+$"
+PROBES = ("the", "Straße", "Étoile", "naïveté", "a" * 150)
 #: The sign that stands for each byte in a byte-level vocabulary: itself where it can be seen, else the next from U+0100.
 SEEN = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-BYTE_SIGNS = {byte: 0x100 + i for i, byte in enumerate(b for b in range(256) if b not in SEEN)}
+BYTE_OF_SIGN = {chr(b): b for b in SEEN} | {chr(0x100 + i): b for i, b in enumerate(b for b in range(256) if b not in SEEN)}
 
 
 def differencing(sizes: np.ndarray, windows: int) -> np.ndarray:
@@ -84,121 +90,163 @@ def pack_sizes(sizes: np.ndarray, capacity: int) -> np.ndarray:
         windows += 1
 
 
-class _WordIds(dict):
-    """Token ids, as bytes, by word; starts anew beyond MEMORY words.
+def merges_by_rank(model: dict) -> bool:
+    """Whether to merge the pair of the lowest id, listed as a merge or not, gives what a BPE model's list of merges gives.
 
-    A small word of letters with punctuation behind is cut there by the default tokenizer,
-    and its letters are one word of the merges. Such letters go to the merges together, in
-    one text, and are told apart by the tokens that end a word. All other words go to the
-    whole tokenizer one by one.
+    That is so if ids rise in the order of merges and the list by itself makes each entry
+    out of its letters: a pair that is not listed but joins to an entry would be what the
+    list leaves of that entry's letters.
+    """
+    suffix, vocabulary = model.get("end_of_word_suffix"), model.get("vocab", {})
+    if model.get("type") != "BPE" or not suffix or model.get("dropout") or model.get("continuing_subword_prefix"):
+        return False
+    merges = [tuple(m.split(" ") if isinstance(m, str) else m) for m in model["merges"]]
+    rank = {pair: i for i, pair in enumerate(merges)}
+    ids = [vocabulary[a + b] for a, b in merges]
+    singles = set(vocabulary.values()).difference(ids)
+    if ids != sorted(set(ids)) or max(singles, default=-1) >= min(ids, default=len(singles)):
+        return False
+    for entry in vocabulary:
+        parts = [*entry[: -len(suffix)][:-1], entry[: -len(suffix)][-1] + suffix] if entry.endswith(suffix) and entry != suffix else [*entry]
+        while len(parts) > 1:
+            best, at = min((rank.get(pair, len(rank)), i) for i, pair in enumerate(zip(parts, parts[1:], strict=False)))
+            if best == len(rank):
+                return False
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
+
+
+def _gather(ids: np.ndarray, counts: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of units of ids that stand one after the other, counts long, those named by which, and their counts."""
+    lengths = counts[which]
+    ends = np.cumsum(lengths)
+    shift = (np.cumsum(counts) - counts)[which] - (ends - lengths)
+    return ids[np.repeat(shift, lengths) + np.arange(lengths.sum())], lengths
+
+
+class _WordIds:
+    """Token ids of words.
+
+    A word of LETTERS with ASCII punctuation behind is cut there by the default tokenizer,
+    and its letters, lower-cased, are one word of the merges. Such letters go to tiktoken's
+    merges together, one on a line, whose end stands for the vocabulary's end of a word.
+    All other words go to the whole tokenizer one by one, as they are.
     """
 
-    def __init__(self, tokenizer) -> None:
-        from tokenizers import Tokenizer, pre_tokenizers
+    def __init__(self, path: str, by_rank: bool) -> None:
+        from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer, self.merges = tokenizer, Tokenizer(tokenizer.model)
-        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        suffix = getattr(tokenizer.model, "end_of_word_suffix", None)
-        vocabulary = tokenizer.get_vocab(with_added_tokens=True)
-        self.ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        if suffix:
-            self.ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
-        self.letters_whole = bool(suffix) and self._together([w.lower() for w in PROBES]) == [self._any(w) for w in PROBES]
+        self.tokenizer, self.remembered, self.merges = Tokenizer.from_file(path), {}, None
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        own = [token.content for token in self.tokenizer.get_added_tokens_decoder().values()]
+        # an added token that such a word can hold is cut out of it before
+        held = any(re.fullmatch(f"[{LETTERS}]*[{re.escape(string.punctuation)}]*", content) for content in own)
+        if suffix and not held and (by_rank or merges_by_rank(json.loads(self.tokenizer.to_str())["model"])):
+            import tiktoken
+
+            ranks = {}
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                stem = token.removesuffix(suffix)
+                if BYTE_OF_SIGN.keys() >= set(stem):
+                    ranks[bytes(BYTE_OF_SIGN[c] for c in stem) + b"\n" * (stem != token)] = i
+            self.ends = np.zeros(max(ranks.values(), default=0) + 1, bool)
+            self.ends[[i for token, i in ranks.items() if token[-1:] == b"\n"]] = True
+            if all(bytes([b]) + end in ranks for b in range(256) for end in (b"", b"\n")):
+                self.merges = tiktoken.Encoding("lines", pat_str=r"[^\n]*\n", mergeable_ranks=ranks, special_tokens={})
+        if self.merges:
+            ids, _ = self._merged(pa.array([w.lower() for w in PROBES]))
+            if ids.tobytes() != b"".join(map(self._any, PROBES)):
+                self.merges = None
 
     def _any(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
-
-    def _together(self, stems: list[str]) -> list[bytes]:
-        text = " ".join(stems)
-        if not text.isascii():
-            text = " ".join(stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTE_SIGNS) for stem in stems)
-        ids = np.array(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-        ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
-        if len(ends) != len(stems):
-            return [self._any(stem) for stem in stems]
-        data = ids.tobytes()
-        return [data[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
-
-    def learn(self, words: set[bytes]) -> None:
-        """From now on all of words are known."""
-        if len(self) > MEMORY:
-            self.clear()
-        tailed, stems = [], []
-        for word in words.difference(self):
-            stem = word.rstrip(PUNCTUATION)
-            if self.letters_whole and stem and (stem.isalpha() and stem.islower() or not stem.isascii() and LETTERS.issuperset(stem.decode())):
-                if stem not in self:
-                    self[stem] = b""
-                    stems.append(stem)
-                if len(stem) < len(word):
-                    tailed.append((word, stem))
-            else:
-                self[word] = self._any(word.decode())
+        if word not in self.remembered:
+            if len(self.remembered) >= MEMORY:
+                self.remembered.clear()
+            self.remembered[word] = np.array(self.tokenizer.encode_batch_fast([word], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return self.remembered[word]
+
+    def _merged(self, stems: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        parts = [np.zeros(0, "<u4")]
         for lo in range(0, len(stems), TOGETHER):
-            some = stems[lo : lo + TOGETHER]
-            self.update(zip(some, self._together([stem.decode() for stem in some]), strict=True))
-        for word, stem in tailed:
-            tail = word[len(stem) :]
-            if tail not in self:
-                self[tail] = self._any(tail.decode())
-            self[word] = self[stem] + self[tail]
-
-
-def _portions(texts: Iterator[pa.StringScalar]) -> Iterator[list[list[bytes]]]:
-    """The words of each text, in lists of texts that hold PORTION bytes together or are one text.
-
-    Texts of the first 256 characters, which compose to themselves, are lower-cased here,
-    as the default tokenizer does; so fewer words are new.
-    """
-    some, held = [], 0
-    for scalar in texts:
-        text = scalar.as_py() or ""
-        try:
-            text.encode("latin-1")
-        except UnicodeEncodeError:
-            data = text.encode()
+            some = stems.slice(lo, TOGETHER)
+            lines = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(some)], pa.int32()), some), "\n")[0].as_py()
+            parts.append(np.array(self.merges.encode_ordinary(lines + "\n"), "<u4"))
+        ids = np.concatenate(parts)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1) if len(ids) else np.zeros(0, np.int64)
+
+    def encode(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words one after the other, and how many each word has."""
+        stems = pc.ascii_rtrim(words, characters=string.punctuation)
+        if self.merges:
+            plain = pc.and_(pc.match_substring_regex(stems, STEM), pc.less_equal(pc.binary_length(stems), LONGEST))
         else:
-            data = text.lower().encode()
-        if some and held + len(data) > PORTION:
-            yield some
-            some, held = [], 0
-        # The tokenizer drops white space and looks at nothing across it; bytes.split knows the six ASCII spaces only.
-        some.append(data.split())
-        held += len(data)
-    if some:
-        yield some
+            plain = pa.array(np.zeros(len(words), bool))
+        heads = pc.utf8_lower(stems.filter(plain)).dictionary_encode()
+        tails = pc.utf8_ltrim(words.filter(plain), characters=LETTERS)
+        others = pa.concat_arrays([pa.array([""]), tails, words.filter(pc.invert(plain))]).dictionary_encode()
+        ids, counts = self._merged(heads.dictionary)
+        more = [self._any(word) for word in others.dictionary.to_pylist()]
+        # a word is two units: its letters and what stands behind, or the whole word and nothing
+        plain, other = plain.to_numpy(zero_copy_only=False), others.indices.to_numpy() + len(counts)
+        units = np.full((len(words), 2), other[0], np.int64)
+        units[plain, 0], units[plain, 1], units[~plain, 0] = heads.indices.to_numpy(), other[1 : 1 + len(tails)], other[1 + len(tails) :]
+        ids = np.concatenate([ids, np.frombuffer(b"".join(more), "<u4")])
+        ids, lengths = _gather(ids, np.concatenate([counts, [len(m) // 4 for m in more]]).astype(np.int64), units.ravel())
+        return ids, lengths.reshape(-1, 2).sum(1)
+
+
+@functools.lru_cache(maxsize=1)
+def _kept(path: str, by_rank: bool, changed: int) -> _WordIds:
+    return _WordIds(path, by_rank)
+
+
+def _word_ids(tokenizer_file: str | None) -> _WordIds:
+    """A worker keeps them between tasks, as long as the file stays as it is; a test holds merges_by_rank of the default one."""
+    if tokenizer_file is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    else:
+        path = tokenizer_file
+    return _kept(path, tokenizer_file is None, os.stat(path).st_mtime_ns)
+
+
+def _portions(texts: pa.StringArray) -> Iterator[pa.StringArray]:
+    """The texts, in slices that hold PORTION bytes together or are one text."""
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(), dtype=np.int64)
+    lo = 0
+    while lo < len(texts):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + PORTION, "right")))
+        yield texts.slice(lo, hi - lo)
+        lo = hi
 
 
 def _cutter(tokenizer_file: str | None, capacity: int, piece: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tokenizers import Tokenizer
-
-        if tokenizer_file is None:
-            import public_tokenizers
-
-            path = public_tokenizers.path("word_bpe_49k.json")
-        else:
-            path = tokenizer_file
-        known = _WordIds(Tokenizer.from_file(path))
-
-        end = np.array([END_ID], "<u4").tobytes()
+        known = _word_ids(tokenizer_file)
         for batch in batches:
             rows, starts, lengths, sums, totals = [], [], [], [], []
             row = -1
-            for texts in _portions(batch.column(1)):
-                known.learn(set().union(*texts))
-                for words in texts:
+            for texts in _portions(pc.fill_null(batch.column(1), "").cast(pa.string())):
+                # The tokenizer drops white space and looks at nothing across it; only the six ASCII spaces are cut at here.
+                lists = pc.ascii_split_whitespace(texts)
+                words = lists.flatten().dictionary_encode()
+                ids, counts = known.encode(words.dictionary)
+                # behind the words of each text stands its end id, as one more word
+                ends = np.cumsum(lists.value_lengths().to_numpy())
+                codes = np.insert(words.indices.to_numpy(), ends, len(counts))
+                ids, counts = _gather(np.append(ids, np.array([END_ID], "<u4")), np.append(counts, 1), codes)
+                upto = np.cumsum(counts)[ends + np.arange(len(ends))].tolist()
+                data = memoryview(ids).cast("B")
+                for first, last in zip([0, *upto], upto, strict=False):
                     row += 1
-                    ids = b"".join(map(known.__getitem__, words)) + end
-                    total = len(ids) // 4
-                    start = 0
+                    total, start = last - first, 0
                     while start < total:
                         length = capacity if total - start >= capacity else min(piece, total - start)
                         rows.append(row)
                         starts.append(start)
                         lengths.append(length)
-                        sums.append(zlib.crc32(ids[4 * start : 4 * (start + length)]))
+                        sums.append(zlib.crc32(data[4 * (first + start) : 4 * (first + start + length)]))
                         totals.append(total)
                         start += length
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *[pa.array(x, pa.int64()) for x in (starts, lengths, sums, totals)]], ["id", "start", "length", "ids_crc32", "doc_tokens"])
@@ -231,8 +279,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A null or empty text is its end id alone. Rows that share an id, also a null one,
     are documents of their own. Other columns are ignored; no rows give no rows.
-    tokenizer_file must be at that path on every executor; by default it is
-    word_bpe_49k.json of the installed public_tokenizers.
+    tokenizer_file must be at that path on every executor, and be of a tokenizer that drops
+    white space; by default it is word_bpe_49k.json of the installed public_tokenizers.
     """
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), *[T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens")]])
     pieces = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(_cutter(tokenizer_file, capacity, piece), schema)
