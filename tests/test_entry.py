@@ -1,5 +1,6 @@
 """What the driver's entry registers where parts of the repository are absent."""
 
+import os
 import shutil
 import subprocess
 import sys
@@ -32,3 +33,15 @@ def test_other_import_errors_are_raised(tmp_path):
     if (copy / "facetgraph/llm").exists():
         out = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=copy, capture_output=True, text=True)
         assert out.returncode and "no_such_module_at_all" in out.stderr
+
+
+def test_a_pipeline_elsewhere_on_the_path_is_not_registered(tmp_path):
+    copy = tmp_path / "copy"
+    shutil.copytree(ROOT, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "*.json", "tests"))
+    (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    elsewhere = tmp_path / "elsewhere"
+    elsewhere.mkdir()
+    (elsewhere / "corpus_pipeline.py").write_text("ORACLE_SQL = None\n\n\ndef run(spark, sf_dir):\n    raise AssertionError\n")
+    code = "import __spark_entry__ as e; print('pipeline' in e.queries(), len(e.queries()) > 100)"
+    env = {**os.environ, "PYTHONPATH": str(elsewhere)}
+    assert subprocess.run([sys.executable, "-c", code], cwd=copy, env=env, capture_output=True, text=True, check=True).stdout.split() == ["False", "True"]
