@@ -10,11 +10,9 @@ exceeds the capacity, m rises by one.
 
 from __future__ import annotations
 
-import functools
 import heapq
 import json
 import math
-import os
 import re
 import string
 import unicodedata
@@ -34,7 +32,7 @@ CAPACITY, END_ID = 2048, 1
 #: Pieces are this long at most, and about so many meet in a group.
 PIECE, GROUP = 512, 512
 #: Bytes of text looked at together, letters of words that go to the merges together, the longest such in bytes, and words whose ids are remembered.
-PORTION, TOGETHER, LONGEST, MEMORY = 4_000_000, 50_000, 200, 300_000
+PORTION, TOGETHER, LONGEST, MEMORY = 1_000_000, 20_000, 200, 300_000
 #: Letters that composing leaves alone, and that are small or have the small form that every library gives them. The
 #: default tokenizer never cuts a word of them before its merges, and sets ASCII punctuation behind one apart; PROBES
 #: tell whether a tokenizer is of that kind.
@@ -195,20 +193,13 @@ class _WordIds:
         return ids, lengths.reshape(-1, 2).sum(1)
 
 
-@functools.lru_cache(maxsize=1)
-def _kept(path: str, by_rank: bool, changed: int) -> _WordIds:
-    return _WordIds(path, by_rank)
-
-
 def _word_ids(tokenizer_file: str | None) -> _WordIds:
-    """A worker keeps them between tasks, as long as the file stays as it is; a test holds merges_by_rank of the default one."""
+    """Those of a tokenizer's file; a test holds merges_by_rank of the default one."""
     if tokenizer_file is None:
         import public_tokenizers
 
-        path = public_tokenizers.path("word_bpe_49k.json")
-    else:
-        path = tokenizer_file
-    return _kept(path, tokenizer_file is None, os.stat(path).st_mtime_ns)
+        return _WordIds(public_tokenizers.path("word_bpe_49k.json"), by_rank=True)
+    return _WordIds(tokenizer_file, by_rank=False)
 
 
 def _portions(texts: pa.StringArray) -> Iterator[pa.StringArray]:
