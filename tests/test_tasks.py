@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from facetgraph.operators import relations, render, tasks, traverse
+from facetgraph.sources import modules
 
 EDGES = "graph string, src string, dst string"
 NODES = "graph string, node string"
@@ -128,3 +129,11 @@ def test_names_as_over_the_cluster(spark):
 @pytest.mark.parametrize("column", [pa.array(["a", None, "é"]), pa.array([1, None, 2**60 + 1]), pa.array([3, 4], pa.int32()), pa.array([True, None]), pa.array([["a", None], None, [], ["b"]]), pa.array([{"x": 1}, None]), pa.array([1.5, None]), pa.array([], pa.string())])
 def test_values(column):
     assert tasks._values(column) == column.to_pylist() and tasks._values(column[1:]) == column[1:].to_pylist()
+
+
+def test_a_module_is_decoded_once(spark):
+    """A filter on the error decoded the text anew for each field that the rules read."""
+    texts = spark.createDataFrame([("{}",)], "json string").repartition(2)
+    again = modules.decoded(modules.encoded(modules.decoded(texts).where("error IS NULL"))).where("error IS NULL")
+    plan = again.select("module")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 2
