@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from facetgraph.operators import relations, render, tasks, traverse
+from facetgraph.operators import bundles, partition, relations, render, tasks, traverse
 from facetgraph.sources import modules
 
 EDGES = "graph string, src string, dst string"
@@ -137,3 +137,24 @@ def test_a_module_is_decoded_once(spark):
     again = modules.decoded(modules.encoded(modules.decoded(texts).where("error IS NULL"))).where("error IS NULL")
     plan = again.select("module")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_json(") == 2
+
+
+@pytest.mark.parametrize("neighbours", [False, True])
+def test_outputs_as_over_the_cluster(spark, neighbours):
+    rng = random.Random(13)
+    edges = [(f"g{rng.randrange(12)}", f"n{rng.randrange(12)}", f"n{rng.randrange(12)}", rng.choice("xy"), rng.randrange(9)) for _ in range(300)]
+    edges = spark.createDataFrame(edges, "graph string, src string, dst string, label string, pos long").where("src != dst OR pos > 6")
+    nodes = edges.select("graph", F.col("src").alias("node")).union(spark.createDataFrame([("g0", "z")], NODES))
+    members = partition.partition(nodes, edges, 2)
+    assert members.where("shared").count() > 5
+    rest = ["label"] if neighbours else ["label", "pos"]
+    for got, want in zip(bundles.laid_out(members, edges, "graph", rest, neighbours), bundles.laid_out(members, edges, "graph", rest, neighbours, small=5)):
+        assert rows(got) == rows(want) != []
+
+
+def test_a_bundle_joins_nothing(spark):
+    """An output's nodes and edges were looked up by eight joins, each of which read the edges anew."""
+    edges = spark.createDataFrame([("g", "a", "b", 1), ("g", "b", "c", 2)], EDGES + ", pos long")
+    members = partition.partition(edges.select("graph", F.col("src").alias("node")), edges)
+    text = bundles.call_graph_bundle(members, edges)
+    assert "Join" not in text._jdf.queryExecution().optimizedPlan().toString() and text.count() == 1
