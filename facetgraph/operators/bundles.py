@@ -6,7 +6,8 @@ at home in an output is drawn as a stub that names the output where it goes on.
 are cut before anything is drawn: an output is as large as a series and its boundary.
 
 members is what partition() gives, outputs what output_names() gives. Graphs of `small` rows
-or fewer are laid out in tasks (series.py), larger ones by joins.
+or fewer are laid out in tasks (series.py), larger ones by joins. What is looked up grows
+with the graphs, so that these joins are merged by a hint and nothing goes to the driver.
 """
 
 from __future__ import annotations
@@ -109,10 +110,10 @@ def class_bundle(members: DataFrame, edges: DataFrame, classes: DataFrame, metho
     """
     drawn, nodes = laid_out(members, edges if shown is None else shown, "class", ["relation", "pos"])
     known = classes.select("graph", "node").distinct()
-    at_home = nodes.where("reference IS NULL").alias("n").join(known.alias("k"), _same("n", "k", {"node": "node"}), "left").select("n.*", F.col("k.node").isNull().alias("external"))
+    at_home = nodes.where("reference IS NULL").alias("n").join(known.hint("merge").alias("k"), _same("n", "k", {"node": "node"}), "left").select("n.*", F.col("k.node").isNull().alias("external"))
     nodes = at_home.unionByName(nodes.where("reference IS NOT NULL").withColumn("external", F.lit(True)))
     own = nodes.where("NOT external").select("graph", "node", "output_name").alias("n")
-    bodies = methods.alias("m").join(own, _same("m", "n", {"node": "node"})).select("m.*", "n.output_name")
+    bodies = methods.alias("m").join(own.hint("merge"), _same("m", "n", {"node": "node"})).select("m.*", "n.output_name")
     return _texts(render.class_diagram(_keyed(nodes), _keyed(drawn), _keyed(bodies)))
 
 
@@ -121,7 +122,7 @@ def object_bundle(members: DataFrame, edges: DataFrame, objects: DataFrame) -> D
     drawn, nodes = laid_out(members, edges, "object", ["label"])
     columns = ["name", "type_name", *(["fields"] if "fields" in objects.columns else [])]
     last = objects.groupBy("graph", object_key(F.col("scope"), F.col("name")).alias("node")).agg(F.max_by(F.struct(*columns), F.struct("pos", "type_name")).alias("o"))
-    rows = nodes.alias("n").join(last.alias("l"), _same("n", "l", {"node": "node"}), "left").select("n.*", "l.o")
+    rows = nodes.alias("n").join(last.hint("merge").alias("l"), _same("n", "l", {"node": "node"}), "left").select("n.*", "l.o")
     shown = {"name": F.coalesce("o.name", "node"), "type_name": F.coalesce("o.type_name", F.lit("external"))}
     if "fields" in columns:
         none = F.array().cast(objects.schema["fields"].dataType)
@@ -135,7 +136,7 @@ def package_bundle(members: DataFrame, edges: DataFrame, cyclic: DataFrame, isol
     cyclic and isolated(graph, node) are marked wherever they are drawn.
     """
     drawn, nodes = laid_out(members, edges, "package", [], neighbours=True)
-    marked = lambda which: _keyed(nodes.alias("n").join(which.alias("w"), _same("n", "w", {"node": "node"}), "left_semi").select("graph", "output_name", "node"))
+    marked = lambda which: _keyed(nodes.alias("n").join(which.hint("merge").alias("w"), _same("n", "w", {"node": "node"}), "left_semi").select("graph", "output_name", "node"))
     return _texts(render.package_flowchart(_keyed(nodes), _keyed(drawn), marked(cyclic), marked(isolated)))
 
 
@@ -144,5 +145,5 @@ def deployment_bundle(members: DataFrame, nodes: DataFrame, connections: DataFra
     edges = connections.withColumnsRenamed({"source": "src", "target": "dst"})
     drawn, shown = laid_out(members, edges, "deployment", ["relation", "confidence"], neighbours=True)
     own = nodes.withColumnRenamed("id", "node")
-    boxes = shown.alias("s").join(own.alias("n"), _same("s", "n", {"node": "node"})).select("s.graph", "s.output_name", "s.reference", F.col("s.node").alias("id"), "n.label", "n.kind", "n.confidence", "n.environment", "n.metadata")
+    boxes = shown.alias("s").join(own.hint("merge").alias("n"), _same("s", "n", {"node": "node"})).select("s.graph", "s.output_name", "s.reference", F.col("s.node").alias("id"), "n.label", "n.kind", "n.confidence", "n.environment", "n.metadata")
     return _texts(render.deployment_flowchart(_keyed(boxes), _keyed(drawn.withColumnsRenamed({"src": "source", "dst": "target"}))))

@@ -5,7 +5,8 @@ or an object. What is no JSON, or not of the expected form, gives no nodes. Node
 (graph, id, label, kind, confidence, environment, source, metadata), connections (graph,
 source, target, relation, confidence); all are confirmed, and `source` of a node names
 the file. A connection is given as often as the file states it. Targets are looked up by
-joins on (graph, name): a file's names are never gathered in one row.
+joins on (graph, name): a file's names are never gathered in one row. These joins are merged
+by a hint, as Spark takes what comes out of a text for small and would send it to the driver.
 """
 
 from __future__ import annotations
@@ -64,7 +65,7 @@ def compose_topology(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.transform(V.text_list(V.at(F.col("spec"), "$.depends_on")), lambda x: F.struct(F.lit("depends_on").alias("relation"), x.alias("target"))),
         F.transform(links, lambda x: F.struct(F.lit("links").alias("relation"), x.alias("target"))),
     )
-    known = rows.select("graph", F.col("name").alias("target"))
+    known = rows.select("graph", F.col("name").alias("target")).hint("merge")
     met = rows.select("graph", "name", F.explode(wanted).alias("w")).select("graph", "name", "w.*").join(known, ["graph", "target"], "left_semi")
     return nodes, _connections(met, ident, F.concat(F.lit("compose:"), "target"), F.col("relation"))
 
@@ -95,7 +96,7 @@ def selected_pods(services: DataFrame, pods: DataFrame) -> DataFrame:
     own = F.concat(F.transform(F.map_entries("labels"), lambda e: text(e["key"], e["value"])), F.array(F.lit("")))
     found = pods.select("graph", "id", "labels", F.explode(own).alias("__item"))
     met = F.forall(F.map_entries("selector"), lambda e: F.coalesce(F.try_element_at("labels", e["key"]), F.lit("None")) == e["value"])
-    return probes.join(found, ["graph", "__item"]).where(met).drop("__item", "labels")
+    return probes.join(found.hint("merge"), ["graph", "__item"]).where(met).drop("__item", "labels")
 
 
 def cluster_topology(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -124,6 +125,6 @@ def cluster_topology(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     backends = F.concat(F.array(V.at(F.col("v"), "$.spec.defaultBackend")), F.transform(paths, lambda p: V.at(p, "$.backend")))
     named = F.array_distinct(F.transform(backends, lambda b: V.value_text(V.at(b, "$.service.name"))))
     wanted = ingresses.select("graph", "name", F.explode(named).alias("target"))
-    known = services.where("name != ''").select("graph", F.col("name").alias("target"))
+    known = services.where("name != ''").select("graph", F.col("name").alias("target")).hint("merge")
     met = wanted.join(known, ["graph", "target"], "left_semi")
     return nodes, routes.unionByName(_connections(met, ident("ingress"), ident("service", "target"), F.lit("routes_to")))

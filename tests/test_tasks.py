@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from facetgraph.operators import bundles, partition, relations, render, tasks, traverse
+from facetgraph.operators import bundles, partition, relations, render, tasks, topology, traverse
 from facetgraph.sources import modules
 
 EDGES = "graph string, src string, dst string"
@@ -158,3 +158,15 @@ def test_a_bundle_joins_nothing(spark):
     members = partition.partition(edges.select("graph", F.col("src").alias("node")), edges)
     text = bundles.call_graph_bundle(members, edges)
     assert "Join" not in text._jdf.queryExecution().optimizedPlan().toString() and text.count() == 1
+
+
+def test_what_grows_with_the_files_is_not_broadcast(spark):
+    """Spark takes names that come out of a text for small; they went to the driver."""
+    files = spark.createDataFrame([("g", '{"services": {"a": {"links": ["b"]}, "b": {}}}')], "graph string, json string").repartition(2)
+    nodes, connections = topology.compose_topology(files)
+    objects = spark.createDataFrame([("g", "a", "b", "x")], EDGES + ", label string")
+    named = spark.createDataFrame([("g", n, n, "t") for n in "ab"], NODES + ", name string, type_name string")
+    for text in (connections, render.deployment_flowchart(nodes, connections), render.object_diagram(named, objects)):
+        plan = text._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert [tuple(r)[:4] for r in connections.collect()] == [("g", "compose:a", "compose:b", "links")]
