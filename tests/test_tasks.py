@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from facetgraph.operators import bundles, partition, relations, render, tasks, topology, traverse
+from facetgraph.operators import bundles, ci, partition, relations, render, tasks, topology, traverse
 from facetgraph.sources import modules
 
 EDGES = "graph string, src string, dst string"
@@ -170,3 +170,12 @@ def test_what_grows_with_the_files_is_not_broadcast(spark):
         plan = text._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "Broadcast" not in plan
     assert [tuple(r)[:4] for r in connections.collect()] == [("g", "compose:a", "compose:b", "links")]
+
+
+def test_steps_are_not_parsed_to_be_filtered(spark):
+    """Filters on what was read from a step parsed its text anew for each field."""
+    files = spark.createDataFrame([("g", '{"jobs": {"a": {"steps": [{"run": "x"}, 1, {}]}}}')], "graph string, json string").repartition(2)
+    steps = ci.steps(files)
+    plan = steps._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [line for line in plan if "Filter" in line and "parseJson" in line]
+    assert [r.step for r in steps.collect()] == ["run"]
